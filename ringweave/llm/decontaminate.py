@@ -25,10 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._common import arrow_schema, documents, staged
+from ._common import documents, staged
 
-FOUND = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+FOUND_COLUMNS = ("n_words", "n_hit", "items", "spans")
+FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 #: Lower-cases A-Z; ASCII other than letters and digits becomes a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -95,22 +98,35 @@ def _blocks(rows: DataFrame, block_bytes: int) -> list[DataFrame]:
     return [rows if parts == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == k) for k in range(parts)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 2_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """Per document: its words, the words hit by any item's window, those items and the hit spans in characters."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))
+    return _searched(docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c) for c in [options.get("text_col", "text")]]), benchmark, **options).select("carried.doc_id", *FOUND_COLUMNS)
+
+
+def flagged(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """docs with n_words, n_hit, items and spans (columns of these names are replaced)."""
+    kept = [c for c in docs.columns if c not in FOUND_COLUMNS]
+    return _searched(docs.select(*[F.col(f"`{c}`") for c in kept]), benchmark, **options).select("carried.*", *FOUND_COLUMNS)
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 2_000_000) -> DataFrame:
+    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(carried.alias("carried"), F.col(f"`{text_col}`").cast("binary").alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))
+    held = rows.schema["carried"].dataType
     tests = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("binary").alias("t")).where("i is not null and t is not null")
     blocks = _blocks(tests, block_bytes)
     for k, block in enumerate(blocks):
         last = k == len(blocks) - 1
-        ddl = FOUND if last else "doc_id long, text binary, hits binary, items array<string>"
+        fields = T._parse_datatype_string(FOUND if last else "text binary, hits binary, items array<string>")
+        kinds = T.StructType([T.StructField("carried", held), *fields.fields])
         shared = rows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r.i, bytes(r.t)) for r in block.collect()], window))
-        rows = rows.mapInArrow(_scanner(shared, last, arrow_schema(ddl)), ddl)
+        rows = rows.mapInArrow(_scanner(shared, last, [f.type for f in to_arrow_schema(fields)]), kinds)
         if not last:
             rows = staged(rows, "decontaminate")
     return rows
 
 
-def _scanner(shared, last: bool, schema: pa.Schema):
+def _scanner(shared, last: bool, types: list[pa.DataType]):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, *given = shared.value
         if name not in _built:
@@ -125,7 +141,8 @@ def _scanner(shared, last: bool, schema: pa.Schema):
                     words = words_of(text)
                     got = scan(words, alphabet, automaton, hits, items)
                     out.append(_finding(text, words, *got) if last else (text, *got))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[1:], strict=True))], schema=schema)
+                names = ["carried", *(FOUND_COLUMNS if last else ("text", "hits", "items"))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names)
 
     return find
 
