@@ -1,11 +1,7 @@
-"""Shared helpers: the shared folder, staged tables, word hashing and Arrow plumbing."""
+"""Shared helpers: hashes of words and runs of units, and Arrow schemas."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -13,36 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Order of a row whose id is null: after every other row.
-NULL_ID = (1 << 63) - 1
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all machines share.
+from ringweave.sources.staging import shared_dir, staged
 
-    A private temporary folder is used only where the setting is missing and the master is
-    local, as in tests; on a cluster a missing setting is an error.
-    """
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        found = "file://" + tempfile.mkdtemp(prefix="ringweave-")
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
+__all__ = ["NULL_ID", "WordHashes", "arrow_schema", "documents", "fold_of", "gram_hashes", "merged_runs", "mixed", "shared_dir", "sliding_min", "staged"]
 
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ringweave-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+#: Order of a row whose id is null: after every other row.
+NULL_ID = (1 << 63) - 1
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
