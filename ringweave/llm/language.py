@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from ._common import documents, fold_of
 
@@ -120,21 +121,18 @@ def _logs(counts: DataFrame, langs: list[str], most: int, least: int) -> dict[st
     return {w: table[i] for i, w in enumerate(words)}
 
 
-def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score; every column of docs is kept (columns of these two names are replaced)."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept])
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
-    schema = StructType([*rows.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
+def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs with lang_pred and score; every column, or those of `keep`, is kept (columns of these two names are replaced)."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("_read_text"), *[F.col(f"`{c}`") for c in kept])
+    schema = StructType(rows.schema.fields[1:]).add("lang_pred", StringType()).add("score", DoubleType())
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    at = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo(shared.value)
         for batch in batches:
-            got = [detect(t, shared.value, memo) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            got = [detect(t, shared.value, memo) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*kept, "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)
 
@@ -142,5 +140,5 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit(docs.where(fold_of("doc_id", 4) != 2))
-    found = identify(docs.select("doc_id", "text").withColumn("held_out", fold_of("doc_id", 4) == 2), model)
+    found = identify(docs.select("doc_id", "text").withColumn("held_out", fold_of("doc_id", 4) == 2), model, keep=["doc_id", "held_out"])
     return found.select("doc_id", "held_out", "lang_pred", "score")

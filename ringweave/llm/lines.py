@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, documents
+from ._common import NULL_ID, documents, staged
 
 MIN_SITES = 10
 
@@ -26,7 +26,7 @@ def boilerplate(lines: DataFrame, *, min_sites: int = MIN_SITES, precision: int
     """(h1, h2, first) of the lines on at least min_sites sites. lines: h1, h2, site, at (order of occurrence)."""
     sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(precision)).alias("sites"), F.min("at").alias("first"), F.count("*").alias("n"))
     # a line that occurs fewer times than that can't be on so many sites
-    spread = sketched.where(F.col("n") >= min_sites).select("h1", "h2", "first", F.hll_sketch_estimate("sites").alias("spread"))
+    spread = staged(sketched.where(F.col("n") >= min_sites).select("h1", "h2", "first", F.hll_sketch_estimate("sites").alias("spread")), "spread")
     low, high = min_sites * (1 - near), min_sites * (1 + near)
     unsure = spread.where((F.col("spread") >= low) & (F.col("spread") <= high))
     exact = lines.join(unsure.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").agg(F.lit(1).alias("one")).where("site is not null")

@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from ._common import documents, fold_of
 
@@ -179,7 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     n = trusted.count()
     if n > max_positive:
         trusted = trusted.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(math.ceil(max_positive / n * 1_000_000)))
-    positive = _vectors(rows.join(trusted, "doc_id", "left_semi"), max_positive)
+    # about max_positive ids at most, by the sample above
+    positive = _vectors(rows.join(F.broadcast(trusted), "doc_id", "left_semi"), max_positive)
     unlabelled = _vectors(rows, max_unlabelled)
     if not positive or not unlabelled:
         return np.zeros(DIMENSIONS + 1), 0.5
@@ -187,19 +189,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return placed(train(positive, unlabelled, prior), unlabelled, prior, threshold), prior
 
 
-def scored(docs: DataFrame, weights: np.ndarray, *, text_col: str = "text") -> DataFrame:
-    """docs with quality_score; every column is kept (one of that name is replaced)."""
-    from pyspark.sql.types import DoubleType, StructType
-
-    rows = docs.drop("quality_score")
-    schema = StructType([*rows.schema.fields]).add("quality_score", DoubleType())
-    shared, at = rows.sparkSession.sparkContext.broadcast(weights), rows.columns.index(text_col)
+def scored(docs: DataFrame, weights: np.ndarray, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs with quality_score; every column, or those of `keep`, is kept (one of that name is replaced)."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c != "quality_score"]
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("_scored_text"), *[F.col(f"`{c}`") for c in kept])
+    schema = StructType(rows.schema.fields[1:]).add("quality_score", DoubleType())
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, places = shared.value, _Places()
         for batch in batches:
-            out = [float(w[a] @ v + w[-1]) for a, v in (features(t, places) for t in batch.column(at).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_sigmoid(np.array(out, float)), pa.float64())], [*batch.schema.names, "quality_score"])
+            out = [float(w[a] @ v + w[-1]) for a, v in (features(t, places) for t in batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(_sigmoid(np.array(out, float)), pa.float64())], [*kept, "quality_score"])
 
     return rows.mapInArrow(run, schema)
 
@@ -209,5 +210,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = docs.where(fold_of("doc_id", 5) != 0)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold_of("doc_id", 5) != 0)
     weights, _ = fit(seen, labels)
-    found = scored(docs.select("doc_id", "text", (fold_of("doc_id", 5) == 0).alias("held_out")), weights)
+    found = scored(docs.select("doc_id", "text", (fold_of("doc_id", 5) == 0).alias("held_out")), weights, keep=["doc_id", "held_out"])
     return found.select("doc_id", "held_out", F.col("quality_score").alias("score"), F.when(F.col("quality_score") >= 0.3, 1).otherwise(0).alias("predicted"))

@@ -213,7 +213,8 @@ def read_archives(manifest: DataFrame, *, payloads: bool = True, batch_bytes: in
                     raise ValueError(f"{path} has {n} records, not {expected}")
                 yield pa.RecordBatch.from_pylist(found, schema)
 
-    return manifest.repartition("path").mapInArrow(run, _RECORD)
+    # by number: partitions of so few bytes would else be put together, and one task would read all archives
+    return manifest.repartition(max(1, manifest.count()), "path").mapInArrow(run, _RECORD)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
