@@ -124,15 +124,16 @@ def _logs(counts: DataFrame, langs: list[str], most: int, least: int) -> dict[st
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs with lang_pred and score; every column, or those of `keep`, is kept (columns of these two names are replaced)."""
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("_read_text"), *[F.col(f"`{c}`") for c in kept])
-    schema = StructType(rows.schema.fields[1:]).add("lang_pred", StringType()).add("score", DoubleType())
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], *([] if text_col in kept else [F.col(f"`{text_col}`")]))
+    at, n = rows.columns.index(text_col), len(kept)
+    schema = StructType(rows.schema.fields[:n]).add("lang_pred", StringType()).add("score", DoubleType())
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo(shared.value)
         for batch in batches:
-            got = [detect(t, shared.value, memo) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*kept, "lang_pred", "score"])
+            got = [detect(t, shared.value, memo) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*kept, "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)
 

@@ -192,15 +192,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 def scored(docs: DataFrame, weights: np.ndarray, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs with quality_score; every column, or those of `keep`, is kept (one of that name is replaced)."""
     kept = [c for c in (docs.columns if keep is None else keep) if c != "quality_score"]
-    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("_scored_text"), *[F.col(f"`{c}`") for c in kept])
-    schema = StructType(rows.schema.fields[1:]).add("quality_score", DoubleType())
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], *([] if text_col in kept else [F.col(f"`{text_col}`")]))
+    at, n = rows.columns.index(text_col), len(kept)
+    schema = StructType(rows.schema.fields[:n]).add("quality_score", DoubleType())
     shared = rows.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, places = shared.value, _Places()
         for batch in batches:
-            out = [float(w[a] @ v + w[-1]) for a, v in (features(t, places) for t in batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(_sigmoid(np.array(out, float)), pa.float64())], [*kept, "quality_score"])
+            out = [float(w[a] @ v + w[-1]) for a, v in (features(t, places) for t in batch.column(at).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(_sigmoid(np.array(out, float)), pa.float64())], [*kept, "quality_score"])
 
     return rows.mapInArrow(run, schema)
 
