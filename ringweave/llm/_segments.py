@@ -12,12 +12,14 @@ one of them travels, so the passage itself reaches its bucket once per flush, no
 The sample steers only the load; results don't depend on it.
 
 A task gathers segments for about `flush_bytes` of text and sends each bucket one compressed blob.
-A bucket receives about `bucket_bytes` of segments, so a reducer holds one bucket at a time.
+A bucket receives about `bucket_bytes` of segments, so a reducer holds one bucket at a time. The spans
+found meet the texts, packed likewise, in parts of about 4 MB of text.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 
 from collections.abc import Callable, Iterator
 
@@ -27,15 +29,16 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, gram_hashes, merged_runs, sliding_min
+from ._common import NULL_ID, arrow_schema, gram_hashes, merged_runs, sliding_min
 
 _BITS = np.uint64(22)
 _PLACE = np.uint64((1 << 22) - 1)
 _TOP = np.uint64(1 << 63)
 CHUNK = 1 << 20
 _SENT = "bucket int, doc_id long, crc long, spans array<int>, blob binary"
-SPANS = "doc_id long, crc long, spans array<int>"
-_COLUMNS = (("mh", np.uint64), ("doc", np.int64), ("crc", np.uint32), ("start", np.int32), ("windows", np.int32), ("off", np.int32), ("size", np.int32))
+_LAID = "part int, kind int, doc_id long, crc long, spans array<int>, blob binary"
+_COLUMNS = (("mh", np.uint32), ("doc", np.int64), ("crc", np.uint32), ("start", np.int32), ("windows", np.uint16), ("off", np.uint16), ("size", np.int32))
+_LEVEL = 3
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -71,95 +74,80 @@ def runs(unit: np.ndarray, bounds: np.ndarray, k: int, m: int, hot: np.ndarray)
     return first, last, gram[place[first]], place[first]
 
 
+def equal(lead: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal segments (lead: the first of each one's equals): all are repeated, and the first travels."""
+    return np.bincount(lead)[lead] > 1, lead == np.arange(len(lead))
+
+
+def smaller(lead: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal segments those of other than the smallest document are repeated, and the smallest's travel."""
+    least = np.full(len(lead), np.iinfo(np.int64).max)
+    np.minimum.at(least, lead, doc)
+    return doc > least[lead], doc == least[lead]
+
+
 class Sender:
-    """Collects segments; `settle` decides between equal segments, see Equal and Smaller."""
+    """Collects segments, settles equal ones and packs the rest by bucket."""
 
-    def __init__(self, buckets: int, settle: type):
-        self.buckets, self.settle = buckets, settle
+    def __init__(self, buckets: int, settle: Callable, k: int):
+        self.buckets, self.settle, self.k = buckets, settle, k
         self.clear()
 
     def clear(self) -> None:
-        self.rows: list[tuple] = []
+        self.columns: list[tuple[np.ndarray, ...]] = []
         self.segments: list[bytes] = []
-        self.spans: list[tuple[int, int, int, int]] = []
-        self.known = self.settle(self)
+        self.known: dict[bytes, int] = {}
+        self.lead: list[int] = []
         self.held = 0
 
-    def flush(self, k: int) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = [((c ^ d) % self.buckets, d, c, s, None) for d, c, s in grouped(self.spans)]
-        alive = [i for i, r in enumerate(self.rows) if r is not None]
-        if alive:
-            columns = [np.array([self.rows[i][j] for i in alive], t) for j, (_, t) in enumerate(_COLUMNS)]
-            bucket = (columns[0] % np.uint64(self.buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            squeeze = zstd.ZstdCompressor(level=1)
-            for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
-                own = order[a:b]
-                data = np.uint32(len(own)).tobytes() + b"".join(c[own].tobytes() for c in columns) + b"".join([self.segments[alive[i]] for i in own])
-                out.append((int(bucket[own[0]]), None, None, None, squeeze.compress(data)))
-        self.clear()
-        for lo in range(0, len(out), 500):
-            part = out[lo : lo + 500]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()))], ["bucket", "doc_id", "crc", "spans", "blob"])
+    def add(self, columns: tuple[np.ndarray, ...], segments: list[bytes]) -> None:
+        at, first = len(self.segments), self.known.setdefault
+        self.lead += [first(x, i) for i, x in enumerate(segments, at)]
+        self.segments += segments
+        self.columns.append(columns)
+        self.held += int(columns[-1].sum())
 
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.segments:
+            return
+        mh, *columns = (np.concatenate(c) for c in zip(*self.columns, strict=True))
+        doc, crc, start, windows = columns[:4]
+        gone, alive = self.settle(np.array(self.lead), doc)
+        out: list[tuple] = [(int((c ^ d) % self.buckets), d, c, s, None) for d, c, s in grouped(doc[gone], crc[gone], start[gone], start[gone].astype(np.int64) + windows[gone] - 1 + self.k)]
+        kept = np.flatnonzero(alive)
+        bucket = (mh[kept] % np.uint64(self.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        kept, bucket = kept[order], bucket[order]
+        columns = [(mh >> np.uint64(32)).astype(np.uint32), *columns]
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+        squeeze = zstd.ZstdCompressor(level=_LEVEL)
+        for a, b in zip(edges, [*edges[1:], len(kept)], strict=True):
+            own = kept[a:b]
+            data = np.uint32(len(own)).tobytes() + b"".join(c[own].astype(t).tobytes() for c, (_, t) in zip(columns, _COLUMNS, strict=True)) + b"".join([self.segments[i] for i in own.tolist()])
+            out.append((int(bucket[a]), None, None, None, squeeze.compress(data)))
+        self.clear()
+        yield from _rows(out, ("bucket", "doc_id", "crc", "spans", "blob"), (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()))
 
-class Equal:
-    """Equal segments: all of them are repeated, and the first travels."""
 
-    def __init__(self, sender: Sender):
-        self.sender, self.known = sender, {}
+def _rows(out: list[tuple], names: tuple, types: tuple, size: int = 500) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(out), size):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + size], strict=True), types, strict=True)], names)
 
-    def offer(self, segment: bytes, row: tuple, span: tuple[int, int, int, int]) -> None:
-        found = self.known.get(segment)
-        if found is None:
-            self.known[segment] = span
-            self.sender.rows.append(row)
-            self.sender.segments.append(segment)
-        else:
-            self.sender.spans.append(span)
-            if found:
-                self.sender.spans.append(found)
-                self.known[segment] = ()
 
+def grouped(doc: np.ndarray, crc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+    """Spans as one list of merged runs per document and checksum."""
+    if not len(doc):
+        return
+    order = np.lexsort((crc, doc))
+    doc, crc, start, end = (x[order].astype(np.int64) for x in (doc, crc, start, end))
+    edges = np.flatnonzero(np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(crc) != 0))))
+    for lo, hi in zip(edges, [*edges[1:], len(doc)], strict=True):
+        s, e = merged_runs(start[lo:hi], end[lo:hi])
+        yield int(doc[lo]), int(crc[lo]), np.stack((s, e), 1).ravel().tolist()
 
-class Smaller:
-    """Equal segments: those of other than the smallest document are repeated, the smallest's travel."""
 
-    def __init__(self, sender: Sender):
-        self.sender, self.known = sender, {}
-
-    def offer(self, segment: bytes, row: tuple, span: tuple[int, int, int, int]) -> None:
-        rows, spans = self.sender.rows, self.sender.spans
-        found = self.known.get(segment)
-        if found and row[1] > found[0][1][0]:
-            spans.append(span)
-            return
-        if found and row[1] < found[0][1][0]:
-            for i, own in found:
-                spans.append(own)
-                rows[i] = None
-            found = None
-        entry = (len(rows), span)
-        if found:
-            found.append(entry)
-        else:
-            self.known[segment] = [entry]
-        rows.append(row)
-        self.sender.segments.append(segment)
-
-
-def grouped(spans: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, list[int]]]:
-    """Spans (document, checksum, start, end) as one list of merged runs per document."""
-    if not spans:
-        return
-    a = np.array(spans, np.int64)
-    order = np.lexsort((a[:, 1], a[:, 0]))
-    a = a[order]
-    edges = np.flatnonzero(np.concatenate(([True], (np.diff(a[:, 0]) != 0) | (np.diff(a[:, 1]) != 0))))
-    for lo, hi in zip(edges, [*edges[1:], len(a)], strict=True):
-        s, e = merged_runs(a[lo:hi, 2], a[lo:hi, 3])
-        yield int(a[lo, 0]), int(a[lo, 1]), np.stack((s, e), 1).ravel().tolist()
+def of_list(spans: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, list[int]]]:
+    return grouped(*np.array(spans, np.int64).T) if spans else iter(())
 
 
 def decoded(blobs: list[bytes]) -> tuple[dict[str, np.ndarray], list[bytes]]:
@@ -228,86 +216,123 @@ def hot_grams(rows: DataFrame, units: Callable[[bytes], np.ndarray], m: int, *,
     return np.sort(found.orderBy(F.desc("n"), "gram").limit(most).toArrow().column("gram").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def spans_of(rows: DataFrame, cut: Callable[[bytes], tuple[np.ndarray, Callable[[int, int], bytes]]], found: Callable[[dict, list[bytes]], list[tuple[int, int, int, int]]], settle: type, *, k: int, m: int, hot: np.ndarray, bucket_bytes: int, flush_bytes: int) -> DataFrame:
-    """doc_id, crc and spans of what is repeated.
+def without(rows: DataFrame, cut: Callable[[bytes], tuple[np.ndarray, np.ndarray | None, bytes]], gap: int, found: Callable[[dict, list[bytes]], list[tuple[int, int, int, int]]], settle: Callable, finish: Callable[[bytes, np.ndarray, np.ndarray], tuple], ddl: str, *, k: int, m: int, hot: np.ndarray, bucket_bytes: int, flush_bytes: int) -> DataFrame:
+    """doc_id and what finish(text, starts, ends) gives for each row and its repeated spans.
 
-    cut(text) gives the hashed units and a function for the packed string of a range of units;
-    found(columns, segments) gives the repeated spans of a bucket.
+    cut(text) gives the hashed units, where each ends in the packed string (None: a byte each) and that
+    string, in which `gap` bytes end each unit; found(columns, segments) gives a bucket's repeated spans.
     """
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, min(-(-int(total * 3.4) // bucket_bytes), (1 << 31) - 1))
+    buckets = max(1, min(-(-int(total * 3.2) // bucket_bytes), (1 << 31) - 1))
+    parts = max(1, min(-(-total // 4_000_000), (1 << 31) - 1))
     shared = rows.sparkSession.sparkContext.broadcast(hot)
+    part_of = lambda doc, crc: ((doc & ((1 << 63) - 1)) ^ crc) % parts
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender, hot = Sender(buckets, settle), shared.value
+        sender, hot = Sender(buckets, settle, k), shared.value
         waiting: list[tuple] = []
         size = 0
 
         def work() -> None:
-            units = np.concatenate([u for *_, u in waiting])
-            bounds = np.cumsum([len(u) for *_, u in waiting])
+            units = np.concatenate([w[3] for w in waiting])
+            sizes = np.array([len(w[3]) for w in waiting])
+            bounds = np.cumsum(sizes)
             first, last, mh, place = runs(units, bounds, k, m, hot)
+            if not len(first):
+                return
+            if waiting[0][4] is None:
+                at, to = first, last - 1 + k
+            else:  # where units end, over all pieces
+                ends = np.concatenate([w[4] - w[5] + b for w, b in zip(waiting, np.cumsum([0, *(len(w[6]) for w in waiting[:-1])]), strict=True)])
+                at, to = np.where(first > 0, ends[first - 1], 0), ends[last - 2 + k] - gap
+            data = b"".join([w[6] for w in waiting])
             piece = np.searchsorted(bounds, first, side="right")
-            base = np.concatenate(([0], bounds))[piece]
-            offer = sender.known.offer
-            for p, b, s, e, h, o in zip(piece.tolist(), base.tolist(), first.tolist(), last.tolist(), mh.tolist(), (place - first).tolist(), strict=True):
-                doc, crc, start, text_of, _ = waiting[p]
-                a = start + s - b
-                segment = text_of(a, a + e - s - 1 + k)
-                sender.held += len(segment)
-                offer(segment, (h, doc, crc, a, e - s, o, len(segment)), (doc, crc, a, a + e - s - 1 + k))
+            doc, crc, start = (np.array([w[i] for w in waiting], np.int64)[piece] for i in range(3))
+            start = start + first - (bounds - sizes)[piece]
+            sender.add((mh, doc, crc, start, last - first, place - first, to - at), [data[x:y] for x, y in zip(at.tolist(), to.tolist(), strict=True)])
 
         for batch in batches:
             for doc, crc, text in zip(*(batch.column(i) for i in range(3)), strict=True):
                 if not text.is_valid:
                     continue
-                units, text_of = cut(text.as_py())
+                units, ends, data = cut(text.as_py())
                 for start in range(0, max(len(units) - k + 1, 0), CHUNK):
-                    waiting.append((doc.as_py(), crc.as_py(), start, text_of, units[start : start + CHUNK + k - 1]))
-                    size += len(waiting[-1][-1])
+                    stop = min(start + CHUNK + k - 1, len(units))
+                    a, b = (start, stop) if ends is None else (int(ends[start - 1]) if start else 0, int(ends[stop - 1]))
+                    waiting.append((doc.as_py(), crc.as_py(), start, units[start:stop], None if ends is None else ends[start:stop], a, data[a:b]))
+                    size += stop - start
                     if size >= CHUNK:
                         work()
                         waiting, size = [], 0
-                        if sender.held >= 3.4 * flush_bytes:
-                            yield from sender.flush(k)
+                        if sender.held >= 3.2 * flush_bytes:
+                            yield from sender.flush()
         if waiting:
             work()
-        yield from sender.flush(k)
+        yield from sender.flush()
 
-    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows_of(spans: list) -> pa.RecordBatch:
-            out = list(grouped(spans))
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["doc_id", "crc", "spans"])
+    schema = arrow_schema(ddl)
+    names = ("part", "kind", "doc_id", "crc", "spans", "blob")
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary())
 
-        now, blobs, spans = -1, [], []
+    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blobs, out = -1, [], []
+        laid = lambda spans: [(part_of(d, c), 0, d, c, s, None) for d, c, s in spans]
         for batch in batches:
-            own = batch.column(3).is_valid()
-            if pa.compute.any(own).as_py():
-                passed = batch.filter(own)
-                yield pa.RecordBatch.from_arrays([passed.column(i) for i in (1, 2, 3)], ["doc_id", "crc", "spans"])
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(4), strict=True):
+            for bucket, doc, crc, runs_, blob in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in range(1, 5)), strict=True):
                 if not blob.is_valid:
+                    out += laid([(doc.as_py(), crc.as_py(), runs_.as_py())])
                     continue
                 if bucket != now:
                     if blobs:
-                        spans += found(*decoded(blobs))
+                        out += laid(of_list(found(*decoded(blobs))))
                     now, blobs = bucket, []
-                    if len(spans) > 200_000:
-                        yield rows_of(spans)
-                        spans = []
+                    if len(out) > 20_000:
+                        yield from _rows(out, names, types, 5000)
+                        out = []
                 blobs.append(blob.as_py())
         if blobs:
-            spans += found(*decoded(blobs))
-        yield rows_of(spans)
-
-    sent = rows.select("_id", "_crc", "text").mapInArrow(send, _SENT)
-    got = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(receive, SPANS)
-    return got.groupBy("doc_id", "crc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+            out += laid(of_list(found(*decoded(blobs))))
+        yield from _rows(out, names, types, 5000)
 
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows packed by part: ids, checksums and texts as one compressed blob."""
+        held: dict[int, list[tuple]] = {}
+        size, squeeze = 0, zstd.ZstdCompressor(level=_LEVEL)
 
-def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, text and the row's spans (null: none)."""
-    spans = spans.select(F.col("doc_id").alias("_s_id"), F.col("crc").alias("_s_crc"), "spans")
-    return rows.join(spans.hint("shuffle_hash"), (F.col("_id") == F.col("_s_id")) & (F.col("_crc") == F.col("_s_crc")), "left").select("doc_id", "text", "spans")
+        def packed() -> Iterator[pa.RecordBatch]:
+            out = [(part, 1, None, None, None, squeeze.compress(pickle.dumps(own, 5))) for part, own in held.items()]
+            yield from _rows(out, names, types)
 
+        for batch in batches:
+            for doc, crc, text, own in zip(*(batch.column(i) for i in range(4)), strict=True):
+                data = text.as_py()
+                held.setdefault(part_of(doc.as_py(), crc.as_py()), []).append((own.as_py(), doc.as_py(), crc.as_py(), data))
+                size += len(data or b"")
+            if size >= flush_bytes:
+                yield from packed()
+                held, size = {}, 0
+        yield from packed()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, spans, out, held = -1, {}, [], 0
+        for batch in batches:
+            for part, kind, doc, crc, runs_, blob in zip(*(batch.column(i) for i in range(6)), strict=True):
+                if part.as_py() != now:
+                    now, spans = part.as_py(), {}
+                if kind.as_py() == 0:
+                    spans.setdefault((doc.as_py(), crc.as_py()), []).append(runs_.values.to_numpy())
+                    continue
+                for own, i, c, text in pickle.loads(zstd.ZstdDecompressor().decompress(blob.as_py())):
+                    a = np.concatenate(spans[i, c]).astype(np.int64).reshape(-1, 2) if (i, c) in spans else np.empty((0, 2), np.int64)
+                    out.append((own, *finish(text or b"", *merged_runs(a[:, 0], a[:, 1]))))
+                    held += len(text or b"")
+                    if held > 2_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                        out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
+    sent = rows.select("_id", "_crc", "text").mapInArrow(send, _SENT)
+    got = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(receive, _LAID)
+    laid = rows.select("_id", "_crc", "text", "doc_id").mapInArrow(lay, _LAID)
+    return got.unionByName(laid).repartition("part").sortWithinPartitions("part", "kind").mapInArrow(gather, ddl)

@@ -14,16 +14,14 @@ one document, and remove nothing from each other; a null id counts as larger tha
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import WordHashes, documents, merged_runs
-from ._segments import Smaller, hot_grams, keyed, radix_groups, spans_of, with_spans
+from ._common import WordHashes, documents
+from ._segments import hot_grams, keyed, radix_groups, smaller, without
 
-GRAM = 4
+GRAM = 2
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 _hashes = WordHashes()
 
@@ -32,9 +30,9 @@ def units(text: bytes) -> np.ndarray:
     return _hashes.of(text.split())
 
 
-def _cut(text: bytes):
+def _cut(text: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
     words = text.split()
-    return _hashes.of(words), lambda a, b: b" ".join(words[a:b])
+    return _hashes.of(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1), b" ".join(words) + b" "
 
 
 def repeated(columns: dict[str, np.ndarray], segments: list[bytes], window: int) -> list[tuple[int, int, int, int]]:
@@ -74,27 +72,19 @@ def repeated(columns: dict[str, np.ndarray], segments: list[bytes], window: int)
     return spans
 
 
-def without_passages(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, bucket_bytes: int = 3_000_000, flush_bytes: int = 12_000_000) -> DataFrame:
+def without_passages(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, bucket_bytes: int = 4_000_000, flush_bytes: int = 12_000_000) -> DataFrame:
     """Per document: words, words removed, and the kept words joined by one space with their digest."""
     if window < gram:
         raise ValueError("the window must be no less than the gram")
     rows = keyed(docs, id_col, text_col)
-    spans = spans_of(rows, _cut, lambda c, s: repeated(c, s, window), Smaller, k=window, m=gram, hot=hot_grams(rows, units, gram), bucket_bytes=bucket_bytes, flush_bytes=flush_bytes)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch, out = whole.slice(at, 256), []
-                for text, runs in zip(batch.column(1), batch.column(2), strict=True):
-                    words = (text.as_py() or b"").split()
-                    a = np.array(runs.as_py() or [], np.int64).reshape(-1, 2)
-                    s, e = merged_runs(a[:, 0], a[:, 1])
-                    kept = [w for x, y in zip([0, *e.tolist()], [*s.tolist(), len(words)], strict=True) for w in words[x:y]] if len(s) else words
-                    data = b" ".join(kept)
-                    out.append((len(words), len(words) - len(kept), hashlib.sha256(data).hexdigest(), data.decode("utf-8", "replace")))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    return with_spans(rows, spans).mapInArrow(finish, OUT)
+    return without(rows, _cut, 1, lambda c, s: repeated(c, s, window), smaller, _finish, OUT, k=window, m=gram, hot=hot_grams(rows, units, gram), bucket_bytes=bucket_bytes, flush_bytes=flush_bytes)
+
+
+def _finish(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple:
+    words = text.split()
+    kept = [w for x, y in zip([0, *ends.tolist()], [*starts.tolist(), len(words)], strict=True) for w in words[x:y]] if len(starts) else words
+    data = b" ".join(kept)
+    return len(words), len(words) - len(kept), hashlib.sha256(data).hexdigest(), data.decode("utf-8", "replace")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,16 +18,14 @@ occurrences within a text count; a null id is carried through.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import documents, merged_runs, mixed
-from ._segments import Equal, hot_grams, keyed, radix_groups, spans_of, with_spans
+from ._common import documents, mixed
+from ._segments import equal, hot_grams, keyed, radix_groups, without
 
-GRAM = 32
+GRAM = 16
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
@@ -36,8 +34,8 @@ def units(text: bytes) -> np.ndarray:
     return _BYTE[np.frombuffer(text, np.uint8)]
 
 
-def _cut(text: bytes):
-    return units(text), lambda a, b: text[a:b]
+def _cut(text: bytes) -> tuple[np.ndarray, None, bytes]:
+    return units(text), None, text
 
 
 def repeated(columns: dict[str, np.ndarray], segments: list[bytes], depth: int) -> list[tuple[int, int, int, int]]:
@@ -82,21 +80,12 @@ def without_repeats(docs: DataFrame, *, depth: int = 200, id_col: str = "doc_id"
     if depth < max(8, gram):
         raise ValueError("depth must be at least 8 bytes and no less than the gram")
     rows = keyed(docs, id_col, text_col)
-    spans = spans_of(rows, _cut, lambda c, s: repeated(c, s, depth), Equal, k=depth, m=gram, hot=hot_grams(rows, units, gram), bucket_bytes=bucket_bytes, flush_bytes=flush_bytes)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch, out = whole.slice(at, 256), []
-                for text, runs in zip(batch.column(1), batch.column(2), strict=True):
-                    data = text.as_py() or b""
-                    a = np.array(runs.as_py() or [], np.int64).reshape(-1, 2)
-                    s, e = merged_runs(a[:, 0], a[:, 1])
-                    kept = b"".join(data[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), len(data)], strict=True)) if len(s) else data
-                    out.append((len(data), len(data) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), kept))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return with_spans(rows, spans).mapInArrow(finish, OUT)
+    return without(rows, _cut, 0, lambda c, s: repeated(c, s, depth), equal, _finish, OUT, k=depth, m=gram, hot=hot_grams(rows, units, gram), bucket_bytes=bucket_bytes, flush_bytes=flush_bytes)
+
+
+def _finish(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple:
+    kept = b"".join(text[x:y] for x, y in zip([0, *ends.tolist()], [*starts.tolist(), len(text)], strict=True)) if len(starts) else text
+    return len(text), len(text) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), kept
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
