@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from ._common import documents, fold_of
+from ._common import documents, fold_of, staged
 
 UNDETERMINED = "und"
 GRAMS = (5, 4, 3, 2, 1)
@@ -96,7 +96,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", samp
     share = min(1.0, sample_bytes / max(total, 1))
     sample = rows.where((F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000)))) if share < 1 else rows
     tokens = sample.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word"))
-    counts = tokens.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = staged(tokens.groupBy("lang", "word").agg(F.count("*").alias("n")), "word-counts")
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     by_word = counts.groupBy("word").pivot("lang", langs).agg(F.sum("n")).na.fill(0) if langs else None
     if by_word is None:
@@ -107,6 +107,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", samp
         sums = sums + c
     by_word = by_word.select("word", F.array(*columns).alias("n"), sums.alias("all")).where(F.length("word") <= 40)
     pieces = F.flatten(F.array(*[F.expr(f"transform(sequence(1, greatest(length(word) + 3 - {n}, 1)), i -> substring(concat(' ', word, ' '), i, {n}))") for n in GRAMS]))
+    by_word = staged(by_word, "words")
     grams = by_word.select(F.explode(pieces).alias("word"), "n", "all").where((F.length("word") > 0) & (F.trim("word") != ""))
     grams = grams.groupBy("word").agg(F.array(*[F.sum(F.col("n")[i]) for i in range(len(langs))]).alias("n"), F.sum("all").alias("all"))
     return Model(langs, _logs(by_word, langs, max_words, min_count), _logs(grams, langs, max_grams, min_count))
