@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,56 +36,71 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class Model:
+    """Log frequencies: a row of the tables for each known word and n-gram, a column for each language."""
+
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    word_table: np.ndarray
+    grams: dict[str, int]
+    gram_table: np.ndarray
 
     def of_word(self, word: str) -> np.ndarray | None:
         """Log frequency by language, or None if nothing of the word is known."""
         found = self.words.get(word)
         if found is not None:
-            return found
-        edged = f" {word[:40]} "
+            return self.word_table[found]
+        edged, get = f" {word[:40]} ", self.grams.get
         for n in GRAMS:
-            known = [g for i in range(len(edged) - n + 1) if (g := self.grams.get(edged[i : i + n])) is not None]
+            known = [g for i in range(len(edged) - n + 1) if (g := get(edged[i : i + n])) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return np.add.reduce(self.gram_table[known]) / len(known)
         return None
 
 
-class _Memo(dict):
+class Memo(dict):
+    """word -> row of a table of log frequencies, kept between texts; row 0 is that of words of which nothing is known."""
+
     limit = 200_000
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.model, self.table, self.used = model, np.zeros((self.limit + 1, max(len(model.langs), 1))), 1
 
-    def __missing__(self, word: str) -> np.ndarray | None:
+    def __missing__(self, word: str) -> int:
         value = self.model.of_word(word)
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = value
-        return value
-
-
-def detect(text: str | None, model: Model, memo: dict | None = None) -> tuple[str, float]:
+        row = 0
+        if value is not None:
+            row = self.used
+            self.table[row] = value
+            self.used += 1
+        self[word] = row
+        return row
+
+    def total(self, words: list[str]) -> tuple[np.ndarray, int]:
+        """Sum of the words' rows, and of how many words something is known."""
+        out, seen = np.zeros(self.table.shape[1]), 0
+        for at in range(0, len(words), self.limit // 2):
+            part = words[at : at + self.limit // 2]
+            if max(self.used, len(self)) + len(part) > self.limit:
+                self.clear()
+                self.used = 1
+            rows = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+            out += self.table[rows].sum(axis=0)
+            seen += int(np.count_nonzero(rows))
+        return out, seen
+
+
+def detect(text: str | None, memo: Memo) -> tuple[str, float]:
     words = _LETTERS.findall(text.lower()) if text else []
-    if not words or not model.langs:
+    langs = memo.model.langs
+    if not words or not langs:
         return UNDETERMINED, 0.0
-    memo = _Memo(model) if memo is None else memo
-    total, seen = np.zeros(len(model.langs)), 0
-    for word, n in Counter(words).items():
-        found = memo[word]
-        if found is not None:
-            total += n * found
-            seen += n
-    if not seen:
-        total += 1.0
+    total, seen = memo.total(words)
     # evidence of neighbouring words is dependent: a mean, sharpened with the root of the number of words
-    share = total / max(seen, 1) * math.sqrt(max(seen, 1))
+    share = total / math.sqrt(max(seen, 1))
     share = np.exp(share - share.max())
     best = int(np.argmax(total))
-    return model.langs[best], float(share[best] / share.sum())
+    return langs[best], float(share[best] / share.sum())
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample_bytes: int = 24_000_000, max_words: int = 120_000, max_grams: int = 120_000, min_count: int = 2) -> Model:
@@ -100,7 +114,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", samp
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     by_word = counts.groupBy("word").pivot("lang", langs).agg(F.sum("n")).na.fill(0) if langs else None
     if by_word is None:
-        return Model([], {}, {})
+        return Model([], {}, np.zeros((0, 1)), {}, np.zeros((0, 1)))
     columns = [F.col(f"`{x}`") for x in langs]
     sums = F.lit(0).cast("long")
     for c in columns:
@@ -110,16 +124,16 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", samp
     by_word = staged(by_word, "words")
     grams = by_word.select(F.explode(pieces).alias("word"), "n", "all").where((F.length("word") > 0) & (F.trim("word") != ""))
     grams = grams.groupBy("word").agg(F.array(*[F.sum(F.col("n")[i]) for i in range(len(langs))]).alias("n"), F.sum("all").alias("all"))
-    return Model(langs, _logs(by_word, langs, max_words, min_count), _logs(grams, langs, max_grams, min_count))
+    return Model(langs, *_logs(by_word, langs, max_words, min_count), *_logs(grams, langs, max_grams, min_count))
 
 
-def _logs(counts: DataFrame, langs: list[str], most: int, least: int) -> dict[str, np.ndarray]:
+def _logs(counts: DataFrame, langs: list[str], most: int, least: int) -> tuple[dict[str, int], np.ndarray]:
     """Log frequency with half a count added; the `most` most frequent entries."""
     kept = counts.where(F.col("all") >= least).orderBy(F.desc("all"), "word").limit(most).toArrow()
     words = kept.column("word").to_pylist()
     n = np.array(kept.column("n").to_pylist(), float).reshape(len(words), len(langs))
     table = np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * max(len(words), 1)))
-    return {w: table[i] for i, w in enumerate(words)}
+    return {w: i for i, w in enumerate(words)}, table
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -131,9 +145,9 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: lis
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo(shared.value)
+        memo = Memo(shared.value)
         for batch in batches:
-            got = [detect(t, shared.value, memo) for t in batch.column(at).to_pylist()]
+            got = [detect(t, memo) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*kept, "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)
