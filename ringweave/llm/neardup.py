@@ -11,8 +11,9 @@ fixed chain that is the same for all documents.
 3. Pairs whose collision-corrected estimate is out of reach of the threshold are dropped, the rest
    are confirmed on the full sets of shingles; confirmed links give components.
 4. A bucket that holds several components may hide links between members other than the pivot. Its
-   members, dealt in blocks, are compared block by block on their registers, across components only;
-   what the estimate leaves is confirmed on the full sets as well, and the components are joined.
+   members, dealt in blocks, are compared block by block, across components only, on registers and, as
+   far as the estimate leaves them, on their sets. Links found so are confirmed like the others, and the
+   components are joined. No pair that isn't a link leaves its block.
 
 A truly linked pair shares no band with a probability under 1e-10 at the threshold.
 
@@ -162,41 +163,74 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _block_pairs(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Pairs of unresolved buckets' members, across components, that the estimate leaves.
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """node and its set as sorted hashes."""
 
-    members: key, size, band, node, label, n, registers. A bucket of s members is dealt to s / block
-    blocks and each pair of blocks is one group, so a group's size is bounded. A pair is given by the
-    first band it shares.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t, shingle).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "hashes"])
+
+    return texts.select("rep", "text").mapInArrow(run, "node long, hashes binary")
+
+
+def _block_links(members: DataFrame, percent: int, block: int, block_bytes: int) -> DataFrame:
+    """Links between members of unresolved buckets, across components: per pair of blocks a spanning set of them.
+
+    members: key, size, bytes, band, node, label, registers, hashes. A bucket is dealt to blocks of about
+    `block` members and `block_bytes` of sets, and each pair of blocks is one group, so a group is bounded.
+    A pair is compared in the first band it shares; pairs never leave the group, links do, and of those
+    only such as join two components that the group has not joined yet.
     """
-    blocks = F.ceil(F.col("size") / block).cast("int")
+    threshold = percent / 100
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("bytes") / block_bytes)).cast("int")
     dealt = members.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node"), blocks).cast("int")})
     pairs = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
 
     def run(table: pa.Table) -> pa.Table:
-        own, lo, hi = (table.column(c).to_numpy() for c in ("own", "lo", "hi"))
-        node, label, n = (table.column(c).to_numpy() for c in ("node", "label", "n"))
-        band = int(table.column("band")[0].as_py())
+        own, node, label = (table.column(c).to_numpy() for c in ("own", "node", "label"))
+        lo, hi, band = (int(table.column(c)[0].as_py()) for c in ("lo", "hi", "band"))
         r = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        sets = [np.frombuffer(h, np.uint64) for h in table.column("hashes").to_pylist()]
+        n = np.array([len(h) for h in sets])
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
         left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
         out: tuple[list, list] = ([], [])
         for i in left.tolist():
-            others = right[(label[right] != label[i]) & (node[right] > node[i] if lo[0] == hi[0] else np.ones(len(right), bool))]
+            others = right[(label[right] != label[i]) & ((node[right] > node[i]) if lo == hi else True)]
             small, large = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
-            others = others[small >= threshold * large]
+            others = others[100 * small >= percent * large]
+            if not len(others):
+                continue
             same = r[others] == r[i]
-            first = same.reshape(len(others), BANDS, ROWS).all(axis=2).argmax(axis=1) if len(others) else np.empty(0, int)
-            others, same = others[first == band], same[first == band]
-            if len(others):
-                others = others[reach(same.mean(axis=1), np.full(len(others), n[i]), n[others], threshold)]
-                out[0].extend(np.maximum(node[others], node[i]).tolist())
-                out[1].extend(np.minimum(node[others], node[i]).tolist())
+            first = same.reshape(len(others), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            keep = first == band
+            keep[keep] = reach(same[keep].mean(axis=1), np.full(keep.sum(), n[i]), n[others[keep]], threshold)
+            others = others[keep]
+            for at in range(0, len(others), 1024):
+                part = others[at : at + 1024]
+                flat = np.concatenate([sets[k] for k in part])
+                place = np.minimum(np.searchsorted(sets[i], flat), n[i] - 1)
+                common = np.add.reduceat((sets[i][place] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(n[part])[:-1])))
+                for k in part[100 * common >= percent * (n[part] + n[i] - common)].tolist():
+                    x, y = root(int(label[i])), root(int(label[k]))
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        out[0].append(max(int(node[i]), int(node[k])))
+                        out[1].append(min(int(node[i]), int(node[k])))
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     return pairs.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = 2048, block_bytes: int = 8_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept, per row of docs."""
     threshold = percent / 100
     sketch = staged(sketches(docs, shingle=shingle, id_col=id_col, text_col=text_col), "sketch")
@@ -216,9 +250,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = 5, id_
     # buckets of more than two in which several components are left
     known = shared.where("size > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed_keys = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    left = known.join(mixed_keys, "key", "left_semi").select("key", "band", "size", F.col("rep").alias("node"), "label")
-    members = left.join(classes.select(F.col("rep").alias("node"), "n", "registers"), "node")
-    further = _block_pairs(members, threshold, block).distinct().join(likely, ["a", "b"], "left_anti")
+    left = staged(known.join(mixed_keys, "key", "left_semi").select("key", "band", F.col("rep").alias("node"), "label").join(classes.select(F.col("rep").alias("node"), "n", "registers"), "node"), "unresolved")
+    sizes = left.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.col("n") * 8).alias("bytes"))
+    sets = _shingle_sets(texts.join(left.select(F.col("node").alias("rep")).distinct(), "rep", "left_semi").dropDuplicates(["rep"]), shingle)
+    members = left.join(sizes, "key").join(sets, "node")
+    further = _block_links(members, percent, block, block_bytes).distinct()
     more = staged(_confirmed(further, texts, percent, shingle), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
