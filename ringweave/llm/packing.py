@@ -2,7 +2,7 @@
 
 Documents are dealt to shards by a hash of their id and text, so no key can make a shard large: the
 number of shards follows the bytes of text. Each shard is a BM25 inverted index over token ids. A seed
-document, the first that is unused, queries the index with its rarest tokens, and its best unused
+document, the first that is unused, queries the index with all of its tokens, and its best unused
 neighbours follow it until the window of `window` tokens is full; a document that does not fit is cut
 and goes on in the next window, whose seed it is. Only the shard's last window can be short: it is cut
 into sequences whose lengths are powers of two, which need no padding.
@@ -77,7 +77,7 @@ def encoder(tokenizer: str, ranks: str) -> Encoder:
 class Index:
     """A BM25 inverted index over the token ids of a shard's documents."""
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75, terms: int = 12):
+    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
         n = len(docs)
         size = np.array([len(d) for d in docs], float)
         ids, of, tf = [], [], []
@@ -95,13 +95,12 @@ class Index:
         self.df, self.idf = df, np.log(1 + (n - df + 0.5) / (df + 0.5))
         self.start = np.concatenate(([0], np.cumsum(df)))
         weight = count * (k1 + 1) / (count + k1 * (1 - b + b * size[doc] / max(size.mean(), 1)))
-        self.doc, self.weight, self.n, self.terms = doc[order], (weight * self.idf[self.term_of])[order], n, terms
+        self.doc, self.weight, self.n = doc[order], (weight * self.idf[self.term_of])[order], n
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Rows by falling score for the seed's rarest tokens that another row holds; without a score: none."""
+        """Rows by falling score for all of the seed's tokens; without a score: none."""
         own = self.term_of[self.bounds[seed] : self.bounds[seed + 1]]
-        own = own[self.df[own] > 1]
-        own = own[np.argsort(self.df[own], kind="stable")[: self.terms]]
+        own = own[self.df[own] > 1]  # a token of no other row scores none
         if not len(own):
             return own
         at = np.concatenate([np.arange(self.start[t], self.start[t + 1]) for t in own])

@@ -274,6 +274,14 @@ def test_neighbours_share_windows():
     assert sum(a % 5 == b % 5 for a, b in itertools.pairwise(order)) > 80
 
 
+def test_all_of_a_seed_s_tokens_count():
+    common = np.arange(200, dtype=np.uint32)
+    rare = np.arange(1000, 1012, dtype=np.uint32)
+    strangers = [np.append(np.arange(2000 + 100 * i, 2100 + 100 * i, dtype=np.uint32), r) for i, r in enumerate(rare)]
+    docs = [np.concatenate((common, rare)), *strangers, common, common[:150]]
+    assert packing.Index(docs).neighbours(0)[:3].tolist() == [0, 13, 14]
+
+
 # --- near duplicates
 
 
