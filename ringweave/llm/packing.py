@@ -1,17 +1,26 @@
 """Sequence packing by lexical retrieval.
 
-Documents are dealt to shards by a hash of their id and text, so no key can make a shard large: the
-number of shards follows the bytes of text. Each shard is a BM25 inverted index over token ids. A seed
-document, the first that is unused, queries the index with all of its tokens, and its best unused
-neighbours follow it until the window of `window` tokens is full; a document that does not fit is cut
-and goes on in the next window, whose seed it is. Only the shard's last window can be short: it is cut
-into sequences whose lengths are powers of two, which need no padding.
+A seed document, the first that is unused, queries all unused documents by BM25 with all of its tokens,
+and its best unused neighbours follow it until the window of `window` tokens is full; a document that
+does not fit is cut and goes on in the next window, whose seed it is.
+
+A table of at most `shard_bytes` of text is laid out in one task. A larger one is numbered, encoded and
+staged in blocks, and filled by `lanes` side by side: in each round every lane's seed is scored against
+every unused document of every block, with figures of the whole table, and the `most` best of each seed
+are dealt to the lanes in order. A lane whose candidates others took first asks again in the next round
+for the same window, so no candidate is lost to the length of the list. Each window is thus filled with
+the best of the whole table that are unused when it is filled; only the order in which windows are
+filled depends on the lanes. The lanes' last windows are laid end to end, so that only the table's last
+window can be short: it is cut into sequences whose lengths are powers of two, which need no padding.
+
+The scoring takes seeds times unused documents: it grows with the square of the table. The driver holds
+a few numbers for each document and collects `most` candidates for each lane and task in a round.
 
 Tokens: those of `public_tokenizers.path("byte_bpe_50k.json")` without special tokens, then the end id.
 
 Defined cases: null and empty texts are the end id alone; every token of every row is placed exactly
-once; repeated rows are packed one by one; ties between neighbours go to the earlier row; an empty
-table gives no pieces.
+once; repeated rows are packed one by one; ties between neighbours go to the earlier row (null ids come
+last; the scores of a staged table are sums of 32-bit floats); an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -28,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_schema, documents
+from ._common import arrow_schema, documents, staged
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -75,7 +84,7 @@ def encoder(tokenizer: str, ranks: str) -> Encoder:
 
 
 class Index:
-    """A BM25 inverted index over the token ids of a shard's documents."""
+    """A BM25 inverted index over the token ids of documents."""
 
     def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
         n = len(docs)
@@ -110,7 +119,7 @@ class Index:
 
 
 def order_of(docs: list[np.ndarray], window: int) -> list[int]:
-    """The order in which a shard's documents are laid end to end."""
+    """The order in which the documents of one task are laid end to end."""
     index, used, out = Index(docs) if docs else None, np.zeros(len(docs), bool), []
     filled = cursor = 0
 
@@ -160,29 +169,281 @@ def lay(ids: list, docs: list[np.ndarray], order: list[int], first: int, window:
             at += n
 
 
-def pack(docs: DataFrame, *, window: int = 2048, end_id: int = 1, tokenizer: str | None = None, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 3_000_000) -> DataFrame:
-    """One row per piece, with its token ids; sequence ids are unique over shards (shard * 2^32 + number)."""
+class Scores:
+    """BM25 scores of documents for many seeds at once: common tokens by a matrix product, rare ones pair by pair."""
+
+    def __init__(self, seeds: list[np.ndarray], df: np.ndarray, n: int, mean: float, k1: float = 1.2, b: float = 0.75):
+        self.seeds, self.k1, self.b, self.mean = len(seeds), k1, b, max(mean, 1)
+        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        self.column = np.where(df * 32 >= n, 0, -1)
+        common = np.flatnonzero(self.column == 0)
+        self.column[common] = np.arange(len(common))
+        flat, of = np.concatenate(seeds), np.repeat(np.arange(self.seeds), list(map(len, seeds)))
+        at = self.column[flat]
+        self.common = np.zeros((self.seeds, len(common)), np.float32)
+        self.common[of[at >= 0], at[at >= 0]] = 1
+        rare, of = flat[at < 0], of[at < 0]
+        self.rare = of[np.argsort(rare, kind="stable")]
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(rare, minlength=len(df)))))
+
+    def of(self, sizes: np.ndarray, counts: np.ndarray, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        """A row for each seed, a column for each document; counts are of the documents' terms."""
+        n = len(sizes)
+        doc = np.repeat(np.arange(n), counts)
+        norm = self.k1 * (1 - self.b + self.b * sizes / self.mean)
+        weight = (self.idf[terms] * tf * (self.k1 + 1) / (tf + norm[doc])).astype(np.float32)
+        at = self.column[terms]
+        is_common = at >= 0
+        block = np.zeros((self.common.shape[1], n), np.float32)
+        block[at[is_common], doc[is_common]] = weight[is_common]
+        out = self.common @ block
+        t, doc, weight = terms[~is_common], doc[~is_common], weight[~is_common]
+        times = self.start[t + 1] - self.start[t]
+        pair = np.repeat(np.arange(len(t)), times)
+        nth = np.arange(len(pair)) - np.repeat(np.cumsum(times) - times, times)
+        np.add.at(out.reshape(-1), self.rare[self.start[t][pair] + nth] * n + doc[pair], weight[pair])
+        return out
+
+
+class Best:
+    """The `most` best documents of each seed, equal scores by row."""
+
+    def __init__(self, seeds: int, most: int):
+        self.most, self.low = most, np.full(seeds, np.finfo(np.float32).tiny, np.float32)
+        self.seed, self.row, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+
+    def add(self, rows: np.ndarray, scores: np.ndarray) -> None:
+        hit = scores >= self.low[:, None]
+        if len(rows) > self.most and np.count_nonzero(hit) > 2 * self.most * len(self.low):
+            self.low = np.maximum(self.low, np.partition(scores, len(rows) - self.most, axis=1)[:, len(rows) - self.most])
+            hit = scores >= self.low[:, None]
+        seed, at = np.nonzero(hit)
+        self.extend(seed, rows[at], scores[seed, at])
+        if len(self.seed) > 8 * self.most * len(self.low):
+            self.cut()
+
+    def extend(self, seed: np.ndarray, row: np.ndarray, score: np.ndarray) -> None:
+        self.seed, self.row, self.score = np.append(self.seed, seed), np.append(self.row, row), np.append(self.score, score)
+
+    def cut(self) -> np.ndarray:
+        """Drops what is not among the best; returns where each seed's begin."""
+        order = np.lexsort((self.row, -self.score, self.seed))
+        seed = self.seed[order]
+        start = np.searchsorted(seed, np.arange(len(self.low) + 1))
+        order = order[np.arange(len(seed)) - start[seed] < self.most]
+        self.seed, self.row, self.score = self.seed[order], self.row[order], self.score[order]
+        start = np.searchsorted(self.seed, np.arange(len(self.low) + 1))
+        full = np.flatnonzero(np.diff(start) == self.most)
+        self.low[full] = np.maximum(self.low[full], self.score[start[full + 1] - 1])
+        return start
+
+
+class Lanes:
+    """Windows filled side by side from one stock of documents."""
+
+    def __init__(self, sizes: np.ndarray, window: int, lanes: int):
+        self.sizes, self.window, self.used = sizes, window, np.zeros(len(sizes), bool)
+        self.at, self.lane = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int32)
+        self.filled, self.seed, self.cursor = [0] * lanes, [-1] * lanes, 0
+
+    def _place(self, lane: int, d: int) -> None:
+        self.used[d], self.lane[d], self.at[d], self.seed[lane] = True, lane, self.filled[lane], d
+        self.filled[lane] += int(self.sizes[d])
+
+    def asking(self) -> list[int]:
+        """Lanes whose seeds have room behind them; a lane without a seed takes the first unused document."""
+        for lane in range(len(self.seed)):
+            while self.seed[lane] < 0 or self.filled[lane] % self.window == 0:
+                while self.cursor < len(self.used) and self.used[self.cursor]:
+                    self.cursor += 1
+                if self.cursor == len(self.used):
+                    self.seed[lane] = -1
+                    break
+                self._place(lane, self.cursor)
+        return [] if self.used.all() else [lane for lane, d in enumerate(self.seed) if d >= 0]
+
+    def fill(self, lane: int, found: np.ndarray, whole: bool) -> None:
+        """Places the best that are unused; whole: there are no others with a score."""
+        seed, end = self.seed[lane], -(-self.filled[lane] // self.window) * self.window
+        for d in found.tolist():
+            if self.filled[lane] >= end:
+                break
+            if not self.used[d]:
+                self._place(lane, d)
+        if self.filled[lane] < end:
+            self.seed[lane] = -1 if whole else seed
+        elif self.filled[lane] == end:
+            self.seed[lane] = -1
+
+
+class Layout:
+    """Where tokens go: the lanes' whole windows one after another, then the rests of the lanes end to end."""
+
+    def __init__(self, lanes: Lanes):
+        filled, self.window = np.array(lanes.filled, np.int64), lanes.window
+        starts = lambda n: np.cumsum(n) - n
+        self.first, self.full = starts(filled), filled // self.window * self.window
+        self.head, self.tail = starts(self.full), self.full.sum() + starts(filled - self.full)
+        self.at = self.first[lanes.lane] + lanes.at
+        self.whole = int(filled.sum()) // self.window
+        lengths = sequences(int(filled.sum()) % self.window, self.window)
+        self.ends = self.whole * self.window + np.cumsum([0, *lengths])
+
+    def pieces(self, d: int, n: int) -> Iterator[tuple[int, int, int, int]]:
+        """(start, length, sequence, offset) of document d with n tokens."""
+        lane, start = int(np.searchsorted(self.first, self.at[d], "right")) - 1, 0
+        while start < n:
+            here, full = int(self.at[d] - self.first[lane]) + start, int(self.full[lane])
+            room = full - here if here < full else n
+            at = int(self.head[lane]) + here if here < full else int(self.tail[lane]) + here - full
+            if at < self.whole * self.window:
+                sequence, offset = divmod(at, self.window)
+                room = min(room, self.window - offset)
+            else:
+                k = int(np.searchsorted(self.ends, at, "right")) - 1
+                sequence, offset, room = self.whole + k, at - int(self.ends[k]), min(room, int(self.ends[k + 1]) - at)
+            length = min(n - start, room)
+            yield start, length, sequence, offset
+            start += length
+
+
+def _encoded(code: Encoder, texts: pa.ChunkedArray | pa.Array, end_id: int) -> Iterator[np.ndarray]:
+    for lo in range(0, len(texts), 128):
+        for ids in code.encode(texts.slice(lo, 128).to_pylist()):
+            yield np.append(ids, np.uint32(end_id))
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u4") for x in column.to_pylist()]
+
+
+def pack(docs: DataFrame, *, window: int = 2048, end_id: int = 1, tokenizer: str | None = None, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 3_000_000, lanes: int | None = None, most: int = 8) -> DataFrame:
+    """One row per piece, with its token ids; sequences are numbered over the whole table."""
     if tokenizer is None or ranks is None:
         import public_tokenizers
 
         tokenizer, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total, n = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64), F.count("*")).first()
-    shards = max(1, -(-(total or 0) // shard_bytes))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 64)), F.lit(shards)))
+    blocks = max(1, -(-(total or 0) // shard_bytes))
     schema = arrow_schema(PIECES)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        shard, code = key[0].as_py(), encoder(tokenizer, ranks)
+        code = encoder(tokenizer, ranks)
         table = table.sort_by([("doc_id", "ascending")])
-        ids, texts = table.column("doc_id").to_pylist(), table.column("text")
-        found: list[np.ndarray] = []
-        for lo in range(0, len(ids), 128):
-            found += [np.append(b, np.uint32(end_id)) for b in code.encode(texts.slice(lo, 128).to_pylist())]
-        pieces = list(lay(ids, found, order_of(found, window), shard << 32, window))
+        found = list(_encoded(code, table.column("text"), end_id))
+        pieces = list(lay(table.column("doc_id").to_pylist(), found, order_of(found, window), 0, window))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pieces, strict=True), schema, strict=True)], schema=schema)
 
-    return dealt.groupBy("shard").applyInArrow(run, PIECES)
+    if blocks == 1:
+        return rows.withColumn("shard", F.lit(0)).groupBy("shard").applyInArrow(run, PIECES)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = encoder(tokenizer, ranks)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
+                ids = list(_encoded(code, batch.column(2), end_id))
+                terms = [np.unique(d, return_counts=True) for d in ids]
+                bytes_of = lambda found: pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, ids), pa.int64()), bytes_of(ids), bytes_of([t for t, _ in terms]), bytes_of([c for _, c in terms])], ["row", "doc_id", "n", "ids", "terms", "tf"])
+
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
+    numbered = rows.repartitionByRange(blocks, *order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    tokens = staged(numbered.mapInArrow(encode, "row long, doc_id long, n long, ids binary, terms binary, tf binary"), "tokens")
+    layout, number = _filled(tokens, window, lanes, most)
+    shared = tokens.sparkSession.sparkContext.broadcast((layout, number))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layout, number = shared.value
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                batch, out = whole.slice(lo, 1024), []
+                for d, name, ids in zip(number(batch.column(0)), batch.column(1).to_pylist(), _arrays(batch.column(2)), strict=True):
+                    for start, length, sequence, offset in layout.pieces(d, len(ids)):
+                        piece = ids[start : start + length].tobytes()
+                        out.append((name, start, length, zlib.crc32(piece), len(ids), sequence, offset, piece))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return tokens.select("row", "doc_id", "ids").mapInArrow(cut, PIECES)
+
+
+class _Number:
+    """Row numbers without gaps, from partition and place in it."""
+
+    def __init__(self, rows: np.ndarray):
+        part, count = np.unique(rows >> 33, return_counts=True)
+        self.start = np.zeros(int(part[-1]) + 1, np.int64)
+        self.start[part] = np.cumsum(count) - count
+
+    def __call__(self, rows: pa.Array) -> np.ndarray:
+        found = rows.to_numpy(zero_copy_only=False)
+        return self.start[found >> 33] + (found & ((1 << 33) - 1))
+
+
+def _filled(tokens: DataFrame, window: int, lanes: int | None, most: int) -> tuple[Layout, _Number]:
+    """Rounds of retrieval until every document has its place."""
+    context = tokens.sparkSession.sparkContext
+    tasks = 2 * context.defaultParallelism
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(0, np.int64)
+        for batch in batches:
+            found = np.bincount(np.concatenate([*_arrays(batch.column(0)), np.empty(0, "<u4")]))
+            df, found = (df, found) if len(df) >= len(found) else (found, df)
+            df[: len(found)] += found
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "n"])
+
+    counted = tokens.select("terms").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term = counted.column("term").to_numpy()
+    df = np.zeros(int(term.max()) + 1, np.int64)
+    df[term] = counted.column("n").to_numpy()
+    found = tokens.select("row", "n").toArrow().sort_by("row")
+    number, sizes = _Number(found.column("row").to_numpy()), found.column("n").to_numpy()
+    # some 32 windows a lane, so that there are about as many rounds while what a round collects stays bounded
+    state = Lanes(sizes, window, lanes or int(max(1, min(sizes.sum() // window // 32, 4096, 1_000_000 // tasks))))
+    few = tokens.coalesce(tasks)
+    while asking := state.asking():
+        seeds = np.array([state.seed[lane] for lane in asking])
+        wanted = context.broadcast((number, seeds))
+
+        def pick(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
+            number, seeds = wanted.value
+            for batch in batches:
+                d = number(batch.column(0))
+                at = np.flatnonzero(np.isin(d, seeds))
+                yield pa.RecordBatch.from_arrays([pa.array(d[at]), batch.column(1).take(pa.array(at))], ["row", "terms"])
+
+        got = few.select("row", "terms").mapInArrow(pick, "row long, terms binary").toArrow()
+        of = dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+        query = Scores([np.frombuffer(of[d], "<u4") for d in seeds.tolist()], df, len(sizes), float(sizes.mean()))
+        asked = context.broadcast((number, np.packbits(state.used), query))
+
+        def search(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+            number, used, query = asked.value
+            used, best = np.unpackbits(used), Best(query.seeds, most)
+            for whole in batches:
+                d = number(whole.column(0))
+                left = np.flatnonzero(used[d] == 0)
+                for lo in range(0, len(left), 512):
+                    at = left[lo : lo + 512]
+                    batch = whole.take(pa.array(at))
+                    terms = _arrays(batch.column(2))
+                    tf = np.concatenate(_arrays(batch.column(3)))
+                    best.add(d[at], query.of(batch.column(1).to_numpy(), list(map(len, terms)), np.concatenate(terms), tf))
+            best.cut()
+            yield pa.RecordBatch.from_arrays([pa.array(best.seed), pa.array(best.row), pa.array(best.score)], ["seed", "row", "score"])
+
+        got = few.select("row", "n", "terms", "tf").mapInArrow(search, "seed long, row long, score float").toArrow()
+        best = Best(len(seeds), most)
+        best.extend(*(c.to_numpy() for c in got.columns))
+        start = best.cut()
+        for i, lane in enumerate(asking):
+            state.fill(lane, best.row[start[i] : start[i + 1]], start[i + 1] - start[i] < most)
+        wanted.destroy()
+        asked.destroy()
+    return Layout(state), number
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

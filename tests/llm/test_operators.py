@@ -282,6 +282,22 @@ def test_all_of_a_seed_s_tokens_count():
     assert packing.Index(docs).neighbours(0)[:3].tolist() == [0, 13, 14]
 
 
+def test_neighbours_are_found_in_all_blocks(spark):
+    rng = random.Random(3)
+    vocab = [[f"{a}{b}{t}" for a in "bdfgk" for b in "aeiou"] for t in ("ron", "lim", "sut", "pez")]
+    data = [(i, " ".join(rng.choices(vocab[i % 4], k=rng.randrange(20, 60)))) for i in range(160)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    at = lambda got: sorted((r.sequence_id, r.offset, r.doc_id, r.start, r.length) for r in got.drop("ids").collect())
+    whole = at(packing.pack(docs, window=256))
+    # one lane over many blocks fills the windows that one task fills
+    assert at(packing.pack(docs, window=256, shard_bytes=3000, lanes=1, most=3)) == whole
+    beside = at(packing.pack(docs, window=256, shard_bytes=3000, lanes=4, most=3))
+    for got in (whole, beside):
+        assert sum(x[4] for x in got) == sum(x[4] for x in whole) and {x[2] for x in got} == set(range(160))
+        pairs = [(a[2] % 4, b[2] % 4) for a, b in itertools.pairwise(got) if a[0] == b[0]]
+        assert sum(a == b for a, b in pairs) > 0.85 * len(pairs)
+
+
 # --- near duplicates
 
 
