@@ -2,7 +2,8 @@
 
 A word that the model knows adds its log frequency in each language. An unseen word falls back to
 character n-grams, longest first: the first length at which any of its n-grams is known decides, with
-the mean of their log frequencies. A text takes the language of the largest sum; its score is that
+the mean of their log frequencies. A word is a whole run of letters, of any length; runs of over 40
+letters are never known as words and always go by all of their n-grams. A text takes the language of the largest sum; its score is that
 language's share of the likelihood, tempered by length.
 
 The model is fitted on a bounded sample: about `sample_bytes` of the training texts, chosen by hash, so
@@ -49,18 +50,26 @@ class Model:
         found = self.words.get(word)
         if found is not None:
             return self.word_table[found]
-        edged, get = f" {word[:40]} ", self.grams.get
+        edged, get = f" {word} ", self.grams.get
         for n in GRAMS:
-            known = [g for i in range(len(edged) - n + 1) if (g := get(edged[i : i + n])) is not None]
-            if known:
-                return np.add.reduce(self.gram_table[known]) / len(known)
+            total, seen = 0.0, 0
+            # in blocks, so that a run of any length takes bounded memory
+            for lo in range(0, len(edged) - n + 1, 65_536):
+                known = [g for i in range(lo, min(lo + 65_536, len(edged) - n + 1)) if (g := get(edged[i : i + n])) is not None]
+                if known:
+                    total, seen = total + np.add.reduce(self.gram_table[known]), seen + len(known)
+            if seen:
+                return total / seen
         return None
 
 
 class Memo(dict):
-    """word -> row of a table of log frequencies, kept between texts; row 0 is that of words of which nothing is known."""
+    """word -> row of a table of log frequencies, kept between texts; row 0 is that of words of which nothing is known.
 
-    limit = 200_000
+    Runs of over `longest` letters are scored alike but not kept.
+    """
+
+    limit, longest = 200_000, 40
 
     def __init__(self, model: Model):
         super().__init__()
@@ -79,6 +88,12 @@ class Memo(dict):
     def total(self, words: list[str]) -> tuple[np.ndarray, int]:
         """Sum of the words' rows, and of how many words something is known."""
         out, seen = np.zeros(self.table.shape[1]), 0
+        if max(map(len, words), default=0) > self.longest:
+            for value in (self.model.of_word(w) for w in words if len(w) > self.longest):
+                if value is not None:
+                    out += value
+                    seen += 1
+            words = [w for w in words if len(w) <= self.longest]
         for at in range(0, len(words), self.limit // 2):
             part = words[at : at + self.limit // 2]
             if max(self.used, len(self)) + len(part) > self.limit:
@@ -119,12 +134,19 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", samp
     sums = F.lit(0).cast("long")
     for c in columns:
         sums = sums + c
-    by_word = by_word.select("word", F.array(*columns).alias("n"), sums.alias("all")).where(F.length("word") <= 40)
+    by_word = by_word.select("word", F.array(*columns).alias("n"), sums.alias("all"))
     pieces = F.flatten(F.array(*[F.expr(f"transform(sequence(1, greatest(length(word) + 3 - {n}, 1)), i -> substring(concat(' ', word, ' '), i, {n}))") for n in GRAMS]))
     by_word = staged(by_word, "words")
-    grams = by_word.select(F.explode(pieces).alias("word"), "n", "all").where((F.length("word") > 0) & (F.trim("word") != ""))
+    short = F.length("word") <= Memo.longest
+    # substring() walks from the start: longer runs are first cut into blocks, each with the 4 letters that follow it
+    blocks = by_word.where(~short).selectExpr("regexp_extract_all(concat(' ', word, ' '), '(?s).{1,256}', 0) as b", "n", "all")
+    blocks = blocks.selectExpr("explode(transform(b, (x, i) -> struct(length(x) as size, concat(x, coalesce(substring(get(b, i + 1), 1, 4), '')) as x))) as b", "n", "all")
+    of_block = F.flatten(F.array(*[F.expr(f"filter(transform(sequence(1, b.size), i -> substring(b.x, i, {n})), x -> length(x) = {n})") for n in GRAMS]))
+    grams = by_word.where(short).select(F.explode(pieces).alias("word"), "n", "all").unionAll(blocks.select(F.explode(of_block).alias("word"), "n", "all"))
+    grams = grams.where((F.length("word") > 0) & (F.trim("word") != ""))
     grams = grams.groupBy("word").agg(F.array(*[F.sum(F.col("n")[i]) for i in range(len(langs))]).alias("n"), F.sum("all").alias("all"))
-    return Model(langs, *_logs(by_word, langs, max_words, min_count), *_logs(grams, langs, max_grams, min_count))
+    # longer runs teach their n-grams, but are not kept as words
+    return Model(langs, *_logs(by_word.where(short), langs, max_words, min_count), *_logs(grams, langs, max_grams, min_count))
 
 
 def _logs(counts: DataFrame, langs: list[str], most: int, least: int) -> tuple[dict[str, int], np.ndarray]:

@@ -371,6 +371,24 @@ def test_language(spark):
     assert len(small.words) <= 3 and len(small.grams) <= 5
 
 
+def test_long_runs_of_letters_count_whole(spark):
+    data = [(i, "abcde" * 30, "xx") for i in range(4)] + [(10 + i, "vwxyz" * 30, "yy") for i in range(4)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert {"abcde", "vwxyz"} <= set(model.grams) and not model.words
+    memo = language.Memo(model)
+    assert language.detect("abcde" * 9 + "vwxyz" * 40, memo)[0] == "yy" and language.detect("vwxyz" * 9 + "abcde" * 40, memo)[0] == "xx"
+    assert not memo
+    rng = random.Random(2)
+    run = "".join(rng.choices("abcé", k=1100))
+    model = language.fit(spark.createDataFrame([(run, "xx"), ("ab", "xx")], "text string, lang string"), min_count=1)
+    grams = collections.Counter(f" {run} "[i : i + n] for n in language.GRAMS for i in range(len(run) + 3 - n))
+    grams.update(" ab "[i : i + n] for n in language.GRAMS for i in range(max(7 - n - 2, 1)))
+    del grams[" "]
+    odds = np.exp(model.gram_table[:, 0]) * (grams.total() + 0.5 * len(grams)) - 0.5
+    assert {g: round(odds[i]) for g, i in model.grams.items()} == grams
+
+
 def test_quality(spark):
     rng = random.Random(7)
     good = lambda: ". ".join(words(rng, 12).capitalize() for _ in range(8))
