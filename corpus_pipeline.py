@@ -6,8 +6,10 @@ documents table, writing each stage's rows to the shared folder.
 
 Defined cases: documents that language ID rejects (null, without a letter, or scored below
 MIN_LANGUAGE_SCORE) go; a document that loses all its lines to boilerplate goes; of rows with one id
-and text one stays; rows with a null id are never near duplicates of others; an empty table packs to
-no pieces.
+and text one stays; rows with a null id are never near duplicates of others; a document goes that holds
+a window of 8 words of any test item, or the whole of an item of MIN_ITEM_WORDS to 7 words, or at least
+half of whose words are those of whole items of fewer words (which any long text holds by chance); an
+empty table packs to no pieces.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from ringweave.llm import decontaminate, language, lines, neardup, packing
 from ringweave.llm._common import staged
 
 MIN_LANGUAGE_SCORE = 0.5
-#: A document with so many words in windows of test items goes.
-MIN_HIT_WORDS = 8
+#: One occurrence of a whole test item of so many words is evidence; shorter ones count by their share of the words.
+MIN_ITEM_WORDS = 4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +44,13 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.flagged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.col("n_hit") < MIN_HIT_WORDS).select(*docs.columns)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    n = F.size(F.expr(r"regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 0)"))
+    short = items.where((n > 0) & (n < MIN_ITEM_WORDS))
+    left = decontaminate.flagged(docs, items.where(n >= MIN_ITEM_WORDS)).where(F.size("items") == 0).select(*docs.columns)
+    if not short.limit(1).count():
+        return left
+    return decontaminate.flagged(left, short).where((F.col("n_hit") == 0) | (F.col("n_hit") * 2 < F.col("n_words"))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

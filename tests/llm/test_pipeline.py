@@ -47,3 +47,21 @@ def test_run(spark, tmp_path):
     benchmark_dir(spark, tmp_path, [(1, "nothing like it")])
     got = p.run(spark, str(tmp_path))
     assert got.count() and "sequence_id" in got.columns
+
+
+def test_short_items(spark, tmp_path):
+    filler = " ".join(f"word{i}" for i in range(200))
+    question, long = "What is the capital of France?", "one two three four five six seven eight nine ten"
+    texts = {
+        1: f"{filler} what is the CAPITAL of France {filler}",  # a whole short item in a long text
+        2: "Answer: Paris.",  # half of the words
+        3: f"{filler} Paris " * 12,  # a common word, however often
+        4: f"{filler} two three four five six seven eight nine {filler}",
+        5: f"{filler} two three four five six seven eight {filler}",
+        6: f"{filler} New York City {filler}",
+        7: "is the capital of France",
+        8: "",
+    }
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    sf = benchmark_dir(spark, tmp_path, [(1, question), (2, "Paris"), (3, long), (4, "new york city"), (5, "!!"), (6, None)])
+    assert sorted(r.doc_id for r in p.remove_contaminated(spark, docs, sf).collect()) == [3, 5, 6, 7, 8]
