@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import inspect
 from collections.abc import Callable, Iterable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans.compile import Segment, items_of, planned, typed, values
+from .operators.loops import Checkpoint
+from .plans.compile import Segment, delivered, items_of, planned, resumed, signature, typed, values
 from .plans.nodes import Frame, FunctionFrame, FunctionJob, FunctionReducer, Job, Module, Object, PlanError, Reducer, outputs
 
 
@@ -30,7 +32,13 @@ def _arity(fn: Callable, what: str, least: int, exact: bool = False) -> None:
 
 
 class Work:
-    """A pipeline under construction. Python functions run in tasks; nothing runs until run() or the block's end."""
+    """A pipeline under construction. Python functions run in tasks; nothing runs until run() or the block's end.
+
+    checkpoint: a folder, in an existing one that all machines share. A run that failed goes on there after
+    the last finished step of a ring, without calling init again or reading `initial`. Once its results are
+    delivered a further run is an error (Checkpoint.Finished); a run that fails while they are delivered
+    delivers all of them again.
+    """
 
     def __init__(self, initial: Iterable[Any] | DataFrame = (), useMultiprocessing: bool = True, *, spark: SparkSession | None = None, checkpoint: str | None = None):  # noqa: N803
         self.initial = initial if isinstance(initial, DataFrame) else list(initial)
@@ -156,21 +164,45 @@ class Work:
         if len(self.scopes) > 1:
             raise PlanError("a frame has no frameEnd")
         spark = self.spark or active()
+        segments = self._segments()
+        if self.checkpoint is None:
+            return planned(segments, self._source(spark))
+        return resumed(segments, lambda: self._source(spark), spark, self._state(spark, segments))
+
+    def _segments(self) -> list[Segment]:
+        return [*self.segments, *([Segment(Module(self.scopes[0][0]))] if self.scopes[0][0] else [])]
+
+    def _state(self, spark: SparkSession, segments: list[Segment]) -> Checkpoint:
+        made = str([[signature(s.module), s.always] for s in segments] + [signature(self.inits)])
+        found = Checkpoint(self.checkpoint.rstrip("/"), hashlib.sha256(made.encode()).hexdigest())
+        jvm, fs = found._fs(spark)
+        parent = jvm.org.apache.hadoop.fs.Path(found.folder).getParent()
+        if parent is not None and not fs.exists(parent):
+            raise FileNotFoundError(f"the folder of the checkpoint is missing: {parent}")
+        return found
+
+    def _source(self, spark: SparkSession) -> DataFrame:
         added = [w for fn in self.inits for w in outputs(fn()) for w in (w if isinstance(w, list) else [w])]
         source = items_of(spark, self.initial if isinstance(self.initial, DataFrame) else [*self.initial, *added])
         if isinstance(self.initial, DataFrame) and added:
             source = source.unionByName(items_of(spark, added))
-        tail = [Segment(Module(self.scopes[0][0]))] if self.scopes[0][0] else []
-        return planned([*self.segments, *tail], source)
+        return source
 
     def frame_of(self, ddl: str) -> DataFrame:
         """The results as columns of a declared schema."""
         return typed(self.rows(), ddl)
 
     def _execute(self, discard: bool = False) -> list | Any | None:
+        rows = self.rows()
+        found = self._delivered(rows, discard)
+        if self.checkpoint is not None:
+            spark = self.spark or active()
+            delivered(spark, self._state(spark, self._segments()))
+        return found
+
+    def _delivered(self, rows: DataFrame, discard: bool) -> list | Any | None:
         from .plans.nodes import applied
 
-        rows = self.rows()
         if self.sink is None:
             if discard:
                 rows.write.format("noop").mode("overwrite").save()

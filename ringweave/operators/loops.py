@@ -53,6 +53,9 @@ class Checkpoint:
     class Mismatch(RuntimeError):
         """The folder belongs to another loop."""
 
+    class Finished(RuntimeError):
+        """The folder belongs to a run whose results were delivered."""
+
     def _fs(self, spark: SparkSession):
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.folder)

@@ -10,15 +10,17 @@ with the store and the items written to the shared folder between steps.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from types import CodeType, FunctionType
 from typing import Any
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-
+from ringweave.operators.loops import Checkpoint
 from ringweave.sources.staging import staged
 
 from .nodes import Module, flow, run_item
@@ -90,13 +92,79 @@ def _flowed(module: Module, rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ITEM)
 
 
-def _reduced(segment: Segment, rows: DataFrame) -> DataFrame:
-    """A ring over all rows, in steps until nothing recurs."""
+def signature(part: Any, within: tuple = ()) -> Any:
+    """What a plan is made of: names, code and settings, the same for each run of the same program."""
+    if isinstance(part, (str, bytes, int, float, complex, bool, type(None))):
+        return repr(part)
+    if id(part) in within:
+        return "..."
+    within = (*within, id(part))
+    if isinstance(part, (list, tuple)):
+        return [signature(x, within) for x in part]
+    if isinstance(part, (set, frozenset)):
+        return sorted(str(signature(x, within)) for x in part)
+    if isinstance(part, dict):
+        return sorted((str(k), str(signature(v, within))) for k, v in part.items())
+    if isinstance(part, CodeType):
+        return [part.co_name, part.co_code.hex(), list(part.co_names), signature(part.co_consts, within)]
+    if isinstance(part, FunctionType):
+        return [part.__qualname__, signature(part.__code__, within), signature(part.__defaults__, within), signature(part.__kwdefaults__, within)]
+    if isinstance(part, type):
+        return [part.__qualname__, [(k, str(signature(v, within))) for k, v in sorted(vars(part).items()) if isinstance(v, FunctionType)]]
+    return [signature(type(part), within), signature(getattr(part, "__dict__", None), within)]
+
+
+def resumed(segments: list[Segment], source: Callable[[], DataFrame], spark: SparkSession, checkpoint: Checkpoint) -> DataFrame:
+    """Like planned(); the source, each step of a ring and the result are kept in the checkpoint's folder.
+
+    A later run takes what is there and goes on after the last step; source() is called only by the first.
+    """
+    state = checkpoint.read(spark) or {"step": 0, "source": None, "rings": {}, "result": None, "done": False}
+    if state["done"]:
+        raise Checkpoint.Finished(f"{checkpoint.folder} holds a finished run, whose results were delivered")
+
+    def kept(name: str, df: DataFrame) -> str:
+        path = f"{checkpoint.folder}/{name}-{uuid.uuid4().hex}"
+        staged(df, name, path)
+        return path
+
+    def note(**found: Any) -> None:
+        state.update(found, step=state["step"] + 1)
+        checkpoint.write(spark, state)
+
+    read = lambda path: spark.read.schema(ITEM).parquet(path)
+    if not state["result"]:
+        if not state["source"]:
+            note(source=kept("source", source()))
+        rows = read(state["source"])
+        for i, segment in enumerate(segments):
+            if segment.module.reducer is None:
+                rows = _flowed(segment.module, rows)
+                continue
+            paths = state["rings"].setdefault(str(i), [])
+
+            def keep(step: DataFrame, paths: list[str] = paths) -> DataFrame:
+                paths.append(kept("ring", step))
+                note()
+                return read(paths[-1])
+
+            rows = _reduced(segment, rows, [read(p) for p in paths], keep)
+        note(result=kept("result", rows))
+    return read(state["result"])
+
+
+def delivered(spark: SparkSession, checkpoint: Checkpoint) -> None:
+    """Marks the run as finished."""
+    checkpoint.write(spark, checkpoint.read(spark) | {"done": True})
+
+
+def _reduced(segment: Segment, rows: DataFrame, past: Iterable[DataFrame] = (), keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """A ring over all rows, in steps until nothing recurs; past: the steps that an earlier run has made."""
     spark, module = rows.sparkSession, segment.module
     code, mergeable = cloudpickle.dumps(module), module.reducer.mergeable
     kept: bytes | None = None
     emitted: list[DataFrame] = []
-    pending, first = rows, True
+    pending, first, left = rows, True, list(past)
     while True:
         begun = first
 
@@ -145,7 +213,11 @@ def _reduced(segment: Segment, rows: DataFrame) -> DataFrame:
                 out, again = reducer.done(store)
             yield from _batches([*(("e", x) for x in out), *(("r", x) for x in again), ("s", store)])
 
-        step = staged(pending.mapInArrow(fold, ITEM).coalesce(1).mapInArrow(close, ITEM), "ring")
+        if left:
+            step = left.pop(0)
+        else:
+            made = pending.mapInArrow(fold, ITEM).coalesce(1).mapInArrow(close, ITEM)
+            step = keep(made) if keep else staged(made, "ring")
         emitted.append(_of_kind(step, "e"))
         recurred = _of_kind(step, "r")
         if not recurred.limit(1).count():

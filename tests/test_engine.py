@@ -2,6 +2,7 @@
 
 import io
 import math
+import os
 import random
 
 import pytest
@@ -10,6 +11,7 @@ import ringweave
 from ringweave import Args, Frame, Job, Multiple, Object, PlanError, Reducer, Work, register
 from ringweave.cli import main
 from ringweave.config import module_of, run
+from ringweave.operators.loops import Checkpoint
 from ringweave.plans.nodes import run_item
 
 
@@ -425,3 +427,50 @@ def test_external_programs(tmp_path):
     assert ringweave.invoke(["/bin/sh", "-c", script], ["busy"], sleep=waits.append)[0] == "fine\n"
     assert waits == [1, 2]
     assert ringweave.run_with_stdin(["/bin/sh", "-c", "cat; exit 3"], "hello") == (3, "hello", "")
+
+
+def test_work_goes_on_from_its_checkpoint(spark, tmp_path):
+    inits, results = [], []
+
+    def run(step=3, folder=f"{tmp_path}/state"):
+        with Work([1, 2], spark=spark, checkpoint=f"file://{folder}") as w:
+
+            @w.init
+            def more():
+                inits.append(1)
+                return 3
+
+            @w.job
+            def seen(x):
+                with open(f"{tmp_path}/seen", "a") as f:
+                    f.write(f"{x}\n")
+                return x
+
+            @w.reduce(store=lambda: [0, 0], emit=lambda s: s[0])
+            def total(store, works, others):
+                store[0] += sum(works) + sum(o[0] for o in others)
+                return 7 if others and store[0] < 20 else None
+
+            @w.job
+            def fails(x, step=step):
+                if not os.path.exists(f"{tmp_path}/go"):
+                    raise ValueError("not yet")
+                return x * step
+
+            @w.result
+            def take(x):
+                results.append(x)
+
+    with pytest.raises(Exception, match="not yet"):
+        run()
+    before = open(f"{tmp_path}/seen").read()
+    open(f"{tmp_path}/go", "w").close()
+    with pytest.raises(Checkpoint.Mismatch):
+        run(step=4)
+    run()
+    assert open(f"{tmp_path}/seen").read() == before and len(inits) == 1 and len(results) == 1 and results[0] >= 60 and results[0] % 21 == 18
+    with pytest.raises(Checkpoint.Finished):
+        run()
+    assert len(results) == 1
+    with pytest.raises(FileNotFoundError):
+        run(folder=f"{tmp_path}/missing/state")
