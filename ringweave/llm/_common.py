@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -11,7 +13,7 @@ from pyspark.sql import types as T
 
 from ringweave.sources.staging import shared_dir, staged
 
-__all__ = ["NULL_ID", "WordHashes", "arrow_schema", "documents", "fold_of", "gram_hashes", "merged_runs", "mixed", "shared_dir", "sliding_min", "staged"]
+__all__ = ["NULL_ID", "WordHashes", "arrow_schema", "documents", "fold_of", "gram_hashes", "merged_runs", "mixed", "sampled", "shared_dir", "sliding_min", "staged"]
 
 #: Order of a row whose id is null: after every other row.
 NULL_ID = (1 << 63) - 1
@@ -32,6 +34,17 @@ def fold_of(column: str, modulus: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def sampled(rows: DataFrame, n: int, most: int, seed: int = 7) -> DataFrame:
+    """About `most` of n rows, each drawn for itself, so that equal rows are drawn like others.
+
+    The number is bounded: six standard deviations above `most` the sample is cut. What is drawn
+    depends on how the table is dealt to partitions.
+    """
+    if n <= most:
+        return rows
+    return rows.where(F.rand(seed) < most / n).limit(most + 6 * math.isqrt(most) + 6)
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, kept between calls and emptied when it has grown past its limit."""
 

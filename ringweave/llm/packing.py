@@ -1,26 +1,29 @@
 """Sequence packing by lexical retrieval.
 
-A seed document, the first that is unused, queries all unused documents by BM25 with all of its tokens,
-and its best unused neighbours follow it until the window of `window` tokens is full; a document that
-does not fit is cut and goes on in the next window, whose seed it is.
-
-A table of at most `shard_bytes` of text is laid out in one task. A larger one is numbered, encoded and
-staged in blocks, and filled by `lanes` side by side: in each round every lane's seed is scored against
-every unused document of every block, with figures of the whole table, and the `most` best of each seed
-are dealt to the lanes in order. A lane whose candidates others took first asks again in the next round
-for the same window, so no candidate is lost to the length of the list. Each window is thus filled with
-the best of the whole table that are unused when it is filled; only the order in which windows are
-filled depends on the lanes. The lanes' last windows are laid end to end, so that only the table's last
-window can be short: it is cut into sequences whose lengths are powers of two, which need no padding.
-
-The scoring takes seeds times unused documents: it grows with the square of the table. The driver holds
-a few numbers for each document and collects `most` candidates for each lane and task in a round.
+Documents lie in shards of at most `shard_tokens` tokens and `shard_docs` documents, each with a BM25
+inverted index. A seed document, the first of its shard that is unused, queries the index with all of its
+tokens, and its best unused neighbours follow it until the window of `window` tokens is full; a document
+that does not fit is cut and goes on in the next window, whose seed it is. A window that a shard's
+documents don't fill is filled from the next shard, for the same seed.
+
+Shards hold what is alike. Documents are ordered by a cluster of their token weights (spherical k-means,
+fitted on a sample of `sample_docs` rows), then by the smallest hash of their runs of `gram` tokens, which
+near copies mostly share, and shards are cut from that order. The sample steers only where documents lie.
+Scores use document frequencies, lengths and the number of documents of the whole table. So a seed
+finds the best unused documents of its shard, not of the table: searching all of the table for each seed
+grows with the table's square. README states the share of the table's best neighbours that shards hold.
+
+Tokens are made once and staged; ordering is one shuffle, by ranges of a key that ends with the row's
+number, so that neither a cluster nor copies of one text make a task large. A task streams its shards, one
+in memory at a time, and ends with one window that may be short: it is cut into sequences whose lengths
+are powers of two, which need no padding.
 
 Tokens: those of `public_tokenizers.path("byte_bpe_50k.json")` without special tokens, then the end id.
 
 Defined cases: null and empty texts are the end id alone; every token of every row is placed exactly
-once; repeated rows are packed one by one; ties between neighbours go to the earlier row (null ids come
-last; the scores of a staged table are sums of 32-bit floats); an empty table gives no pieces.
+once; repeated rows are packed one by one; ties between neighbours go to the earlier row in the shard's
+order; a text longer than a shard is a shard of its own; an empty table gives no pieces; other columns
+are not read. sequence_id is unique, not without gaps: the task's number above, the sequence's in it below.
 """
 
 from __future__ import annotations
@@ -31,17 +34,24 @@ import re
 import sys
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_schema, documents, staged
+from ._common import arrow_schema, documents, gram_hashes, mixed, sampled, staged
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _encoders: dict[tuple[str, str], Encoder] = {}
-_UNSETTLED = re.compile("[^\\x00-\u024f]")
+_UNSETTLED = re.compile("[^\\x00-ɏ]")
+K1, B = 1.2, 0.75
+#: Weights are rounded to this part of one, so that sums below 2**18 are exact in float32 in any order.
+PART = 64
+#: Components of the projection that clusters are made of.
+AXES = 64
 
 
 class Encoder:
@@ -83,68 +93,138 @@ def encoder(tokenizer: str, ranks: str) -> Encoder:
     return _encoders[tokenizer, ranks]
 
 
+@dataclass
+class Corpus:
+    """Figures of the whole table: documents by token, number of documents, tokens in all."""
+
+    df: np.ndarray
+    n: int
+    tokens: int
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        df = self.df[np.minimum(terms, len(self.df) - 1)] * (terms < len(self.df))
+        return np.log(1 + (self.n - df + 0.5) / (df + 0.5))
+
+    def weights(self, terms: np.ndarray, tf: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """BM25 weights of tokens that occur tf times in documents of so many tokens."""
+        norm = K1 * (1 - B + B * sizes / max(self.tokens / max(self.n, 1), 1))
+        return np.rint(self.idf(terms) * tf * (K1 + 1) / (tf + norm) * PART).astype(np.float32) / np.float32(PART)
+
+
 class Index:
-    """A BM25 inverted index over the token ids of documents."""
-
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
-        n = len(docs)
-        size = np.array([len(d) for d in docs], float)
-        ids, of, tf = [], [], []
-        for i, d in enumerate(docs):
-            t, c = np.unique(d, return_counts=True)
-            ids.append(t)
-            tf.append(c)
-            of.append(np.full(len(t), i, np.int32))
-        self.bounds = np.cumsum([0, *map(len, ids)])
-        flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-        doc, count = np.concatenate(of), np.concatenate(tf).astype(float)
-        order = np.argsort(flat, kind="stable")
-        term, self.term_of = np.unique(flat, return_inverse=True)
-        df = np.bincount(self.term_of, minlength=len(term))
-        self.df, self.idf = df, np.log(1 + (n - df + 0.5) / (df + 0.5))
+    """A BM25 inverted index over the token ids of a shard's documents."""
+
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus):
+        self.n = len(docs)
+        made = [np.unique(d, return_counts=True) for d in docs]
+        counts = np.array([len(t) for t, _ in made], np.int64)
+        self.terms = [t for t, _ in made]
+        term = np.concatenate(self.terms) if made else np.empty(0, np.uint32)
+        tf = np.concatenate([c for _, c in made]) if made else np.empty(0, np.int64)
+        doc = np.repeat(np.arange(self.n), counts)
+        weight = corpus.weights(term, tf, np.repeat([len(d) for d in docs], counts))
+        order = np.argsort(term, kind="stable")
+        self.vocabulary, df = np.unique(term, return_counts=True)
         self.start = np.concatenate(([0], np.cumsum(df)))
-        weight = count * (k1 + 1) / (count + k1 * (1 - b + b * size[doc] / max(size.mean(), 1)))
-        self.doc, self.weight, self.n = doc[order], (weight * self.idf[self.term_of])[order], n
-
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Rows by falling score for all of the seed's tokens; without a score: none."""
-        own = self.term_of[self.bounds[seed] : self.bounds[seed + 1]]
-        own = own[self.df[own] > 1]  # a token of no other row scores none
-        if not len(own):
-            return own
-        at = np.concatenate([np.arange(self.start[t], self.start[t + 1]) for t in own])
-        score = np.bincount(self.doc[at], self.weight[at], self.n)
-        found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
-
-
-def order_of(docs: list[np.ndarray], window: int) -> list[int]:
-    """The order in which the documents of one task are laid end to end."""
-    index, used, out = Index(docs) if docs else None, np.zeros(len(docs), bool), []
-    filled = cursor = 0
-
-    def place(d: int) -> None:
-        nonlocal filled
-        used[d] = True
-        out.append(int(d))
-        filled += len(docs[d])
-
-    seed = -1
-    while len(out) < len(docs):
-        if seed < 0:
-            while used[cursor]:
-                cursor += 1
-            seed = cursor
-            place(seed)
-        end = -(-filled // window) * window
-        for d in index.neighbours(seed):
-            if filled >= end:
-                break
-            if not used[d]:
-                place(d)
-        # a document that hangs over into the next window is that window's seed
-        seed = out[-1] if filled > end else -1
-    return out
+        self.doc, self.weight = doc[order], weight[order]
+
+    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
+        """A row for each query (distinct tokens), a column for each document: common tokens by a matrix product, rare ones pair by pair."""
+        out = np.zeros((len(queries), self.n), np.float32)
+        flat, of = np.concatenate(queries), np.repeat(np.arange(len(queries)), [len(q) for q in queries])
+        at = np.minimum(np.searchsorted(self.vocabulary, flat), len(self.vocabulary) - 1)
+        known = self.vocabulary[at] == flat
+        at, of = at[known], of[known]
+        df = np.diff(self.start)
+        common = np.flatnonzero(df * 16 >= self.n)
+        column = np.full(len(df), -1)
+        column[common] = np.arange(len(common))
+        asked = np.zeros((len(queries), len(common)), np.float32)
+        asked[of[column[at] >= 0], column[at[column[at] >= 0]]] = 1
+        held = np.zeros((len(common), self.n), np.float32)
+        place = np.repeat(column, df)
+        held[place[place >= 0], self.doc[place >= 0]] = self.weight[place >= 0]
+        np.matmul(asked, held, out=out)
+        at, of = at[column[at] < 0], of[column[at] < 0]
+        times = df[at]
+        ends = np.cumsum(times)
+        for lo, hi in _blocks(ends, 1_000_000):
+            n = times[lo:hi]
+            pair = np.repeat(np.arange(lo, hi), n)
+            nth = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+            posting = self.start[at[pair]] + nth
+            np.add.at(out.reshape(-1), of[pair] * self.n + self.doc[posting], self.weight[posting])
+        return out
+
+
+def _blocks(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of entries that come to about `most` in all; ends: the running sum."""
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
+class Windows:
+    """The windows of one task, filled shard by shard."""
+
+    def __init__(self, window: int, corpus: Corpus):
+        self.window, self.corpus = window, corpus
+        self.placed: list[tuple[int | None, np.ndarray]] = []
+        self.filled = self.out = self.start = self.sequence = 0
+        self.seed: np.ndarray | None = None
+
+    def _place(self, name: int | None, ids: np.ndarray) -> None:
+        self.placed.append((name, ids))
+        self.filled += len(ids)
+
+    def add(self, names: list, docs: list[np.ndarray]) -> None:
+        """Places all documents of a shard."""
+        if not docs:
+            return
+        index, used, cursor = Index(docs, self.corpus), np.zeros(len(docs), bool), 0
+        scores = index.scores(index.terms)
+        score = None if self.seed is None else index.scores([self.seed])[0]
+        while not used.all():
+            if score is None:
+                while used[cursor]:
+                    cursor += 1
+                used[cursor] = True
+                self._place(names[cursor], docs[cursor])
+                self.seed, score = index.terms[cursor], scores[cursor]
+            last, end = cursor, -(-self.filled // self.window) * self.window
+            left = np.flatnonzero(~used & (score > 0)) if self.filled < end else []
+            for d in left[np.argsort(-score[left], kind="stable")].tolist() if len(left) else ():
+                used[d], last = True, d
+                self._place(names[d], docs[d])
+                if self.filled >= end:
+                    break
+            if self.filled == end:
+                self.seed = score = None
+            elif self.filled > end:  # what hangs over into the next window is that window's seed
+                self.seed, score = index.terms[last], scores[last]
+            else:
+                score = None
+
+    def pieces(self, last: bool) -> Iterator[tuple]:
+        """The pieces of the windows that are full; last: of the rest as well."""
+        lengths = [self.window] * ((self.filled - self.out) // self.window)
+        if last:
+            lengths += sequences((self.filled - self.out) % self.window, self.window)
+        i = 0
+        for size in lengths:
+            at = 0
+            while at < size:
+                name, ids = self.placed[i]
+                n = min(size - at, len(ids) - self.start)
+                piece = ids[self.start : self.start + n].tobytes()
+                yield name, self.start, n, zlib.crc32(piece), len(ids), self.sequence, at, piece
+                at, self.start = at + n, self.start + n
+                if self.start == len(ids):
+                    i, self.start = i + 1, 0
+            self.sequence, self.out = self.sequence + 1, self.out + size
+        del self.placed[:i]
 
 
 def sequences(total: int, window: int) -> list[int]:
@@ -153,161 +233,53 @@ def sequences(total: int, window: int) -> list[int]:
     return [window] * (total // window) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
 
 
-def lay(ids: list, docs: list[np.ndarray], order: list[int], first: int, window: int) -> Iterator[tuple]:
-    """The pieces, in order."""
-    lengths = iter(sequences(sum(map(len, docs)), window))
-    sequence, size, at = first - 1, 0, 0
-    for d in order:
-        start = 0
-        while start < len(docs[d]):
-            if at == size:
-                sequence, size, at = sequence + 1, next(lengths), 0
-            n = min(size - at, len(docs[d]) - start)
-            piece = docs[d][start : start + n].tobytes()
-            yield ids[d], start, n, zlib.crc32(piece), len(docs[d]), sequence, at, piece
-            start += n
-            at += n
-
-
-class Scores:
-    """BM25 scores of documents for many seeds at once: common tokens by a matrix product, rare ones pair by pair."""
-
-    def __init__(self, seeds: list[np.ndarray], df: np.ndarray, n: int, mean: float, k1: float = 1.2, b: float = 0.75):
-        self.seeds, self.k1, self.b, self.mean = len(seeds), k1, b, max(mean, 1)
-        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        self.column = np.where(df * 32 >= n, 0, -1)
-        common = np.flatnonzero(self.column == 0)
-        self.column[common] = np.arange(len(common))
-        flat, of = np.concatenate(seeds), np.repeat(np.arange(self.seeds), list(map(len, seeds)))
-        at = self.column[flat]
-        self.common = np.zeros((self.seeds, len(common)), np.float32)
-        self.common[of[at >= 0], at[at >= 0]] = 1
-        rare, of = flat[at < 0], of[at < 0]
-        self.rare = of[np.argsort(rare, kind="stable")]
-        self.start = np.concatenate(([0], np.cumsum(np.bincount(rare, minlength=len(df)))))
-
-    def of(self, sizes: np.ndarray, counts: np.ndarray, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        """A row for each seed, a column for each document; counts are of the documents' terms."""
-        n = len(sizes)
-        doc = np.repeat(np.arange(n), counts)
-        norm = self.k1 * (1 - self.b + self.b * sizes / self.mean)
-        weight = (self.idf[terms] * tf * (self.k1 + 1) / (tf + norm[doc])).astype(np.float32)
-        at = self.column[terms]
-        is_common = at >= 0
-        block = np.zeros((self.common.shape[1], n), np.float32)
-        block[at[is_common], doc[is_common]] = weight[is_common]
-        out = self.common @ block
-        t, doc, weight = terms[~is_common], doc[~is_common], weight[~is_common]
-        times = self.start[t + 1] - self.start[t]
-        pair = np.repeat(np.arange(len(t)), times)
-        nth = np.arange(len(pair)) - np.repeat(np.cumsum(times) - times, times)
-        np.add.at(out.reshape(-1), self.rare[self.start[t][pair] + nth] * n + doc[pair], weight[pair])
-        return out
+_axes: dict[int, np.ndarray] = {}
 
 
-class Best:
-    """The `most` best documents of each seed, equal scores by row."""
-
-    def __init__(self, seeds: int, most: int):
-        self.most, self.low = most, np.full(seeds, np.finfo(np.float32).tiny, np.float32)
-        self.seed, self.row, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
-
-    def add(self, rows: np.ndarray, scores: np.ndarray) -> None:
-        hit = scores >= self.low[:, None]
-        if len(rows) > self.most and np.count_nonzero(hit) > 2 * self.most * len(self.low):
-            self.low = np.maximum(self.low, np.partition(scores, len(rows) - self.most, axis=1)[:, len(rows) - self.most])
-            hit = scores >= self.low[:, None]
-        seed, at = np.nonzero(hit)
-        self.extend(seed, rows[at], scores[seed, at])
-        if len(self.seed) > 8 * self.most * len(self.low):
-            self.cut()
-
-    def extend(self, seed: np.ndarray, row: np.ndarray, score: np.ndarray) -> None:
-        self.seed, self.row, self.score = np.append(self.seed, seed), np.append(self.row, row), np.append(self.score, score)
-
-    def cut(self) -> np.ndarray:
-        """Drops what is not among the best; returns where each seed's begin."""
-        order = np.lexsort((self.row, -self.score, self.seed))
-        seed = self.seed[order]
-        start = np.searchsorted(seed, np.arange(len(self.low) + 1))
-        order = order[np.arange(len(seed)) - start[seed] < self.most]
-        self.seed, self.row, self.score = self.seed[order], self.row[order], self.score[order]
-        start = np.searchsorted(self.seed, np.arange(len(self.low) + 1))
-        full = np.flatnonzero(np.diff(start) == self.most)
-        self.low[full] = np.maximum(self.low[full], self.score[start[full + 1] - 1])
-        return start
-
-
-class Lanes:
-    """Windows filled side by side from one stock of documents."""
-
-    def __init__(self, sizes: np.ndarray, window: int, lanes: int):
-        self.sizes, self.window, self.used = sizes, window, np.zeros(len(sizes), bool)
-        self.at, self.lane = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int32)
-        self.filled, self.seed, self.cursor = [0] * lanes, [-1] * lanes, 0
-
-    def _place(self, lane: int, d: int) -> None:
-        self.used[d], self.lane[d], self.at[d], self.seed[lane] = True, lane, self.filled[lane], d
-        self.filled[lane] += int(self.sizes[d])
-
-    def asking(self) -> list[int]:
-        """Lanes whose seeds have room behind them; a lane without a seed takes the first unused document."""
-        for lane in range(len(self.seed)):
-            while self.seed[lane] < 0 or self.filled[lane] % self.window == 0:
-                while self.cursor < len(self.used) and self.used[self.cursor]:
-                    self.cursor += 1
-                if self.cursor == len(self.used):
-                    self.seed[lane] = -1
-                    break
-                self._place(lane, self.cursor)
-        return [] if self.used.all() else [lane for lane, d in enumerate(self.seed) if d >= 0]
-
-    def fill(self, lane: int, found: np.ndarray, whole: bool) -> None:
-        """Places the best that are unused; whole: there are no others with a score."""
-        seed, end = self.seed[lane], -(-self.filled[lane] // self.window) * self.window
-        for d in found.tolist():
-            if self.filled[lane] >= end:
-                break
-            if not self.used[d]:
-                self._place(lane, d)
-        if self.filled[lane] < end:
-            self.seed[lane] = -1 if whole else seed
-        elif self.filled[lane] == end:
-            self.seed[lane] = -1
-
-
-class Layout:
-    """Where tokens go: the lanes' whole windows one after another, then the rests of the lanes end to end."""
-
-    def __init__(self, lanes: Lanes):
-        filled, self.window = np.array(lanes.filled, np.int64), lanes.window
-        starts = lambda n: np.cumsum(n) - n
-        self.first, self.full = starts(filled), filled // self.window * self.window
-        self.head, self.tail = starts(self.full), self.full.sum() + starts(filled - self.full)
-        self.at = self.first[lanes.lane] + lanes.at
-        self.whole = int(filled.sum()) // self.window
-        lengths = sequences(int(filled.sum()) % self.window, self.window)
-        self.ends = self.whole * self.window + np.cumsum([0, *lengths])
-
-    def pieces(self, d: int, n: int) -> Iterator[tuple[int, int, int, int]]:
-        """(start, length, sequence, offset) of document d with n tokens."""
-        lane, start = int(np.searchsorted(self.first, self.at[d], "right")) - 1, 0
-        while start < n:
-            here, full = int(self.at[d] - self.first[lane]) + start, int(self.full[lane])
-            room = full - here if here < full else n
-            at = int(self.head[lane]) + here if here < full else int(self.tail[lane]) + here - full
-            if at < self.whole * self.window:
-                sequence, offset = divmod(at, self.window)
-                room = min(room, self.window - offset)
-            else:
-                k = int(np.searchsorted(self.ends, at, "right")) - 1
-                sequence, offset, room = self.whole + k, at - int(self.ends[k]), min(room, int(self.ends[k + 1]) - at)
-            length = min(n - start, room)
-            yield start, length, sequence, offset
-            start += length
+def _projected(terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of tokens summed along random directions, at length one; zeros for no weight."""
+    top = 1 << max(16, int(terms.max(initial=0)).bit_length())
+    if top not in _axes:
+        _axes[top] = np.random.default_rng(5).choice(np.array([-1, 1], np.float32), (top, AXES))
+    out = weight.astype(np.float32) @ _axes[top][terms]
+    size = np.linalg.norm(out)
+    return out / size if size else out
+
+
+class Placement:
+    """Where documents lie: clusters of token weights, numbered so that clusters that are alike are near."""
+
+    def __init__(self, sample: list[np.ndarray], clusters: int, steps: int = 12):
+        made = [np.unique(d, return_counts=True) for d in sample]
+        df = np.bincount(np.concatenate([t for t, _ in made])) if made else np.zeros(1, np.int64)
+        self.corpus = Corpus(df, len(sample), sum(map(len, sample)))
+        x = np.array([self.vector(d) for d in sample]) if made else np.zeros((1, AXES), np.float32)
+        rng = np.random.default_rng(3)
+        clusters = max(1, min(clusters, len(x)))
+        c = x[rng.choice(len(x), clusters, replace=False)]
+        for _ in range(steps if clusters > 1 else 0):
+            own = (x @ c.T).argmax(axis=1)
+            sums = np.zeros_like(c)
+            np.add.at(sums, own, x)
+            size = np.linalg.norm(sums, axis=1)
+            c[size > 0] = sums[size > 0] / size[size > 0, None]
+        axis = np.linalg.svd(c - c.mean(axis=0), full_matrices=False)[2][0]
+        self.centres = c[np.argsort(c @ axis, kind="stable")]
 
+    def vector(self, ids: np.ndarray) -> np.ndarray:
+        terms, tf = np.unique(ids, return_counts=True)
+        return _projected(terms, self.corpus.weights(terms, tf, np.array(len(ids))))
 
-def _encoded(code: Encoder, texts: pa.ChunkedArray | pa.Array, end_id: int) -> Iterator[np.ndarray]:
+    def cluster(self, ids: np.ndarray) -> int:
+        return int((self.centres @ self.vector(ids)).argmax()) if len(self.centres) > 1 else 0
+
+
+def _least_run(ids: np.ndarray, gram: int) -> int:
+    """The smallest hash of the runs of `gram` tokens; a shorter text is one run."""
+    return int(mixed(gram_hashes(ids.astype(np.uint64) + np.uint64(1), min(gram, len(ids)))).min() >> np.uint64(1))
+
+
+def _encoded(code: Encoder, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
     for lo in range(0, len(texts), 128):
         for ids in code.encode(texts.slice(lo, 128).to_pylist()):
             yield np.append(ids, np.uint32(end_id))
@@ -317,137 +289,113 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u4") for x in column.to_pylist()]
 
 
-def pack(docs: DataFrame, *, window: int = 2048, end_id: int = 1, tokenizer: str | None = None, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 3_000_000, lanes: int | None = None, most: int = 8) -> DataFrame:
-    """One row per piece, with its token ids; sequences are numbered over the whole table."""
+def _binary(found: list[np.ndarray]) -> pa.Array:
+    return pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())
+
+
+def pack(docs: DataFrame, *, window: int = 2048, end_id: int = 1, tokenizer: str | None = None, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 3_000_000, shard_docs: int = 3000, sample_docs: int = 4000, most_clusters: int = 256, gram: int = 4, most_tasks: int = 20_000, with_ids: bool = True) -> DataFrame:
+    """One row per piece, with_ids: with its token ids; sequences are unique over the whole table.
+
+    sample_docs bounds the rows that clusters are fitted on, most_clusters their number; each task takes
+    about two shards, more only beyond most_tasks tasks.
+    """
     if tokenizer is None or ranks is None:
         import public_tokenizers
 
         tokenizer, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    total, n = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64), F.count("*")).first()
-    blocks = max(1, -(-(total or 0) // shard_bytes))
-    schema = arrow_schema(PIECES)
+    total, n = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    # a token has some 2.5 bytes or more; numbers of tasks and clusters need no more than that
+    shards = max(1, -(-int(total or 0) // int(2.5 * shard_tokens)), -(-n // shard_docs))
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer, ranks)
-        table = table.sort_by([("doc_id", "ascending")])
-        found = list(_encoded(code, table.column("text"), end_id))
-        pieces = list(lay(table.column("doc_id").to_pylist(), found, order_of(found, window), 0, window))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pieces, strict=True), schema, strict=True)], schema=schema)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                yield pa.RecordBatch.from_arrays([_binary(list(_encoded(code, batch.column(0).slice(lo, 512), end_id)))], ["ids"])
 
-    if blocks == 1:
-        return rows.withColumn("shard", F.lit(0)).groupBy("shard").applyInArrow(run, PIECES)
+    sample = _arrays(sampled(rows.select("text"), n, sample_docs).mapInArrow(encode, "ids binary").toArrow().column("ids")) if shards > 1 else []
+    context = rows.sparkSession.sparkContext
+    placement = context.broadcast(Placement(sample, min(most_clusters, 4 * shards) if shards > 1 else 1))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer, ranks)
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, where = encoder(tokenizer, ranks), placement.value
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.slice(lo, 512)
                 ids = list(_encoded(code, batch.column(2), end_id))
-                terms = [np.unique(d, return_counts=True) for d in ids]
-                bytes_of = lambda found: pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, ids), pa.int64()), bytes_of(ids), bytes_of([t for t, _ in terms]), bytes_of([c for _, c in terms])], ["row", "doc_id", "n", "ids", "terms", "tf"])
-
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
-    numbered = rows.repartitionByRange(blocks, *order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    tokens = staged(numbered.mapInArrow(encode, "row long, doc_id long, n long, ids binary, terms binary, tf binary"), "tokens")
-    layout, number = _filled(tokens, window, lanes, most)
-    shared = tokens.sparkSession.sparkContext.broadcast((layout, number))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layout, number = shared.value
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch, out = whole.slice(lo, 1024), []
-                for d, name, ids in zip(number(batch.column(0)), batch.column(1).to_pylist(), _arrays(batch.column(2)), strict=True):
-                    for start, length, sequence, offset in layout.pieces(d, len(ids)):
-                        piece = ids[start : start + length].tobytes()
-                        out.append((name, start, length, zlib.crc32(piece), len(ids), sequence, offset, piece))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    return tokens.select("row", "doc_id", "ids").mapInArrow(cut, PIECES)
+                cluster, least = pa.array([where.cluster(d) for d in ids], pa.int32()), pa.array([_least_run(d, gram) for d in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cluster, least, _binary(ids)], ["row", "doc_id", "cluster", "least", "ids"])
+
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    tokens = staged(numbered.mapInArrow(place, "row long, doc_id long, cluster int, least long, ids binary"), "tokens")
+    shared = context.broadcast(_corpus(tokens))
+    names = [*(f.strip().split()[0] for f in PIECES.split(",")), *(["ids"] if with_ids else [])]
+    ddl = PIECES + (", ids binary" if with_ids else "")
+    schema = arrow_schema(ddl)
+
+    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, held, size = Windows(window, shared.value), ([], []), 0
+        base = TaskContext.get().partitionId() << 33
+
+        def made(last: bool = False) -> Iterator[pa.RecordBatch]:
+            windows.add(*held)
+            out = []
+            for name, start, length, crc, count, sequence, offset, piece in windows.pieces(last):
+                out.append((name, start, length, crc, count, base + sequence, offset, *([piece] if with_ids else [])))
+                if len(out) >= 2048:
+                    yield _table(out, schema, names)
+                    out.clear()
+            if out:
+                yield _table(out, schema, names)
 
+        for batch in batches:
+            for name, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                d = np.frombuffer(ids.as_py(), "<u4")
+                if held[0] and (size + len(d) > shard_tokens or len(held[0]) >= shard_docs):
+                    yield from made()
+                    held, size = ([], []), 0
+                held[0].append(name)
+                held[1].append(d)
+                size += len(d)
+        yield from made(last=True)
 
-class _Number:
-    """Row numbers without gaps, from partition and place in it."""
+    tasks = max(1, min(-(-shards // 2), most_tasks))
+    order = ["cluster", "least", "row"]
+    return tokens.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(laid, ddl)
 
-    def __init__(self, rows: np.ndarray):
-        part, count = np.unique(rows >> 33, return_counts=True)
-        self.start = np.zeros(int(part[-1]) + 1, np.int64)
-        self.start[part] = np.cumsum(count) - count
 
-    def __call__(self, rows: pa.Array) -> np.ndarray:
-        found = rows.to_numpy(zero_copy_only=False)
-        return self.start[found >> 33] + (found & ((1 << 33) - 1))
+def _table(out: list[tuple], schema: pa.Schema, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], names)
 
 
-def _filled(tokens: DataFrame, window: int, lanes: int | None, most: int) -> tuple[Layout, _Number]:
-    """Rounds of retrieval until every document has its place."""
-    context = tokens.sparkSession.sparkContext
-    tasks = 2 * context.defaultParallelism
+def _corpus(tokens: DataFrame) -> Corpus:
+    """Figures of all rows; each task hands on one count per token it holds."""
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(0, np.int64)
+        df, n, size = np.zeros(1, np.int64), 0, 0
         for batch in batches:
-            found = np.bincount(np.concatenate([*_arrays(batch.column(0)), np.empty(0, "<u4")]))
-            df, found = (df, found) if len(df) >= len(found) else (found, df)
-            df[: len(found)] += found
+            for lo in range(0, batch.num_rows, 512):
+                docs = _arrays(batch.column(0).slice(lo, 512))
+                found = np.bincount(np.concatenate([np.unique(d) for d in docs]))
+                if len(found) > len(df):
+                    df = np.append(df, np.zeros(len(found) - len(df), np.int64))
+                df[: len(found)] += found
+                n, size = n + len(docs), size + sum(map(len, docs))
         at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "n"])
-
-    counted = tokens.select("terms").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    term = counted.column("term").to_numpy()
-    df = np.zeros(int(term.max()) + 1, np.int64)
-    df[term] = counted.column("n").to_numpy()
-    found = tokens.select("row", "n").toArrow().sort_by("row")
-    number, sizes = _Number(found.column("row").to_numpy()), found.column("n").to_numpy()
-    # some 32 windows a lane, so that there are about as many rounds while what a round collects stays bounded
-    state = Lanes(sizes, window, lanes or int(max(1, min(sizes.sum() // window // 32, 4096, 1_000_000 // tasks))))
-    few = tokens.coalesce(tasks)
-    while asking := state.asking():
-        seeds = np.array([state.seed[lane] for lane in asking])
-        wanted = context.broadcast((number, seeds))
-
-        def pick(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
-            number, seeds = wanted.value
-            for batch in batches:
-                d = number(batch.column(0))
-                at = np.flatnonzero(np.isin(d, seeds))
-                yield pa.RecordBatch.from_arrays([pa.array(d[at]), batch.column(1).take(pa.array(at))], ["row", "terms"])
-
-        got = few.select("row", "terms").mapInArrow(pick, "row long, terms binary").toArrow()
-        of = dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
-        query = Scores([np.frombuffer(of[d], "<u4") for d in seeds.tolist()], df, len(sizes), float(sizes.mean()))
-        asked = context.broadcast((number, np.packbits(state.used), query))
-
-        def search(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
-            number, used, query = asked.value
-            used, best = np.unpackbits(used), Best(query.seeds, most)
-            for whole in batches:
-                d = number(whole.column(0))
-                left = np.flatnonzero(used[d] == 0)
-                for lo in range(0, len(left), 512):
-                    at = left[lo : lo + 512]
-                    batch = whole.take(pa.array(at))
-                    terms = _arrays(batch.column(2))
-                    tf = np.concatenate(_arrays(batch.column(3)))
-                    best.add(d[at], query.of(batch.column(1).to_numpy(), list(map(len, terms)), np.concatenate(terms), tf))
-            best.cut()
-            yield pa.RecordBatch.from_arrays([pa.array(best.seed), pa.array(best.row), pa.array(best.score)], ["seed", "row", "score"])
-
-        got = few.select("row", "n", "terms", "tf").mapInArrow(search, "seed long, row long, score float").toArrow()
-        best = Best(len(seeds), most)
-        best.extend(*(c.to_numpy() for c in got.columns))
-        start = best.cut()
-        for i, lane in enumerate(asking):
-            state.fill(lane, best.row[start[i] : start[i + 1]], start[i + 1] - start[i] < most)
-        wanted.destroy()
-        asked.destroy()
-    return Layout(state), number
+        # the places before the first token hold the number of documents and of tokens
+        yield pa.RecordBatch.from_arrays([pa.array(np.append([-2, -1], at)), pa.array(np.append([n, size], df[at]))], ["term", "n"])
+
+    got = tokens.select("ids").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, count = got.column("term").to_numpy(), got.column("n").to_numpy()
+    df = np.zeros(int(term.max(initial=0)) + 1, np.int64)
+    df[term[term >= 0]] = count[term >= 0]
+    figure = lambda k: int(count[term == k].sum())
+    return Corpus(df, figure(-2), figure(-1))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir)).drop("ids")
+    return pack(documents(spark, sf_dir), with_ids=False)
 
 
 assert sys.byteorder == "little"

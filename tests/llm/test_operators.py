@@ -223,8 +223,8 @@ def test_packing_round_trip(spark):
     data = rows()
     expected = collections.Counter((d, tuple([*(tok.encode(t or "", add_special_tokens=False).ids), 1])) for d, t, *_ in data)
     window = 256
-    for shard_bytes in (3_000_000, 4000):
-        got = packing.pack(table(spark), window=window, shard_bytes=shard_bytes).collect()
+    for options in ({}, {"shard_tokens": 3000, "shard_docs": 9, "sample_docs": 40}):
+        got = packing.pack(table(spark), window=window, **options).collect()
         ends, whole = collections.Counter(), collections.Counter()
         for r in got:
             ids = np.frombuffer(r.ids, "<u4")
@@ -265,39 +265,103 @@ def test_encoder_equals_the_tokenizer():
     assert [b.tolist() for b in own.encode(texts)] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
+def corpus_of(docs):
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]))
+    return packing.Corpus(df, len(docs), sum(map(len, docs)))
+
+
+def bm25_by_hand(query, doc, docs):
+    mean, total = sum(map(len, docs)) / len(docs), 0.0
+    for t in set(query.tolist()):
+        tf, df = int((doc == t).sum()), sum(bool((d == t).any()) for d in docs)
+        total += math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(doc) / mean))
+    return total
+
+
+def test_scores_are_bm25_of_all_tokens():
+    rng = np.random.default_rng(3)
+    docs = [rng.zipf(1.3, rng.integers(1, 120)).clip(1, 400).astype("<u4") for _ in range(60)]
+    index = packing.Index(docs[:40], corpus_of(docs))  # a shard; figures are of all
+    got = index.scores([*index.terms, np.unique(docs[50])])
+    for q, row in zip([*docs[:40], docs[50]], got, strict=True):
+        # each weight is rounded to a 64th
+        np.testing.assert_allclose(row, [bm25_by_hand(q, d, docs) for d in docs[:40]], atol=len(set(q.tolist())) / 128)
+
+
+def order_of(docs, window, shards=1):
+    windows, out = packing.Windows(window, corpus_of(docs)), []
+    for own in np.array_split(np.arange(len(docs)), shards):
+        windows.add(own.tolist(), [docs[d] for d in own])
+        out += list(windows.pieces(False))
+    return out + list(windows.pieces(True))
+
+
 def test_neighbours_share_windows():
     rng = np.random.default_rng(0)
-    topics = [rng.integers(1000 * t, 1000 * t + 60, (20, 100)).astype(np.uint32) for t in range(5)]
+    topics = [rng.integers(1000 * t, 1000 * t + 60, (20, 100)).astype("<u4") for t in range(5)]
     docs = [topics[i % 5][i // 5] for i in range(100)]
-    order = packing.order_of(docs, 1000)
-    assert sorted(order) == list(range(100))
-    assert sum(a % 5 == b % 5 for a, b in itertools.pairwise(order)) > 80
+    for shards in (1, 3):
+        names = [p[0] for p in order_of(docs, 1000, shards)]
+        assert sorted(set(names)) == list(range(100))
+        assert sum(a % 5 == b % 5 for a, b in itertools.pairwise(names)) > 80
+
+
+def test_windows_hold_the_best_unused():
+    rng = np.random.default_rng(4)
+    docs = [rng.zipf(1.4, rng.integers(1, 60)).clip(1, 300).astype("<u4") for _ in range(80)]
+    got, corpus = order_of(docs, 64), corpus_of(docs)
+    score = packing.Index(docs, corpus)
+    score = score.scores(score.terms)
+    # the same by hand: a seed, then what scores best of what is left, until the window is full
+    left, expected, filled, seed = set(range(80)), [], 0, None
+    while left:
+        if seed is None:
+            seed = min(left)
+            left.remove(seed)
+            expected.append(seed)
+            filled += len(docs[seed])
+        end = -(-filled // 64) * 64
+        last = None
+        for d in sorted((d for d in left if score[seed, d] > 0), key=lambda d: (-score[seed, d], d)):
+            if filled >= end:
+                break
+            left.remove(d)
+            expected.append(d)
+            filled += len(docs[d])
+            last = d
+        seed = last if filled > end else None
+    assert list(dict.fromkeys(p[0] for p in got)) == expected
 
 
 def test_all_of_a_seed_s_tokens_count():
-    common = np.arange(200, dtype=np.uint32)
-    rare = np.arange(1000, 1012, dtype=np.uint32)
-    strangers = [np.append(np.arange(2000 + 100 * i, 2100 + 100 * i, dtype=np.uint32), r) for i, r in enumerate(rare)]
+    common = np.arange(200, dtype="<u4")
+    rare = np.arange(1000, 1012, dtype="<u4")
+    strangers = [np.append(np.arange(2000 + 100 * i, 2100 + 100 * i, dtype="<u4"), r) for i, r in enumerate(rare)]
     docs = [np.concatenate((common, rare)), *strangers, common, common[:150]]
-    assert packing.Index(docs).neighbours(0)[:3].tolist() == [0, 13, 14]
+    index = packing.Index(docs, corpus_of(docs))
+    assert np.argsort(-index.scores(index.terms[:1])[0], kind="stable")[:3].tolist() == [0, 13, 14]
 
 
-def test_neighbours_are_found_in_all_blocks(spark):
+def test_alike_documents_lie_in_one_shard(spark):
     rng = random.Random(3)
     vocab = [[f"{a}{b}{t}" for a in "bdfgk" for b in "aeiou"] for t in ("ron", "lim", "sut", "pez")]
-    data = [(i, " ".join(rng.choices(vocab[i % 4], k=rng.randrange(20, 60)))) for i in range(160)]
+    data = [(i, " ".join(rng.choices(vocab[i % 4], k=rng.randrange(20, 60)))) for i in range(640)]
     docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
-    at = lambda got: sorted((r.sequence_id, r.offset, r.doc_id, r.start, r.length) for r in got.drop("ids").collect())
-    whole = at(packing.pack(docs, window=256))
-    # one lane over many blocks fills the windows that one task fills
-    assert at(packing.pack(docs, window=256, shard_bytes=3000, lanes=1, most=3)) == whole
-    beside = at(packing.pack(docs, window=256, shard_bytes=3000, lanes=4, most=3))
-    for got in (whole, beside):
-        assert sum(x[4] for x in got) == sum(x[4] for x in whole) and {x[2] for x in got} == set(range(160))
+    for options in ({}, {"shard_tokens": 4000, "shard_docs": 40, "sample_docs": 200}):
+        got = sorted((r.sequence_id, r.offset, r.doc_id, r.length) for r in packing.pack(docs, window=256, **options).drop("ids").collect())
+        assert {x[2] for x in got} == set(range(640))
         pairs = [(a[2] % 4, b[2] % 4) for a, b in itertools.pairwise(got) if a[0] == b[0]]
         assert sum(a == b for a, b in pairs) > 0.85 * len(pairs)
 
 
+def test_repeated_rows_are_dealt_to_many_shards(spark):
+    docs = spark.range(20_000).selectExpr("5L as doc_id", "'one text that is repeated' as text")
+    got = packing.pack(docs, shard_docs=500, with_ids=False)
+    assert got.where("start = 0").count() == 20_000 and got.agg(F.sum("length")).first()[0] == 20_000 * got.first().doc_tokens
+    tasks = got.groupBy(F.shiftright("sequence_id", 33)).agg(F.sum("length").alias("n")).collect()
+    assert len(tasks) >= 8 and max(r.n for r in tasks) < 3 * min(r.n for r in tasks)
+
+
 # --- near duplicates
 
 
