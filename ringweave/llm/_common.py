@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from ringweave.sources.staging import shared_dir, staged
 
-__all__ = ["NULL_ID", "WordHashes", "arrow_schema", "documents", "fold_of", "gram_hashes", "merged_runs", "mixed", "sampled", "shared_dir", "sliding_min", "staged"]
+__all__ = ["NULL_ID", "WordHashes", "arrow_schema", "bound", "documents", "fold_of", "gram_hashes", "merged_runs", "mixed", "sampled", "shared_dir", "sliding_min", "staged"]
 
 #: Order of a row whose id is null: after every other row.
 NULL_ID = (1 << 63) - 1
@@ -34,15 +35,18 @@ def fold_of(column: str, modulus: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def sampled(rows: DataFrame, n: int, most: int, seed: int = 7) -> DataFrame:
-    """About `most` of n rows, each drawn for itself, so that equal rows are drawn like others.
+def bound(most: int) -> int:
+    """Six standard deviations above the number of rows expected in a sample."""
+    return most + 6 * math.isqrt(most) + 6
 
-    The number is bounded: six standard deviations above `most` the sample is cut. What is drawn
-    depends on how the table is dealt to partitions.
+
+def sampled(rows: DataFrame, n: int, most: int, make: Callable[[DataFrame], DataFrame], seed: int = 7) -> DataFrame:
+    """make(about `most` of n rows): each row is drawn for itself, so equal rows are drawn like others.
+
+    make gives a row for each row. Their number is bounded: it is cut six standard deviations above `most`,
+    after they are made in many tasks. What is drawn depends on how the table is dealt to partitions.
     """
-    if n <= most:
-        return rows
-    return rows.where(F.rand(seed) < most / n).limit(most + 6 * math.isqrt(most) + 6)
+    return make(rows) if n <= most else make(rows.where(F.rand(seed) < most / n)).limit(bound(most))
 
 
 class WordHashes(dict):

@@ -11,15 +11,18 @@ bounds the share of positives among the unlabelled. Last, the intercept is set s
 unlabelled rows at or above `threshold` is the prior, give or take the sample's standard error on the
 side of keeping.
 
-Features of a text: shapes of words (letter runs shortened), hashed words, and binned figures of the
-whole text (variety of words, commonest word, capitals, symbols, length of words and lines).
-
-Fitting takes at most about `max_positive` and `max_unlabelled` rows, chosen by a hash of the text;
-scoring covers every whole text. The model is one vector of `DIMENSIONS` numbers.
-
-Defined cases: null and empty texts have the features of an empty text and get a score like any other;
-rows with a null label teach nothing; without positives or without unlabelled rows every score is the
-prior 0.5; repeated rows are scored alike.
+Features of a text: shapes of words (runs of one class shortened), hashed words, and binned figures of the
+whole text (variety of words, commonest word, capitals, symbols, length of words and lines). A run without
+white space of more than `PIECE` characters counts as consecutive pieces of that length, all of them.
+
+Fitting takes at most about `max_positive` and `max_unlabelled` rows, drawn one by one, so that equal rows
+are drawn like others, and cut six standard deviations above; scoring covers every whole text. The model is
+one vector of `DIMENSIONS` numbers.
+
+Defined cases: null and empty texts have the features of an empty text and get a score like any other, but
+null texts teach nothing; rows with a null label teach nothing; without positives or without unlabelled
+rows every score is the prior 0.5, and so are all of an empty model; repeated rows are scored alike, and
+equal scores are not ordered; long texts are read whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -36,9 +39,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from ._common import documents, fold_of
+from ._common import bound, documents, fold_of
 
 DIMENSIONS = 4096
+#: Characters of a run that count as one word.
+PIECE = 64
 _FIGURES = 512
 _SHAPES = 1024
 _RUN = re.compile(r"(.)\1+")
@@ -55,9 +60,8 @@ class _Places(dict):
     limit = 200_000
 
     def __missing__(self, word: str) -> tuple[int, int]:
-        head = word[:64]
-        shape = _RUN.sub(r"\1", "".join([_CLASSES.get(c) or ("A" if c.isupper() else "a" if c.isalpha() else "~") for c in head]))[:12]
-        value = (_place("s", shape, _FIGURES, _SHAPES), _place("w", head.lower(), _FIGURES + _SHAPES, DIMENSIONS - _FIGURES - _SHAPES))
+        shape = _RUN.sub(r"\1", "".join([_CLASSES.get(c) or ("A" if c.isupper() else "a" if c.isalpha() else "~") for c in word]))
+        value = (_place("s", shape, _FIGURES, _SHAPES), _place("w", word.lower(), _FIGURES + _SHAPES, DIMENSIONS - _FIGURES - _SHAPES))
         if len(self) >= self.limit:
             self.clear()
         self[word] = value
@@ -89,9 +93,10 @@ def features(text: str | None, places: _Places) -> tuple[np.ndarray, np.ndarray]
         shape: Counter = Counter()
         word: Counter = Counter()
         for w, k in counts.items():
-            s, p = places[w]
-            shape[s] += k
-            word[p] += k
+            for piece in (w,) if len(w) <= PIECE else (w[i : i + PIECE] for i in range(0, len(w), PIECE)):
+                s, p = places[piece]
+                shape[s] += k
+                word[p] += k
         for found, scale in ((shape, 2.0), (word, 0.5)):
             size = math.sqrt(sum(v * v for v in found.values()))
             at += found.keys()
@@ -155,34 +160,33 @@ def placed(w: np.ndarray, unlabelled: list, prior: float, threshold: float) -> n
     return np.append(w[:-1], math.log(threshold / (1 - threshold)) - cut)
 
 
-def _vectors(rows: DataFrame, most: int) -> list[tuple[bytes, bytes]]:
-    """Feature vectors of about `most` rows, chosen by hash; the number has a bound far out in the tail."""
-    n = rows.count()
-    share = most / max(n, 1)
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000)))
+def _vectors(rows: DataFrame, most: int) -> list[list[tuple[bytes, bytes]]]:
+    """Feature vectors of the rows that teach as positives, and of those that teach as unlabelled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = _Places()
         for batch in batches:
-            got = [features(t, places) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes() for a, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], ["at", "value"])
+            got = [features(t, places) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.tobytes() for a, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], ["positive", "unlabelled", "at", "value"])
 
-    found = rows.select("doc_id", "text").mapInArrow(run, "at binary, value binary").toArrow()
-    both = sorted(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True), key=lambda x: xxhash.xxh64_intdigest(x[0]))
-    return both
+    found = rows.select("positive", "unlabelled", "text").mapInArrow(run, "positive boolean, unlabelled boolean, at binary, value binary").limit(most).toArrow()
+    order = lambda x: (xxhash.xxh64_intdigest(x[0]), x)
+    return [sorted(zip(*(found.filter(found.column(kind)).column(c).to_pylist() for c in ("at", "value")), strict=True), key=order) for kind in ("positive", "unlabelled")]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_positive: int = 4000, max_unlabelled: int = 8000, threshold: float = 0.3) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_positive: int = 4000, max_unlabelled: int = 8000, threshold: float = 0.3, seed: int = 11) -> tuple[np.ndarray, float]:
     """Weights and the estimated prior. Trusted positives are rows labelled 1; unlabelled are all rows of docs."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("doc_id")).distinct()
-    n = trusted.count()
-    if n > max_positive:
-        trusted = trusted.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(math.ceil(max_positive / n * 1_000_000)))
-    # about max_positive ids at most, by the sample above
-    positive = _vectors(rows.join(F.broadcast(trusted), "doc_id", "left_semi"), max_positive)
-    unlabelled = _vectors(rows, max_unlabelled)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    ids = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    n = ids.count()
+    # ids are distinct, so a hash draws them one by one; the limit is far out in the tail
+    trusted = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(math.ceil(max_positive / n * 1_000_000))).limit(bound(max_positive)) if n > max_positive else ids
+    flagged = rows.join(F.broadcast(trusted.withColumn("trusted", F.lit(True))), "doc_id", "left")
+    # only ids are read for the counts; rows with one id may be many
+    total, of_trusted = flagged.agg(F.count("*"), F.count("trusted")).first()
+    drawn = lambda most, of, k: F.rand(seed + k) < min(1.0, most / max(of, 1))
+    drawn = flagged.select("text", (F.coalesce("trusted", F.lit(False)) & drawn(max_positive, of_trusted, 0)).alias("positive"), drawn(max_unlabelled, total, 1).alias("unlabelled"))
+    positive, unlabelled = _vectors(drawn.where("(positive or unlabelled) and text is not null"), bound(max_positive) + bound(max_unlabelled))
     if not positive or not unlabelled:
         return np.zeros(DIMENSIONS + 1), 0.5
     prior = estimate_prior(positive, unlabelled)

@@ -447,12 +447,90 @@ def test_long_runs_of_letters_count_whole(spark):
     run = "".join(rng.choices("abcé", k=1100))
     model = language.fit(spark.createDataFrame([(run, "xx"), ("ab", "xx")], "text string, lang string"), min_count=1)
     grams = collections.Counter(f" {run} "[i : i + n] for n in language.GRAMS for i in range(len(run) + 3 - n))
-    grams.update(" ab "[i : i + n] for n in language.GRAMS for i in range(max(7 - n - 2, 1)))
+    grams.update(" ab "[i : i + n] for n in language.GRAMS for i in range(max(5 - n, 0)))
     del grams[" "]
     odds = np.exp(model.gram_table[:, 0]) * (grams.total() + 0.5 * len(grams)) - 0.5
     assert {g: round(odds[i]) for g, i in model.grams.items()} == grams
 
 
+def language_by_hand(model, text):
+    """The language and its share, from the model's tables, word by word."""
+    import regex
+
+    total, seen = [0.0] * len(model.langs), 0
+    for word in regex.findall(r"\p{L}[\p{L}\p{M}]*", (text or "").lower()):
+        row = model.word_table[model.words[word]] if word in model.words else None
+        for n in (5, 4, 3, 2, 1) if row is None else ():
+            known = [model.gram_table[model.grams[g]] for i in range(len(word) + 3 - n) if (g := f" {word} "[i : i + n]) in model.grams]
+            if known:
+                row = sum(known) / len(known)
+                break
+        if row is not None:
+            seen += 1
+            total = [a + float(b) for a, b in zip(total, row, strict=True)]
+    if not regex.search(r"\p{L}", text or ""):
+        return "und", 0.0
+    tempered = [math.exp((t - max(total)) / math.sqrt(max(seen, 1))) for t in total]
+    best = total.index(max(total))
+    return model.langs[best], tempered[best] / sum(tempered)
+
+
+def test_language_by_hand(spark):
+    df = table(spark)
+    model = language.fit(df, max_words=60, max_grams=400)
+    texts = [t for _, t, *_ in rows()] + ["½ ²", "Ⅷ ①", "été\u0301 naïve", "कि खा", "x" * 90 + " ab1 cd2", "ab" * 40_000, "\u0301", "日本語"]
+    memo = language.Memo(model, cells=60)  # emptied often
+    for t in texts:
+        lang, score = language.detect(t, memo)
+        expected = language_by_hand(model, t)
+        assert lang == expected[0] and abs(score - expected[1]) < 1e-6, t
+    assert language.detect("½ ²", memo) == ("und", 0.0)
+
+
+def test_many_languages_and_repeated_rows(spark):
+    docs = spark.range(3000).selectExpr("concat('l', id % 300) as lang", "concat('word', id % 300, ' same') as text")
+    model = language.fit(docs, max_langs=50, max_cells=500)
+    assert len(model.langs) == 50 and model.word_table.size <= 500 >= model.gram_table.size
+    same = spark.range(20_000).selectExpr("'xx' as lang", "'one text' as text")
+    model = language.fit(same, sample_bytes=16_000, max_words=5)
+    # a tenth of equal rows teaches, not all and not none
+    n = np.exp(model.word_table[model.words["text"]][0]) * 1
+    assert 0.4 < n < 0.6 and set(model.words) == {"one", "text"}
+
+
+def sf_of(spark, tmp_path, name, documents, labels=None):
+    folder = f"{tmp_path}/{name}"
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    if labels is not None:
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_language_query_learns_from_its_folds_only(spark, tmp_path):
+    rng = random.Random(6)
+    vocab = {"en": "the of and house water tree night".split(), "fr": "le de et maison eau arbre nuit été".split()}
+    data = [(i, " ".join(rng.choices(vocab[x], k=12)), x, "s", 1) for i, x in enumerate(["en", "fr"] * 60)] + [(None, "le de", "fr", "s", 1), (900, None, "en", "s", 1)]
+    held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 4 == 2
+    turned = [(d, t, "zz" if held(d) else lang, s, n) for d, t, lang, s, n in data]
+    one, two = (multiset(language.query(spark, sf_of(spark, tmp_path, name, x)), "doc_id", "held_out", "lang_pred", "score") for name, x in (("a", data), ("b", turned)))
+    assert one == two and {(k[0], k[1]) for k in one} == {(d, held(d)) for d, *_ in data}
+    right = {d: x for d, _, x, *_ in data}
+    assert all(k[2] == right[k[0]] for k in one if k[0] != 900)
+
+
+def test_quality_query_learns_from_its_folds_only(spark, tmp_path):
+    rng = random.Random(7)
+    text = lambda i: ". ".join(words(rng, 12).capitalize() for _ in range(3)) if i % 4 else " ".join(f"{w}$$$" for w in words(rng, 30).split())
+    data = [(i, text(i), "en", "s", 1) for i in range(400)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    labels = [(i, int(bool(i % 4)), 0) for i in range(400)]
+    turned = [(i, 1 - q if held(i) else q, 1) for i, q, _ in labels]
+    relabelled = [(d, t, "fr", "other", 9) for d, t, *_ in data]
+    one, two = (multiset(quality.query(spark, sf_of(spark, tmp_path, name, x, y)), "doc_id", "held_out", "score", "predicted") for name, x, y in (("a", data, labels), ("b", relabelled, turned)))
+    assert one == two and {(k[0], k[1]) for k in one} == {(d, held(d)) for d, *_ in data}
+    assert all(p == (s >= 0.3) for _, _, s, p in one)
+
+
 def test_quality(spark):
     rng = random.Random(7)
     good = lambda: ". ".join(words(rng, 12).capitalize() for _ in range(8))
