@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import base64
 import json
+import pickle
 import re
 import sys
 import zlib
@@ -86,6 +87,15 @@ class Encoder:
         return np.array(self.fast.encode_ordinary(text), "<u4")
 
 
+def id_kind(tokenizer: str, ranks: str, end_id: int) -> str:
+    """The type in which ids of this vocabulary are kept between steps."""
+    with open(ranks, "rb") as f:
+        most = max([end_id, *(int(line.split()[1]) for line in f if line.strip())])
+    with open(tokenizer, encoding="utf-8") as f:
+        most = max([most, *(t["id"] for t in json.load(f).get("added_tokens", []))])
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
 def encoder(tokenizer: str, ranks: str) -> Encoder:
     if (tokenizer, ranks) not in _encoders:
         _encoders.clear()
@@ -101,6 +111,20 @@ class Corpus:
     n: int
     tokens: int
 
+    def _count(self, df: np.ndarray) -> None:
+        if len(df) > len(self.df):
+            self.df = np.append(self.df, np.zeros(len(df) - len(self.df), np.int64))
+        self.df[: len(df)] += df
+
+    def add(self, made: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Takes in documents, given as their distinct tokens and counts."""
+        self._count(np.bincount(np.concatenate([t for t, _ in made])))
+        self.n, self.tokens = self.n + len(made), self.tokens + sum(int(c.sum()) for _, c in made)
+
+    def join(self, other: Corpus) -> None:
+        self._count(other.df)
+        self.n, self.tokens = self.n + other.n, self.tokens + other.tokens
+
     def idf(self, terms: np.ndarray) -> np.ndarray:
         df = self.df[np.minimum(terms, len(self.df) - 1)] * (terms < len(self.df))
         return np.log(1 + (self.n - df + 0.5) / (df + 0.5))
@@ -253,7 +277,7 @@ class Placement:
         made = [np.unique(d, return_counts=True) for d in sample]
         df = np.bincount(np.concatenate([t for t, _ in made])) if made else np.zeros(1, np.int64)
         self.corpus = Corpus(df, len(sample), sum(map(len, sample)))
-        x = np.array([self.vector(d) for d in sample]) if made else np.zeros((1, AXES), np.float32)
+        x = self.vectors(made) if made else np.zeros((1, AXES), np.float32)
         rng = np.random.default_rng(3)
         clusters = max(1, min(clusters, len(x)))
         c = x[rng.choice(len(x), clusters, replace=False)]
@@ -266,17 +290,31 @@ class Placement:
         axis = np.linalg.svd(c - c.mean(axis=0), full_matrices=False)[2][0]
         self.centres = c[np.argsort(c @ axis, kind="stable")]
 
-    def vector(self, ids: np.ndarray) -> np.ndarray:
-        terms, tf = np.unique(ids, return_counts=True)
-        return _projected(terms, self.corpus.weights(terms, tf, np.array(len(ids))))
-
-    def cluster(self, ids: np.ndarray) -> int:
-        return int((self.centres @ self.vector(ids)).argmax()) if len(self.centres) > 1 else 0
-
-
-def _least_run(ids: np.ndarray, gram: int) -> int:
-    """The smallest hash of the runs of `gram` tokens; a shorter text is one run."""
-    return int(mixed(gram_hashes(ids.astype(np.uint64) + np.uint64(1), min(gram, len(ids)))).min() >> np.uint64(1))
+    def vectors(self, made: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """A row for each document, given as its distinct tokens and their counts."""
+        counts = np.array([len(t) for t, _ in made])
+        sizes = np.repeat([int(c.sum()) for _, c in made], counts)
+        weight = self.corpus.weights(np.concatenate([t for t, _ in made]), np.concatenate([c for _, c in made]), sizes)
+        return np.array([_projected(t, w) for (t, _), w in zip(made, np.split(weight, np.cumsum(counts)[:-1]), strict=True)])
+
+    def clusters(self, made: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        return (self.vectors(made) @ self.centres.T).argmax(axis=1) if len(self.centres) > 1 else np.zeros(len(made), int)
+
+
+def least_runs(docs: list[np.ndarray], gram: int) -> np.ndarray:
+    """The smallest hash of each document's runs of `gram` tokens; a shorter document is one run."""
+    sizes = np.array([len(d) for d in docs])
+    flat = np.concatenate(docs).astype(np.uint64) + np.uint64(1)
+    ends = np.cumsum(sizes)
+    out = np.empty(len(docs), np.uint64)
+    whole = np.flatnonzero(sizes >= gram)
+    if len(whole):
+        runs = np.append(mixed(gram_hashes(flat, gram)), np.uint64(0))
+        # runs that begin in a document and end in the next one are left out
+        out[whole] = np.minimum.reduceat(runs, np.stack((ends[whole] - sizes[whole], ends[whole] - gram + 1), 1).ravel())[::2]
+    for i in np.flatnonzero(sizes < gram).tolist():
+        out[i] = mixed(gram_hashes(flat[ends[i] - sizes[i] : ends[i]], int(sizes[i])))[0]
+    return (out >> np.uint64(1)).astype(np.int64)
 
 
 def _encoded(code: Encoder, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
@@ -285,12 +323,8 @@ def _encoded(code: Encoder, texts: pa.Array, end_id: int) -> Iterator[np.ndarray
             yield np.append(ids, np.uint32(end_id))
 
 
-def _arrays(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u4") for x in column.to_pylist()]
-
-
-def _binary(found: list[np.ndarray]) -> pa.Array:
-    return pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())
+def _binary(found: list[np.ndarray], kind: str) -> pa.Array:
+    return pa.array([x.astype(kind).tobytes() for x in found], pa.binary())
 
 
 def pack(docs: DataFrame, *, window: int = 2048, end_id: int = 1, tokenizer: str | None = None, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 3_000_000, shard_docs: int = 3000, sample_docs: int = 4000, most_clusters: int = 256, gram: int = 4, most_tasks: int = 20_000, with_ids: bool = True) -> DataFrame:
@@ -312,24 +346,31 @@ def pack(docs: DataFrame, *, window: int = 2048, end_id: int = 1, tokenizer: str
         code = encoder(tokenizer, ranks)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                yield pa.RecordBatch.from_arrays([_binary(list(_encoded(code, batch.column(0).slice(lo, 512), end_id)))], ["ids"])
+                yield pa.RecordBatch.from_arrays([_binary(list(_encoded(code, batch.column(0).slice(lo, 512), end_id)), "<u4")], ["ids"])
 
-    sample = _arrays(sampled(rows.select("text"), n, sample_docs).mapInArrow(encode, "ids binary").toArrow().column("ids")) if shards > 1 else []
+    sample = sampled(rows.select("text"), n, sample_docs, lambda df: df.mapInArrow(encode, "ids binary")).toArrow().column("ids").to_pylist() if shards > 1 else []
     context = rows.sparkSession.sparkContext
-    placement = context.broadcast(Placement(sample, min(most_clusters, 4 * shards) if shards > 1 else 1))
+    placement = context.broadcast(Placement([np.frombuffer(x, "<u4") for x in sample], min(most_clusters, 4 * shards) if shards > 1 else 1))
+
+    kind = id_kind(tokenizer, ranks, end_id)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, where = encoder(tokenizer, ranks), placement.value
+        """Rows with their tokens and place; a last row without a number holds the task's figures."""
+        code, where, own = encoder(tokenizer, ranks), placement.value, Corpus(np.zeros(1, np.int64), 0, 0)
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
                 ids = list(_encoded(code, batch.column(2), end_id))
-                cluster, least = pa.array([where.cluster(d) for d in ids], pa.int32()), pa.array([_least_run(d, gram) for d in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cluster, least, _binary(ids)], ["row", "doc_id", "cluster", "least", "ids"])
+                made = [np.unique(d, return_counts=True) for d in ids]
+                own.add(made)
+                arrays = [batch.column(0), batch.column(1), pa.array(where.clusters(made), pa.int32()), pa.array(least_runs(ids, gram)), _binary(ids, kind), pa.nulls(len(ids), pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, token_names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())), pa.array([pickle.dumps(own)])], token_names)
 
+    token_names = ["row", "doc_id", "cluster", "least", "ids", "figures"]
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    tokens = staged(numbered.mapInArrow(place, "row long, doc_id long, cluster int, least long, ids binary"), "tokens")
-    shared = context.broadcast(_corpus(tokens))
+    tokens = staged(numbered.mapInArrow(place, "row long, doc_id long, cluster int, least long, ids binary, figures binary"), "tokens")
+    shared = context.broadcast(_corpus(tokens.select("figures")))
     names = [*(f.strip().split()[0] for f in PIECES.split(",")), *(["ids"] if with_ids else [])]
     ddl = PIECES + (", ids binary" if with_ids else "")
     schema = arrow_schema(ddl)
@@ -351,7 +392,7 @@ def pack(docs: DataFrame, *, window: int = 2048, end_id: int = 1, tokenizer: str
 
         for batch in batches:
             for name, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                d = np.frombuffer(ids.as_py(), "<u4")
+                d = np.frombuffer(ids.as_py(), kind).astype("<u4")
                 if held[0] and (size + len(d) > shard_tokens or len(held[0]) >= shard_docs):
                     yield from made()
                     held, size = ([], []), 0
@@ -362,31 +403,26 @@ def pack(docs: DataFrame, *, window: int = 2048, end_id: int = 1, tokenizer: str
 
     tasks = max(1, min(-(-shards // 2), most_tasks))
     order = ["cluster", "least", "row"]
-    return tokens.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(laid, ddl)
+    return tokens.where("row is not null").repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(laid, ddl)
 
 
 def _table(out: list[tuple], schema: pa.Schema, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], names)
 
 
-def _corpus(tokens: DataFrame) -> Corpus:
-    """Figures of all rows; each task hands on one count per token it holds."""
+def _corpus(figures: DataFrame) -> Corpus:
+    """Figures of all rows from those of the tasks, which are added in tasks and then by token."""
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, size = np.zeros(1, np.int64), 0, 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Corpus(np.zeros(1, np.int64), 0, 0)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                docs = _arrays(batch.column(0).slice(lo, 512))
-                found = np.bincount(np.concatenate([np.unique(d) for d in docs]))
-                if len(found) > len(df):
-                    df = np.append(df, np.zeros(len(found) - len(df), np.int64))
-                df[: len(found)] += found
-                n, size = n + len(docs), size + sum(map(len, docs))
-        at = np.flatnonzero(df)
-        # the places before the first token hold the number of documents and of tokens
-        yield pa.RecordBatch.from_arrays([pa.array(np.append([-2, -1], at)), pa.array(np.append([n, size], df[at]))], ["term", "n"])
-
-    got = tokens.select("ids").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+            for one in batch.column(0):
+                if one.is_valid:
+                    own.join(pickle.loads(one.as_py()))
+        at = np.flatnonzero(own.df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append([-2, -1], at)), pa.array(np.append([own.n, own.tokens], own.df[at]))], ["term", "n"])
+
+    got = figures.where("figures is not null").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, count = got.column("term").to_numpy(), got.column("n").to_numpy()
     df = np.zeros(int(term.max(initial=0)) + 1, np.int64)
     df[term[term >= 0]] = count[term >= 0]
