@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import inspect
 from collections.abc import Callable, Iterable
 from typing import Any
@@ -10,8 +9,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators.loops import Checkpoint
-from .plans.compile import Segment, delivered, items_of, planned, resumed, signature, typed, values
-from .plans.nodes import Frame, FunctionFrame, FunctionJob, FunctionReducer, Job, Module, Object, PlanError, Reducer, outputs
+from .plans.compile import Segment, checkpoint_of, delivered, each, interruptible, items_of, planned, resumed, typed, values
+from .plans.nodes import Frame, FunctionFrame, FunctionJob, FunctionReducer, Job, Module, Object, PlanError, Reducer, applied, outputs
+from .sources.staging import scratch
 
 
 def active() -> SparkSession:
@@ -37,12 +37,12 @@ class Work:
     checkpoint: a folder, in an existing one that all machines share. A run that failed goes on there after
     the last finished step of a ring, without calling init again or reading `initial`. Once its results are
     delivered a further run is an error (Checkpoint.Finished); a run that fails while they are delivered
-    delivers all of them again.
+    delivers all of them again. stop_after: the run ends with Checkpoint.Stopped after so many steps.
     """
 
-    def __init__(self, initial: Iterable[Any] | DataFrame = (), useMultiprocessing: bool = True, *, spark: SparkSession | None = None, checkpoint: str | None = None):  # noqa: N803
+    def __init__(self, initial: Iterable[Any] | DataFrame = (), useMultiprocessing: bool = True, *, spark: SparkSession | None = None, checkpoint: str | None = None, stop_after: int | None = None):  # noqa: N803
         self.initial = initial if isinstance(initial, DataFrame) else list(initial)
-        self.spark, self.checkpoint = spark, checkpoint
+        self.spark, self.checkpoint, self.stop_after = spark, checkpoint, stop_after
         self.segments: list[Segment] = []
         self.scopes: list[tuple[list, FunctionFrame | None]] = [([], None)]
         self.inits: list[Callable] = []
@@ -91,8 +91,12 @@ class Work:
 
         return self._decorated(fn, use)
 
-    def reduce(self, fn: Callable | type | None = None, *, store: Callable[[], Any] = Object, emit: Callable[[Any], Any] | None = None, useMultiprocessing: bool = True) -> Callable:  # noqa: N803
-        """fn(store, works, others) folds all that comes; what it returns recurs; emit(store) is emitted at the end."""
+    def reduce(self, fn: Callable | type | None = None, *, store: Callable[[], Any] = Object, emit: Callable[[Any], Any] | None = None, merge: Callable[[Any, Any], Any] | None = None, useMultiprocessing: bool = True) -> Callable:  # noqa: N803
+        """fn(store, works, others) folds all that comes; what it returns recurs; emit(store) is emitted at the end.
+
+        Stores are folded in all tasks and merged if fn reads `others` or merge(store, other) is given;
+        otherwise one task folds all that leaves the jobs.
+        """
 
         def use(given: Callable) -> None:
             if len(self.scopes) > 1:
@@ -101,7 +105,7 @@ class Work:
                 reducer = given()
             else:
                 _arity(given, "reduce", 3, exact=True)
-                reducer = FunctionReducer(given, store, emit)
+                reducer = FunctionReducer(given, store, emit, merge)
             self.segments.append(Segment(Module(self._open(), reducer), always=True))
             self.scopes = [([], None)]
 
@@ -167,19 +171,13 @@ class Work:
         segments = self._segments()
         if self.checkpoint is None:
             return planned(segments, self._source(spark))
-        return resumed(segments, lambda: self._source(spark), spark, self._state(spark, segments))
+        return resumed(segments, lambda: self._source(spark), spark, self._state(spark))
 
     def _segments(self) -> list[Segment]:
         return [*self.segments, *([Segment(Module(self.scopes[0][0]))] if self.scopes[0][0] else [])]
 
-    def _state(self, spark: SparkSession, segments: list[Segment]) -> Checkpoint:
-        made = str([[signature(s.module), s.always] for s in segments] + [signature(self.inits)])
-        found = Checkpoint(self.checkpoint.rstrip("/"), hashlib.sha256(made.encode()).hexdigest())
-        jvm, fs = found._fs(spark)
-        parent = jvm.org.apache.hadoop.fs.Path(found.folder).getParent()
-        if parent is not None and not fs.exists(parent):
-            raise FileNotFoundError(f"the folder of the checkpoint is missing: {parent}")
-        return found
+    def _state(self, spark: SparkSession) -> Checkpoint:
+        return checkpoint_of(spark, self.checkpoint, self._segments(), self.inits, self.stop_after)
 
     def _source(self, spark: SparkSession) -> DataFrame:
         added = [w for fn in self.inits for w in outputs(fn()) for w in (w if isinstance(w, list) else [w])]
@@ -193,27 +191,28 @@ class Work:
         return typed(self.rows(), ddl)
 
     def _execute(self, discard: bool = False) -> list | Any | None:
-        rows = self.rows()
-        found = self._delivered(rows, discard)
-        if self.checkpoint is not None:
-            spark = self.spark or active()
-            delivered(spark, self._state(spark, self._segments()))
-        return found
+        spark = self.spark or active()
+        with interruptible(spark), scratch(spark):
+            if self.checkpoint is None:
+                return self._delivered(self.rows(), discard)
+            state = self._state(spark)
+            with state.held():
+                found = self._delivered(self.rows(), discard)
+                delivered(spark, state)
+                return found
 
     def _delivered(self, rows: DataFrame, discard: bool) -> list | Any | None:
-        from .plans.nodes import applied
-
         if self.sink is None:
             if discard:
                 rows.write.format("noop").mode("overwrite").save()
                 return None
-            return list(values(rows))
+            return values(rows)
         kind, fn = self.sink
         if kind == "result":
-            for item in values(rows):
+            for item in each(rows):
                 applied(fn, item)
             return None
-        found = list(outputs(fn(list(values(rows)))))
+        found = list(outputs(fn(values(rows))))
         if len(found) > 1:
             raise PlanError("finish gave several results")
         return found[0] if found else None
@@ -230,4 +229,5 @@ def map(func: Callable, *sequences: Iterable[Any], spark: SparkSession | None =
     if not work:
         return []
     job = FunctionJob(lambda given: (given[0], func(*given[1], **kwargs)))
-    return [v for _, v in sorted(values(planned([Segment(Module([job]))], items_of(spark, work))), key=lambda x: x[0])]
+    with interruptible(spark):
+        return [v for _, v in sorted(values(planned([Segment(Module([job]))], items_of(spark, work))), key=lambda x: x[0])]

@@ -14,10 +14,13 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans.compile import Segment, items_of, planned, values
+from .plans.compile import Segment, checkpoint_of, delivered, each, interruptible, items_of, planned, resumed, values
 from .plans.nodes import Frame, Job, Module, PlanError, Reducer
+from .sources.staging import scratch
 
 _registry: dict[str, type] = {}
+#: Items queued for the next run() that is given none.
+work: list[Any] = []
 
 
 def register(kind: type, name: str | None = None) -> type:
@@ -89,16 +92,30 @@ def loaded(source: str | Mapping[str, Any]) -> Mapping[str, Any]:
     return found
 
 
-def run(config: str | Mapping[str, Any], work: Iterable[Any] | DataFrame, *, spark: SparkSession | None = None, handle=None, **unknown: Any) -> list | None:
-    """Runs a configured plan; returns the results, or hands each to handle."""
+def run(config: str | Mapping[str, Any], given: Iterable[Any] | DataFrame | None = None, *, spark: SparkSession | None = None, handle=None, checkpoint: str | None = None, stop_after: int | None = None, **unknown: Any) -> list | None:
+    """Runs a configured plan; returns the results, or hands each to handle.
+
+    Without items of its own it takes those queued in `work`. checkpoint: see Work.
+    """
     from .builder import active
 
     if unknown:
         raise TypeError(f"unknown arguments: {', '.join(sorted(unknown))}")
-    spark = spark or active()
-    found = values(planned([Segment(module_of(loaded(config)))], items_of(spark, work)))
+    spark, segments = spark or active(), [Segment(module_of(loaded(config)))]
+    source = lambda: items_of(spark, list(work) if given is None else given)
+    with interruptible(spark), scratch(spark):
+        if checkpoint is None:
+            return _handed(planned(segments, source()), handle)
+        state = checkpoint_of(spark, checkpoint, segments, stop_after=stop_after)
+        with state.held():
+            found = _handed(resumed(segments, source, spark, state), handle)
+            delivered(spark, state)
+            return found
+
+
+def _handed(rows: DataFrame, handle) -> list | None:
     if handle is None:
-        return list(found)
-    for item in found:
+        return values(rows)
+    for item in each(rows):
         handle(item)
     return None

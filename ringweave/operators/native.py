@@ -21,7 +21,10 @@ def flat_map(df: DataFrame, values: Column, name: str, *, keep: Sequence[str] =
 
 
 def route(df: DataFrame, targets: Mapping[str, tuple[Column, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
-    """Each row goes through every branch whose condition it meets; the branches' rows are one bag."""
+    """Each row goes through every branch whose condition it meets; the branches' rows are one bag.
+
+    For branches that are whole plans: each reads df for itself. Branches that are columns go by routed().
+    """
     out = None
     for condition, branch in targets.values():
         made = branch(df.where(condition))
@@ -29,6 +32,14 @@ def route(df: DataFrame, targets: Mapping[str, tuple[Column, Callable[[DataFrame
     return out
 
 
+def routed(df: DataFrame, targets: Mapping[str, tuple[Column, Mapping[str, Column]]], *, keep: Sequence[str] = (), target: str = "target") -> DataFrame:
+    """Each row gives a row for every target whose condition it meets, with that target's columns; df is read once."""
+    made = [F.when(condition, F.struct(F.lit(name).alias(target), *[c.alias(n) for n, c in columns.items()])) for name, (condition, columns) in targets.items()]
+    names = next(iter(targets.values()))[1]
+    sent = df.select(*keep, F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("_sent"))
+    return sent.select(*keep, *[F.col(f"_sent.{n}") for n in (target, *names)])
+
+
 def entries(df: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """The rings that open: one per entering row."""
     return df.select(*keys, *keep)
@@ -60,8 +71,8 @@ def map_ordered(df: DataFrame, index: str, **columns: Column) -> DataFrame:
 
 
 def tagged(df: DataFrame, kind: Column, cases: Mapping[str, Column], name: str) -> DataFrame:
-    """Dispatch by a row's kind, as of a class hierarchy; an unknown kind gives null."""
+    """Dispatch by a row's kind, as of a class hierarchy; a kind that no case names, or null, fails the query."""
     out = F
     for case, value in cases.items():
         out = out.when(kind == case, value)
-    return df.withColumn(name, out)
+    return df.withColumn(name, out.otherwise(F.raise_error(F.concat(F.lit("unknown kind: "), F.coalesce(kind.cast("string"), F.lit("null"))))))

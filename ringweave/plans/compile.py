@@ -9,9 +9,12 @@ with the store and the items written to the shared folder between steps.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import pickle
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from types import CodeType, FunctionType
 from typing import Any
@@ -19,13 +22,17 @@ from typing import Any
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ringweave.operators.loops import Checkpoint
-from ringweave.sources.staging import staged
+from ringweave.sources.staging import scratch, staged
 
-from .nodes import Module, flow, run_item
+from .nodes import Frame, Module, flow, run_item
 
 ITEM = "item binary"
+#: Kinds: i an item for a frame, o an output of the body, b a ring that began, s a store, r recurred, e emitted, z nothing.
+KINDS = "kind string, item binary"
+_NOTHING = bytearray(pickle.dumps(None))
 _BATCH = 1024
 
 
@@ -49,13 +56,14 @@ def items_of(spark: SparkSession, work: Iterable[Any] | DataFrame, partitions: i
 
         return work.mapInArrow(pickled, ITEM)
     rows = [(bytearray(cloudpickle.dumps(w)),) for w in work]
-    made = spark.createDataFrame(rows, ITEM)
-    n = partitions or max(1, min(len(rows), spark.sparkContext.defaultParallelism))
-    return made.repartition(n) if rows else made
+    # more slices than cores, so that items of unlike length keep all cores busy
+    n = partitions or max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, n), ITEM)
 
 
-def _batch(items: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(items, pa.binary())], ["item"])
+def _batch(items: list[bytes], kinds: list[str] | None = None) -> pa.RecordBatch:
+    columns = [pa.array(items, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["item"]) if kinds is None else pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), *columns], ["kind", "item"])
 
 
 def _batches(items: Iterable[Any]) -> Iterator[pa.RecordBatch]:
@@ -68,6 +76,24 @@ def _batches(items: Iterable[Any]) -> Iterator[pa.RecordBatch]:
     yield _batch(held)
 
 
+def _kinds(items: Iterable[tuple[str, Any]]) -> Iterator[pa.RecordBatch]:
+    kinds: list[str] = []
+    held: list[bytes] = []
+    for kind, item in items:
+        kinds.append(kind)
+        held.append(cloudpickle.dumps(item))
+        if len(held) >= _BATCH:
+            yield _batch(held, kinds)
+            kinds, held = [], []
+    yield _batch(held, kinds)
+
+
+def _of_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Any]]:
+    for batch in batches:
+        for kind, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            yield kind, pickle.loads(item)
+
+
 def _loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[Any]:
     for batch in batches:
         for item in batch.column(0).to_pylist():
@@ -114,6 +140,14 @@ def signature(part: Any, within: tuple = ()) -> Any:
     return [signature(type(part), within), signature(getattr(part, "__dict__", None), within)]
 
 
+def checkpoint_of(spark: SparkSession, folder: str, segments: list[Segment], inits: Iterable[Callable] = (), stop_after: int | None = None) -> Checkpoint:
+    """The checkpoint of a plan in `folder`, whose parent must exist."""
+    made = str([[signature(s.module), s.always] for s in segments] + [signature(list(inits))])
+    found = Checkpoint(folder.rstrip("/"), hashlib.sha256(made.encode()).hexdigest(), stop_after)
+    found.parent_exists(spark)
+    return found
+
+
 def resumed(segments: list[Segment], source: Callable[[], DataFrame], spark: SparkSession, checkpoint: Checkpoint) -> DataFrame:
     """Like planned(); the source, each step of a ring and the result are kept in the checkpoint's folder.
 
@@ -122,6 +156,7 @@ def resumed(segments: list[Segment], source: Callable[[], DataFrame], spark: Spa
     state = checkpoint.read(spark) or {"step": 0, "source": None, "rings": {}, "result": None, "done": False}
     if state["done"]:
         raise Checkpoint.Finished(f"{checkpoint.folder} holds a finished run, whose results were delivered")
+    begun = state["step"]
 
     def kept(name: str, df: DataFrame) -> str:
         path = f"{checkpoint.folder}/{name}-{uuid.uuid4().hex}"
@@ -131,8 +166,10 @@ def resumed(segments: list[Segment], source: Callable[[], DataFrame], spark: Spa
     def note(**found: Any) -> None:
         state.update(found, step=state["step"] + 1)
         checkpoint.write(spark, state)
+        if checkpoint.stop_after is not None and state["step"] - begun >= checkpoint.stop_after:
+            raise Checkpoint.Stopped(f"after step {state['step']}")
 
-    read = lambda path: spark.read.schema(ITEM).parquet(path)
+    read = lambda path, kind=ITEM: spark.read.schema(kind).parquet(path)
     if not state["result"]:
         if not state["source"]:
             note(source=kept("source", source()))
@@ -146,9 +183,9 @@ def resumed(segments: list[Segment], source: Callable[[], DataFrame], spark: Spa
             def keep(step: DataFrame, paths: list[str] = paths) -> DataFrame:
                 paths.append(kept("ring", step))
                 note()
-                return read(paths[-1])
+                return read(paths[-1], KINDS)
 
-            rows = _reduced(segment, rows, [read(p) for p in paths], keep)
+            rows = _reduced(segment, rows, [read(p, KINDS) for p in paths], keep)
         note(result=kept("result", rows))
     return read(state["result"])
 
@@ -161,89 +198,138 @@ def delivered(spark: SparkSession, checkpoint: Checkpoint) -> None:
 def _reduced(segment: Segment, rows: DataFrame, past: Iterable[DataFrame] = (), keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """A ring over all rows, in steps until nothing recurs; past: the steps that an earlier run has made."""
     spark, module = rows.sparkSession, segment.module
-    code, mergeable = cloudpickle.dumps(module), module.reducer.mergeable
-    kept: bytes | None = None
-    emitted: list[DataFrame] = []
-    pending, first, left = rows, True, list(past)
-    while True:
-        begun = first
+    code, mergeable, framed = cloudpickle.dumps(module), module.reducer.mergeable, isinstance(module.reducer, Frame)
+    tasks = spark.sparkContext.defaultParallelism
 
-        def fold(batches: Iterator[pa.RecordBatch], begun: bool = begun) -> Iterator[pa.RecordBatch]:
-            """What a task's rows come to: one partial store, or each output where stores can't be merged."""
-            own = pickle.loads(code)
+    def fold(begun: bool) -> Callable:
+        """What a task's rows come to: one partial store, or each output where stores can't be merged."""
 
-            def out() -> Iterator[Any]:
-                store, reducer = None, own.reducer
-                for given in _loaded(batches):
-                    item, target = (given, None) if begun else given
-                    if not mergeable:
-                        yield from flow(own, item, own.entry_of(target))
-                        yield _STARTED
-                        continue
-                    if store is None:
-                        store, _ = reducer.open(None)
-                    stack = [(item, target)]
-                    while stack:
-                        work, to = stack.pop()
-                        for one in flow(own, work, own.entry_of(to)):
-                            stack.extend(reversed(reducer.add(store, one)))
-                if store is not None:
-                    yield store
-
-            yield from _batches(out())
-
-        def close(batches: Iterator[pa.RecordBatch], kept: bytes | None = kept) -> Iterator[pa.RecordBatch]:
-            """Merges into the ring's store; rows of (kind, value): e emitted, r recurred, s the store."""
+        def out(given: Iterator[Any]) -> Iterator[tuple[str, Any]]:
+            own = pickle.loads(code)
+            store, reducer, any_ = None, own.reducer, False
+            for one in given:
+                item, target = (one, None) if begun else one
+                any_ = True
+                if not mergeable:
+                    yield from (("o", x) for x in flow(own, item, own.entry_of(target)))
+                    continue
+                if store is None:
+                    store, _ = reducer.open(None)
+                stack = [(item, target)]
+                while stack:
+                    work, to = stack.pop()
+                    for x in flow(own, work, own.entry_of(to)):
+                        stack.extend(reversed(reducer.add(store, x)))
+            if any_:
+                yield ("s", store) if mergeable else ("b", None)
+
+        return lambda batches: _kinds(out(_loaded(batches)))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One of several partial stores, and what merging recurs."""
+        reducer, store, again = pickle.loads(code).reducer, None, []
+        for _, part in _of_kinds(batches):
+            if store is None:
+                store = part
+            else:
+                again += reducer.join(store, part) or []
+        yield from _kinds([] if store is None else [("s", store), *(("r", x) for x in again)])
+
+    def close(kept: bytes | None) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Takes all into the ring's store; what it emits, what it recurs, and the store."""
             own = pickle.loads(code)
             reducer, store, again = own.reducer, None if kept is None else pickle.loads(kept), []
-            for part in _loaded(batches):
+            for kind, part in _of_kinds(batches):
+                if kind == "z":
+                    continue
+                if kind == "i" and store is None:
+                    store, more = reducer.open(part)
+                    again += more
+                    continue
                 if store is None:
                     store, _ = reducer.open(None)
-                if mergeable:
-                    again.extend(reducer.join(store, part) or [])
-                elif part != _STARTED:
-                    again.extend(reducer.add(store, part))
-            if store is None and segment.always:
+                if kind == "s":
+                    again += reducer.join(store, part) or []
+                elif kind in "oi":
+                    again += reducer.add(store, part)
+                elif kind == "r":
+                    again.append(part)
+            if store is None and segment.always and not framed:
                 store, _ = reducer.open(None)
             if store is None:
-                yield _batch([])
+                yield from _kinds([])
                 return
-            out = [] if again else None
-            if out is None:
-                out, again = reducer.done(store)
-            yield from _batches([*(("e", x) for x in out), *(("r", x) for x in again), ("s", store)])
+            out, again = ([], again) if again else reducer.done(store)
+            yield from _kinds([*(("e", x) for x in out), *(("r", x) for x in again), ("s", store)])
+
+        return run
 
+    kept: bytes | None = None
+    emitted: list[DataFrame] = []
+    pending, first, left = rows, True, list(past)
+    while True:
         if left:
             step = left.pop(0)
         else:
-            made = pending.mapInArrow(fold, ITEM).coalesce(1).mapInArrow(close, ITEM)
+            if first and framed:
+                made = pending.select(F.lit("i").alias("kind"), "item")
+            else:
+                made = pending.mapInArrow(fold(first), KINDS)
+                if mergeable and tasks > 64:
+                    made = made.repartition(math.isqrt(tasks)).mapInArrow(merge, KINDS)
+            # a shuffle keeps the body parallel, the numbers keep the order of the rows, one row more keeps an empty ring
+            made = made.unionByName(spark.range(1).select(F.lit("z").alias("kind"), F.lit(_NOTHING).alias("item"))).withColumn("at", F.monotonically_increasing_id()).repartition(1).sortWithinPartitions("at").drop("at")
+            made = made.mapInArrow(close(kept), KINDS)
             step = keep(made) if keep else staged(made, "ring")
         emitted.append(_of_kind(step, "e"))
         recurred = _of_kind(step, "r")
         if not recurred.limit(1).count():
             break
         kept = bytes(_of_kind(step, "s").first().item)
-        pending, first = recurred.repartition(spark.sparkContext.defaultParallelism), False
+        pending, first = recurred.repartition(tasks), False
     found = emitted[0]
     for more in emitted[1:]:
         found = found.unionByName(more)
     return found
 
 
-_STARTED = "\0started"
-
-
 def _of_kind(step: DataFrame, kind: str) -> DataFrame:
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(value for k, value in _loaded(batches) if k == kind)
-
-    return step.mapInArrow(pick, ITEM)
-
-
-def values(rows: DataFrame) -> Iterator[Any]:
-    """Items on the driver, one partition at a time."""
-    for row in rows.toLocalIterator():
-        yield pickle.loads(bytes(row.item))
+    return step.where(F.col("kind") == kind).select("item")
+
+
+def values(rows: DataFrame) -> list[Any]:
+    """All items as a list on the driver, in order; all partitions are made at once."""
+    return [pickle.loads(bytes(row.item)) for row in rows.collect()]
+
+
+def each(rows: DataFrame) -> Iterator[Any]:
+    """Items on the driver in order, one partition at a time; all are made at once and staged before."""
+    with scratch(rows.sparkSession):
+        stored = staged(rows.withColumn("at", F.monotonically_increasing_id()), "results")
+        for row in stored.orderBy("at").toLocalIterator():
+            yield pickle.loads(bytes(row.item))
+
+
+@contextmanager
+def interruptible(spark: SparkSession) -> Iterator[None]:
+    """Cancels the jobs started within it if the driver is interrupted or fails."""
+    context = spark.sparkContext
+    if context.getLocalProperty("spark.jobGroup.id"):  # the caller has a group of its own
+        tag = f"ringweave-{uuid.uuid4().hex}"
+        context.addJobTag(tag)
+        stop, over = lambda: context.cancelJobsWithTag(tag), lambda: context.removeJobTag(tag)
+    else:
+        group = f"ringweave-{uuid.uuid4().hex}"
+        context.setJobGroup(group, "ringweave", interruptOnCancel=True)
+        stop, over = lambda: context.cancelJobGroup(group), lambda: context.setLocalProperty("spark.jobGroup.id", None)
+    try:
+        yield
+    except BaseException:
+        stop()
+        raise
+    finally:
+        over()
 
 
 def typed(rows: DataFrame, ddl: str) -> DataFrame:

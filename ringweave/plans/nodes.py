@@ -11,6 +11,7 @@ over all rows (the root reducer) are planned by ringweave.plans.compile.
 
 from __future__ import annotations
 
+import dis
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Any
 
@@ -206,16 +207,30 @@ class Frame(Reducer):
         return self._call(self.handleNext, store, work, adding=True)[1]
 
 
+def reads(fn: Callable, place: int) -> bool:
+    """Whether a Python function's code uses its parameter at that place."""
+    code = getattr(fn, "__code__", None)
+    if code is None or place >= code.co_argcount:
+        return False
+    name = code.co_varnames[place]
+    used = (i.argval if isinstance(i.argval, tuple) else (i.argval,) for i in dis.get_instructions(code) if "LOAD_" in i.opname)
+    return name in code.co_cellvars or any(name in names for names in used)
+
+
 class FunctionReducer(Reducer):
-    """fn(store, works, others); what it returns recurs, what emit(store) returns is emitted."""
+    """fn(store, works, others); what it returns recurs, what emit(store) returns is emitted.
+
+    others are partial stores to be merged. A function that never reads them can't merge: all that comes is
+    then folded, in order, in one task, unless merge(store, other) is given.
+    """
 
-    def __init__(self, fn: Callable, store: Callable[[], Any] = Object, emit: Callable[[Any], Any] | None = None):
+    def __init__(self, fn: Callable, store: Callable[[], Any] = Object, emit: Callable[[Any], Any] | None = None, merge: Callable[[Any, Any], Any] | None = None):
         super().__init__()
-        self.fn, self.store_type, self.emit_of = fn, store, emit or (lambda s: s)
+        self.fn, self.store_type, self.emit_of, self.merge = fn, store, emit or (lambda s: s), merge
 
     @property
     def mergeable(self) -> bool:
-        return True
+        return self.merge is not None or reads(self.fn, 2)
 
     def open(self, first: Any) -> tuple[Any, list]:
         return self.store_type(), [(first, None)]
@@ -224,7 +239,7 @@ class FunctionReducer(Reducer):
         return [(w, None) for w in outputs(self.fn(store, [work], []))]
 
     def join(self, store: Any, other: Any) -> list:
-        return [(w, None) for w in outputs(self.fn(store, [], [other]))]
+        return [(w, None) for w in outputs(self.merge(store, other) if self.merge else self.fn(store, [], [other]))]
 
     def done(self, store: Any) -> tuple[list, list]:
         return list(outputs(self.emit_of(store))), []

@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import code_sum, wrap_int32
-from .operators import Checkpoint, flat_map, fold, global_reduce, map_ordered, recursive, ring_reduce, route, supersteps, tagged
+from . import recipes
+from .builder import Work
+from .builder import map as map_items
+from .config import module_of
+from .operators import Checkpoint, flat_map, fold, global_reduce, map_ordered, ring_reduce, routed, row_loop, supersteps, tagged
+from .plans.compile import Segment, items_of, planned, typed
+from .plans.nodes import Args, Module, Multiple
 from .sources.lines import lines, seed_line
-from .sources.staging import shared_dir
+from .sources.staging import new_path, shared_dir
 from .sweep import critical, grid, needed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +37,12 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def configured(df: DataFrame, config: dict | Module, ddl: str) -> DataFrame:
+    """df's rows through a configured plan of Python jobs, as columns."""
+    module = config if isinstance(config, Module) else module_of(config)
+    return typed(planned([Segment(module)], items_of(df.sparkSession, df)), ddl)
+
+
 # --- jobs
 
 
@@ -58,30 +70,63 @@ def multiple_drops_none(spark, sf):
 
 
 @query("SELECT p_partkey, round(p_retailprice * p_size, 4) AS amount, concat(p_brand, '/', p_type) AS label FROM part")
-def args_fanout(spark, sf):
+def args_columns(spark, sf):
     packed = read(spark, sf, "part").select("p_partkey", F.struct("p_retailprice", "p_size", F.col("p_brand").alias("brand"), F.col("p_type").alias("kind")).alias("args"))
     return packed.select("p_partkey", F.round(F.col("args.p_retailprice") * F.col("args.p_size"), 4).alias("amount"), F.concat("args.brand", F.lit("/"), "args.kind").alias("label"))
 
 
+@query("SELECT p_partkey, round(p_retailprice * p_size, 4) AS amount, concat(p_brand, '/', p_type) AS label FROM part")
+def args_fanout(spark, sf):
+    """A job's Args are the parameters of the next one."""
+    work = Work(read(spark, sf, "part").select("p_partkey", "p_retailprice", "p_size", "p_brand", "p_type"), spark=spark)
+
+    @work.job
+    def packed(part):
+        return Args(part["p_partkey"], part["p_retailprice"], part["p_size"], brand=part["p_brand"], kind=part["p_type"])
+
+    @work.job
+    def spread(key, price, size, brand, kind):
+        return {"p_partkey": key, "amount": price * size, "label": f"{brand}/{kind}"}
+
+    return work.frame_of("p_partkey long, amount double, label string").withColumn("amount", F.round("amount", 4))
+
+
 @query("SELECT o_orderkey, 'large' AS target, round(o_totalprice * 0.9, 4) AS price FROM orders WHERE o_totalprice >= 150000 UNION ALL SELECT o_orderkey, 'small', round(o_totalprice, 4) FROM orders WHERE o_totalprice < 150000")
 def routed_emit(spark, sf):
     price = F.col("o_totalprice")
-    branch = lambda name, value: lambda df: df.select("o_orderkey", F.lit(name).alias("target"), F.round(value, 4).alias("price"))
-    return route(read(spark, sf, "orders"), {"large": (price >= 150000, branch("large", price * 0.9)), "small": (price < 150000, branch("small", price))})
+    return routed(read(spark, sf, "orders"), {"large": (price >= 150000, {"price": F.round(price * 0.9, 4)}), "small": (price < 150000, {"price": F.round(price, 4)})}, keep=["o_orderkey"])
+
+
+_BELOW_TEN = "WITH RECURSIVE r AS (SELECT p_partkey, p_size AS v FROM part UNION ALL SELECT p_partkey, v + 1 FROM r WHERE v < 10) SELECT p_partkey, v AS value FROM r WHERE v >= 10"
 
 
-@query("WITH RECURSIVE r AS (SELECT p_partkey, p_size AS v FROM part UNION ALL SELECT p_partkey, v + 1 FROM r WHERE v < 10) SELECT p_partkey, v AS value FROM r WHERE v >= 10")
+@query(_BELOW_TEN)
+def row_loop_columns(spark, sf):
+    return row_loop(read(spark, sf, "part"), ["p_partkey"], "p_size", "value < 10", "value + 1").select("p_partkey", "value")
+
+
+@query(_BELOW_TEN)
 def named_graph_loop(spark, sf):
-    return recursive(read(spark, sf, "part"), ["p_partkey"], "p_size", "value < 10", "value + 1").select("p_partkey", "value")
+    """A graph of jobs with a way back."""
+    rows = read(spark, sf, "part").select("p_partkey", F.col("p_size").alias("value"))
+    jobs = {"check": {"type": recipes.Under, "below": 10, "to": {"again": "grow", "done": "output"}}, "grow": {"type": recipes.Scale, "plus": 1, "to": "check"}}
+    return configured(rows, {"input": "check", "jobs": jobs}, "p_partkey long, value int")
 
 
 @query("SELECT p_partkey, p_size + 6 AS value FROM part")
-def module_hierarchy(spark, sf):
+def module_columns(spark, sf):
     one = lambda df: df.withColumn("value", F.col("value") + 1)
     three = lambda df: df.transform(one).transform(one).transform(one)
     return read(spark, sf, "part").select("p_partkey", F.col("p_size").alias("value")).transform(three).transform(three)
 
 
+@query("SELECT p_partkey, p_size + 6 AS value FROM part")
+def module_hierarchy(spark, sf):
+    """A module of three jobs, used twice."""
+    three = {"jobs": [{"type": recipes.Scale, "plus": 1}] * 3}
+    return configured(read(spark, sf, "part").select("p_partkey", F.col("p_size").alias("value")), {"jobs": [three, three]}, "p_partkey long, value int")
+
+
 @query("SELECT p_partkey FROM part p WHERE p_partkey > 1 AND NOT EXISTS (SELECT 1 FROM range(2, 1000) d(i) WHERE d.i * d.i <= p_partkey AND p_partkey % d.i = 0)")
 def primes_filter(spark, sf):
     n = F.col("p_partkey")
@@ -95,10 +140,18 @@ def map_ordered_pairs(spark, sf):
     return map_ordered(rows, "_at", product=F.round(F.col("l_quantity") * F.col("l_tax"), 6)).select("_at.*", "product")
 
 
+@query("SELECT n_name AS name, n_nationkey * 10 + n_regionkey AS code FROM nation")
+def map_python(spark, sf):
+    """The parallel map of a Python function over sequences."""
+    rows = read(spark, sf, "nation").select("n_name", "n_nationkey", "n_regionkey").collect()
+    found = map_items(lambda name, a, b, by: (name, a * by + b), [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], spark=spark, by=10)
+    return spark.createDataFrame(found, "name string, code int")
+
+
 @query("SELECT p_partkey, p_size * 3 + 7 AS value FROM part")
 def job_config(spark, sf):
-    config = {"by": 3, "plus": 7}
-    return read(spark, sf, "part").select("p_partkey", (F.col("p_size") * config["by"] + config["plus"]).alias("value"))
+    """A job class with its configuration."""
+    return configured(read(spark, sf, "part").select("p_partkey", F.col("p_size").alias("value")), {"jobs": [{"type": recipes.Scale, "by": 3, "plus": 7}]}, "p_partkey long, value int")
 
 
 # --- rings
@@ -185,10 +238,52 @@ def int_wraparound(spark, sf):
 def polymorphic_dispatch(spark, sf):
     kind = F.element_at(F.array(F.lit("flip"), F.lit("same"), F.lit("other")), (F.col("o_orderkey") % 3 + 1).cast("int"))
     rows = read(spark, sf, "orders").select("o_orderkey", F.struct(kind.alias("kind"), "o_orderkey").alias("payload"))
-    made = tagged(rows, F.col("payload.kind"), {"flip": F.col("payload.o_orderkey").bitwiseXOR(F.lit(255)), "same": F.col("payload.o_orderkey")}, "value")
+    made = tagged(rows, F.col("payload.kind"), {"flip": F.col("payload.o_orderkey").bitwiseXOR(F.lit(255)), "same": F.col("payload.o_orderkey"), "other": F.lit(None)}, "value")
     return made.select("o_orderkey", "value")
 
 
+@query("SELECT CAST(sum(CAST(l_quantity AS BIGINT) * l_linenumber) AS BIGINT) AS total, count(*) AS n FROM lineitem WHERE l_linenumber <> 2")
+def work_reduce(spark, sf):
+    """Python jobs and a ring over all rows, folded in every task and merged."""
+    work = Work(read(spark, sf, "lineitem").select("l_linenumber", F.col("l_quantity").cast("long").alias("q")), spark=spark)
+
+    @work.job
+    def product(line):
+        return None if line["l_linenumber"] == 2 else line["q"] * line["l_linenumber"]
+
+    @work.reduce(store=lambda: [0, 0], emit=lambda s: {"total": s[0], "n": s[1]})
+    def total(store, works, others):
+        for w in works:
+            store[0], store[1] = store[0] + w, store[1] + 1
+        for other in others:
+            store[0], store[1] = store[0] + other[0], store[1] + other[1]
+
+    return work.frame_of("total long, n long")
+
+
+@query("SELECT CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders")
+def work_reduce_without_merge(spark, sf):
+    """A ring whose function takes works only: one task folds what all tasks make."""
+    work = Work(read(spark, sf, "orders").select("o_orderkey"), spark=spark)
+
+    @work.job
+    def both(key):
+        return Multiple([key, None, 0])
+
+    @work.reduce(store=lambda: [0], emit=lambda s: s[0])
+    def total(store, works, others):
+        store[0] += sum(works)
+
+    return work.frame_of("total long")
+
+
+@query("SELECT CAST(power(2, ceil(log2(sum(n_nationkey)))) AS BIGINT) AS value FROM nation")
+def frame_over_all_rows(spark, sf):
+    """A frame at the root: the first row opens it, the others are added, and what is recurred goes through the jobs."""
+    rows = read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("value"))
+    return configured(rows, {"frame": recipes.Longest, "jobs": [recipes.Doubled]}, "value long")
+
+
 # --- recurrence and loops
 
 _TO_VALUE = "WITH RECURSIVE r AS (SELECT p_partkey, CAST(2 * (p_size + 1) + CASE WHEN p_size + 1 < 3 THEN 16 ELSE 0 END AS BIGINT) AS c FROM part UNION ALL SELECT p_partkey, c + 2 * (c + 1) FROM r WHERE c < 100) SELECT p_partkey, c AS value FROM r WHERE c >= 100"
@@ -230,14 +325,11 @@ def checkpoint_resume(spark, sf):
             continue
 
 
-@query()
+@query("WITH RECURSIVE r AS (SELECT n_nationkey, 2 * n_nationkey + 8 AS s FROM nation UNION ALL SELECT n_nationkey, 3 * s + 4 FROM r WHERE s < 1000) SELECT CAST(4 * (s + 1) AS BIGINT) AS total FROM r WHERE s >= 1000")
 def recur_nested(spark, sf):
     """Five levels of rings per nation, by Python jobs in the task that holds the row."""
-    from . import recipes
-    from .plans.compile import Segment, items_of, planned, typed
-
     rows = read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("value"))
-    return typed(planned([Segment(recipes.nested_rings())], items_of(spark, rows)), "total long")
+    return configured(rows, recipes.nested_rings(), "total long")
 
 
 @query("SELECT p_partkey, CAST(p_size AS BIGINT) * (p_size + 1) // 2 AS total FROM part")
@@ -246,24 +338,31 @@ def frame_sum_through(spark, sf):
     return read(spark, sf, "part").select("p_partkey", fold(F.sequence(F.lit(1).cast("long"), n), F.lit(0).cast("long"), lambda a, i: a + i).alias("total"))
 
 
+@query("SELECT p_partkey, CAST(p_size AS BIGINT) * (p_size + 1) // 2 AS value FROM part")
+def frame_of_jobs(spark, sf):
+    """The same by a frame of Python jobs, a loop per row in the task that holds it."""
+    rows = read(spark, sf, "part").select("p_partkey", F.col("p_size").cast("long").alias("value"))
+    return configured(rows, {"jobs": [{"frame": recipes.Through, "jobs": [{"type": recipes.Scale}]}]}, "p_partkey long, value long")
+
+
 @query("WITH RECURSIVE r AS (SELECT p_partkey, p_size AS first, 1 AS v FROM part UNION ALL SELECT p_partkey, first, v * 2 FROM r WHERE v < first) SELECT p_partkey, v AS value FROM r WHERE v >= first")
 def frame_pow2(spark, sf):
     """The next power of two, by doubling; the size waits in the key columns."""
     rows = read(spark, sf, "part").select("p_partkey", "p_size", F.lit(1).alias("one"))
-    return recursive(rows, ["p_partkey", "p_size"], "one", "value < p_size", "value * 2").select("p_partkey", "value")
+    return row_loop(rows, ["p_partkey", "p_size"], "one", "value < p_size", "value * 2").select("p_partkey", "value")
 
 
 @query("WITH RECURSIVE r AS (SELECT p_partkey, p_size AS v FROM part UNION ALL SELECT p_partkey, v + v // 2 + 1 FROM r WHERE v < 100) SELECT p_partkey, v AS value FROM r WHERE v >= 100")
 def frame_get_to_cap(spark, sf):
-    return recursive(read(spark, sf, "part"), ["p_partkey"], "p_size", "value < 100", "cast(value + value div 2 + 1 as int)").select("p_partkey", "value")
+    return row_loop(read(spark, sf, "part"), ["p_partkey"], "p_size", "value < 100", "value + value div 2 + 1").select("p_partkey", "value")
 
 
 @query("WITH RECURSIVE a AS (SELECT p_partkey, p_size AS v FROM part UNION ALL SELECT p_partkey, v + v // 2 + 1 FROM a WHERE v < 50), b AS (SELECT p_partkey, v + 1 AS v FROM a WHERE v >= 50), c AS (SELECT p_partkey, v FROM b UNION ALL SELECT p_partkey, v + v // 2 + 1 FROM c WHERE v < 100) SELECT p_partkey, v + 1 AS value FROM c WHERE v >= 100")
 def frame_two_stage(spark, sf):
-    step = "cast(value + value div 2 + 1 as int)"
-    first = recursive(read(spark, sf, "part"), ["p_partkey"], "p_size", "value < 50", step)
+    step = "value + value div 2 + 1"
+    first = row_loop(read(spark, sf, "part"), ["p_partkey"], "p_size", "value < 50", step)
     then = first.select("p_partkey", (F.col("value") + 1).alias("v"))
-    return recursive(then, ["p_partkey"], "v", "value < 100", step).select("p_partkey", (F.col("value") + 1).alias("value"))
+    return row_loop(then, ["p_partkey"], "v", "value < 100", step).select("p_partkey", (F.col("value") + 1).alias("value"))
 
 
 @query("SELECT n_nationkey, CAST(sum(a + 1) // count(*) AS BIGINT) AS value FROM (SELECT n_nationkey, ascii(unnest(string_split(n_name, ''))) AS a FROM nation) GROUP BY n_nationkey")
@@ -281,13 +380,15 @@ def frame_triangle(spark, sf):
 @query("WITH RECURSIVE r AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS v FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, v + v // 2 + 1 FROM r WHERE v < 60) SELECT l_orderkey, CAST(sum(v) AS BIGINT) AS total FROM r WHERE v >= 60 GROUP BY l_orderkey")
 def frame_nested(spark, sf):
     """Outer frames are orders, inner ones their lines; each line loops within its row."""
-    grown = fold(F.sequence(F.lit(1), F.lit(12)), F.col("l_quantity").cast("long"), lambda v, _: F.when(v < 60, v + F.floor(v / 2).cast("long") + 1).otherwise(v))
-    return read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(grown).alias("total"))
+    rows = read(spark, sf, "lineitem").select("l_orderkey", F.col("l_quantity").cast("long").alias("q"))
+    grown = row_loop(rows, ["l_orderkey"], "q", "value < 60", "value + value div 2 + 1")
+    return grown.groupBy("l_orderkey").agg(F.sum("value").alias("total"))
 
 
 @query("SELECT p_partkey, p_size AS value FROM part")
 def frame_empty_body(spark, sf):
-    return recursive(read(spark, sf, "part"), ["p_partkey"], "p_size", "false", "value").select("p_partkey", "value")
+    """Nothing between the frame's ends: the first item is the result."""
+    return configured(read(spark, sf, "part").select("p_partkey", F.col("p_size").alias("value")), {"jobs": [{"frame": recipes.Kept, "jobs": []}]}, "p_partkey long, value int")
 
 
 @query("SELECT CAST(sum(CAST(p_size AS BIGINT) * (p_size + 1) // 2) AS BIGINT) AS total, count(*) AS n FROM part")
@@ -295,17 +396,31 @@ def frame_into_reducer(spark, sf):
     return global_reduce(frame_sum_through(spark, sf), {"total": F.sum("total"), "n": F.count("*")})
 
 
-@query()
+def _hit(user: str, i: str) -> str:
+    """Whether a point lies in the circle, in SQL for both engines; points come from a generator over whole numbers."""
+    mixed = lambda k: f"((({user} * 7919 + {i} * 104729 + {k}) % 1048583) * (({user} * 7919 + {i} * 104729 + {k}) % 1048583) + {i} * 31 + {k}) % 1048583"
+    x, y = (f"({mixed(k)})" for k in (15485863, 32452843))
+    return f"CASE WHEN {x} * {x} + {y} * {y} < 1099526307889 THEN 1 ELSE 0 END"
+
+
+_PI = f"""
+WITH p AS (SELECT user_id, i, {_hit("user_id", "i")} AS hit FROM (SELECT DISTINCT CAST(user_id AS BIGINT) AS user_id FROM events) u, range(4096) r(i)),
+n AS (SELECT user_id, CAST(64 << k AS BIGINT) AS n, CAST(sum(hit) FILTER (i < (64 << k)) AS BIGINT) AS inside FROM p, range(7) t(k) GROUP BY user_id, k),
+e AS (SELECT user_id, n, inside / n AS share FROM n)
+SELECT user_id, min(n) AS n, arg_min(4 * share, n) AS pi FROM e WHERE 4 * 1.96 * sqrt(share * (1 - share) / n) <= 0.1 GROUP BY user_id
+"""
+
+
+@query(_PI)
 def frame_pi(spark, sf):
-    """Trials double until pi is known to the asked precision; points come from hashes of user ids."""
-    users = read(spark, sf, "events").select("user_id").distinct()
+    """Trials double until pi is known to the asked precision."""
+    users = read(spark, sf, "events").select(F.col("user_id").cast("long").alias("user_id")).distinct()
     rings = users.select("user_id", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("inside"))
     first = users.select("user_id", F.lit(0).cast("long").alias("lo"), F.lit(64).cast("long").alias("hi"))
-    place = lambda salt: F.pmod(F.xxhash64("user_id", "i", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
 
     def body(items: DataFrame) -> DataFrame:
         points = items.select("user_id", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("i"))
-        return points.select("user_id", (place(1) * place(1) + place(2) * place(2) < 1).cast("long").alias("hit"))
+        return points.select("user_id", F.expr(_hit("user_id", "i")).cast("long").alias("hit"))
 
     share = F.col("inside") / F.col("n")
     error = 4 * 1.96 * F.sqrt(share * (1 - share) / F.col("n"))
@@ -325,11 +440,8 @@ def frame_pi(spark, sf):
 @query()
 def frame_evolve(spark, sf):
     """A small genetic search for weights that solve exclusive or; a population per region, seeded."""
-    from . import recipes
-    from .plans.compile import Segment, items_of, planned, typed
-
     rows = read(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("value"))
-    return typed(planned([Segment(recipes.evolution())], items_of(spark, rows)), "seed long, generations long, error double")
+    return configured(rows, recipes.evolution(), "seed long, generations long, error double")
 
 
 # --- sweeps
@@ -381,12 +493,18 @@ def sweep_deterministic(spark, sf):
 
 @query("SELECT n_nationkey AS value FROM nation UNION ALL SELECT r_regionkey + 100 FROM region")
 def init_adds_work(spark, sf):
-    return read(spark, sf, "nation").select(F.col("n_nationkey").alias("value")).unionByName(read(spark, sf, "region").select((F.col("r_regionkey") + 100).alias("value")))
+    """init runs once on the driver and adds to the work of a table."""
+    regions = [r[0] for r in read(spark, sf, "region").select("r_regionkey").collect()]
+    work = Work(read(spark, sf, "nation").select("n_nationkey"), spark=spark)
+    work.init(lambda: Multiple([r + 100 for r in regions]))
+    return work.frame_of("value int")
 
 
 @query("SELECT array_to_string(list(n_nationkey ORDER BY n_nationkey), ',') AS found FROM nation")
 def finish_collect(spark, sf):
-    return read(spark, sf, "nation").agg(F.array_join(F.array_sort(F.collect_list("n_nationkey")).cast("array<string>"), ",").alias("found"))
+    work = Work(read(spark, sf, "nation").select("n_nationkey"), spark=spark)
+    work.finish(lambda found: ",".join(str(x) for x in sorted(found)))
+    return spark.createDataFrame([(work.run(),)], "found string")
 
 
 @query("SELECT CAST(trim(json_extract_string(props, '$.k')) AS INTEGER) AS value FROM events WHERE length(trim(json_extract_string(props, '$.k'))) > 0")
@@ -413,7 +531,7 @@ def external_pipe(spark, sf):
             status, out, err = run_with_stdin(["/bin/cat"], "".join(f"{x}\n" for x in given))
             if status:
                 raise RuntimeError(err)
-            yield pa.RecordBatch.from_pydict({"line": out.splitlines()}, pa.schema([("line", pa.string())]))
+            yield pa.RecordBatch.from_pydict({"line": out.removesuffix("\n").split("\n") if out else []}, pa.schema([("line", pa.string())]))
 
     return read(spark, sf, "nation").select("n_name").mapInArrow(run, "line string")
 
@@ -421,12 +539,16 @@ def external_pipe(spark, sf):
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def stream_reduce(spark, sf):
     """A ring by key over a stream that ends: the stream's batches are merged by the running reduction."""
-    import uuid
-
     schema = read(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
-    name, folder = f"events_{uuid.uuid4().hex}", f"{shared_dir(spark)}/ringweave-stream-{uuid.uuid4().hex}"
-    totals = stream.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    run = totals.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
+    # a pattern that only this name meets: a stream's source is a folder or a pattern
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/[e]vents.parquet")
+    totals, path = new_path(spark, "totals"), []
+    grouped = stream.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{totals}/{batch}")
+        path.append(f"{totals}/{batch}")
+
+    run = grouped.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).select("event_type", "n", F.round("total", 4).alias("total"))
+    return spark.read.parquet(path[-1]).select("event_type", "n", F.round("total", 4).alias("total"))

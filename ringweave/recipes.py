@@ -33,8 +33,73 @@ class Total(Reducer):
         self.emit(store.value)
 
 
+class Scale(Job):
+    """A row's `value` times `by`, plus `plus`."""
+
+    def handleWork(self, work):  # noqa: N802
+        self.emit(work | {"value": work["value"] * self.config.get("by", 1) + self.config.get("plus", 0)})
+
+
+class Under(Job):
+    """A row whose `value` is below `below` goes to `again`, any other to `done`."""
+
+    def handleWork(self, work):  # noqa: N802
+        self.emit(work, "again" if work["value"] < self.config["below"] else "done")
+
+
+class Through(Frame):
+    """Adds the numbers from one to the first row's `value`."""
+
+    def handleFirst(self, store, first):  # noqa: N802
+        store.first, store.total, store.at = first, 0, 0
+
+    def handleNext(self, store, work):  # noqa: N802
+        store.total += work["value"]
+
+    def handleDone(self, store):  # noqa: N802
+        if store.at < store.first["value"]:
+            store.at += 1
+            self.recur(store.first | {"value": store.at})
+        else:
+            self.emit(store.first | {"value": store.total})
+
+
+class Kept(Frame):
+    """Emits its first item."""
+
+    def handleFirst(self, store, first):  # noqa: N802
+        store.first = first
+
+    def handleDone(self, store):  # noqa: N802
+        self.emit(store.first)
+
+
+class Longest(Frame):
+    """Over all rows: the first opens the frame; its number grows until it is no less than the rows' sum."""
+
+    def handleFirst(self, store, first):  # noqa: N802
+        store.sum, store.grown = first, 1
+
+    def handleNext(self, store, work):  # noqa: N802
+        if isinstance(work, tuple):
+            store.grown = work[0]
+        else:
+            store.sum += work
+
+    def handleDone(self, store):  # noqa: N802
+        if store.grown < store.sum:
+            self.recur((store.grown,))
+        else:
+            self.emit(store.grown)
+
+
+class Doubled(Job):
+    def handleWork(self, work):  # noqa: N802
+        self.emit((work[0] * 2,))
+
+
 class UpTo(Total):
-    """Recurs its sum until it reaches `value`; outputs below three recur as threes."""
+    """Recurs its sum until it reaches `value`; outputs below three recur as threes (a fixed rule of the golden results)."""
 
     def handleAdd(self, store, work):  # noqa: N802
         if work < 3:

@@ -1,18 +1,21 @@
 """Rings, frames, the decorator API, configurations and sweeps against known results."""
 
+import contextlib
 import io
 import math
 import os
 import random
+import time
 
 import pytest
+from pyspark import InheritableThread
 
 import ringweave
 from ringweave import Args, Frame, Job, Multiple, Object, PlanError, Reducer, Work, register
 from ringweave.cli import main
 from ringweave.config import module_of, run
 from ringweave.operators.loops import Checkpoint
-from ringweave.plans.nodes import run_item
+from ringweave.plans.nodes import FunctionReducer, Module, reads, run_item
 
 
 class addOne(Job):
@@ -330,6 +333,191 @@ def test_map(spark):
     assert ringweave.map(abs, [], spark=spark) == []
 
 
+def slow(x):
+    time.sleep(0.25)
+    return x, os.getpid()
+
+
+def test_jobs_run_on_all_cores(spark):
+    """One core takes eight seconds for each of these, four take two and what starting takes."""
+    ringweave.map(slow, range(4), spark=spark)  # workers start
+    began = time.monotonic()
+    found = ringweave.map(slow, range(32), spark=spark)
+    assert time.monotonic() - began < 6 and [x for x, _ in found] == list(range(32)) and len({p for _, p in found}) > 1
+    for frame in (None, spark.range(32).repartition(8)):
+        w = Work(range(32) if frame is None else frame, spark=spark)
+        w.job(slow)
+
+        @w.reduce(store=lambda: [0, set()], emit=lambda s: (s[0], len(s[1])))
+        def total(store, works, others):
+            for x, p in works:
+                store[0] += x
+                store[1].add(p)
+            for n, p in others:
+                store[0] += n
+                store[1] |= p
+
+        began = time.monotonic()
+        ((n, workers),) = w.run()
+        assert n == 496 and workers > 1 and time.monotonic() - began < 6
+    w = Work(range(32), spark=spark)
+    w.job(slow)
+    w.reduce(store=list, emit=len)(lambda store, works, others: store.extend(works))
+    began = time.monotonic()
+    assert w.run() == [32] and time.monotonic() - began < 6
+
+
+def test_functions_that_fold_only_works(spark):
+    w = Work(range(10), spark=spark)
+    w.reduce(store=list, emit=sum)(lambda store, works, others: store.extend(works))
+    assert w.run() == [45]
+    w = Work(spark.range(0, 1000, 1, 7), spark=spark)
+    w.reduce(store=list, emit=lambda s: s)(lambda store, works, others: store.extend(works))
+    assert w.run() == [list(range(1000))]  # in the order of the rows
+    w = Work(range(10), spark=spark)
+    w.reduce(store=lambda: [0], emit=lambda s: s[0], merge=lambda s, o: s.__setitem__(0, s[0] + o[0]))(lambda store, works, others: store.__setitem__(0, store[0] + sum(works)))
+    assert w.run() == [45]
+    assert reads(lambda a, b, c: c, 2) and reads(lambda a, b, c: [c for _ in b], 2) and not reads(lambda a, b, c: b, 2) and not reads(sum, 2)
+
+
+def test_any_item_may_be_reduced(spark):
+    import numpy as np
+
+    w = Work([np.arange(3), np.arange(3)], spark=spark)
+    w.reduce(store=lambda: [0], emit=lambda s: s[0])(lambda store, works, others: store.__setitem__(0, store[0] + works[0]))
+    assert w.run()[0].tolist() == [0, 2, 4]
+    w = Work(["\0started", "a", ""], spark=spark)
+    w.reduce(store=list, emit=lambda s: s)(lambda store, works, others: store.extend(works))
+    assert w.run() == [["\0started", "a", ""]]
+
+
+def test_frames_over_all_rows(spark):
+    class Words(Frame):
+        def handleFirst(self, store, first):
+            store.found, store.left = [f"first {first}"], 2
+
+        def handleNext(self, store, work):
+            store.found.append(work)
+
+        def handleDone(self, store):
+            store.left -= 1
+            if store.left < 0:
+                self.emit(store.found)
+            else:
+                self.recur("r")
+
+    class Loud(Job):
+        def handleWork(self, work):
+            self.emit(work.upper())
+
+    config = {"frame": Words, "jobs": [Loud]}
+    assert run(config, ["a", "b", "c"], spark=spark) == [["first a", "b", "c", "R", "R"]]
+    assert run(config, [], spark=spark) == []
+
+
+def test_stores_merge_in_between(spark):
+    """As on a cluster of many cores."""
+    from ringweave.plans import compile as c
+
+    class Many:
+        def __getattr__(self, name):
+            return 100 if name == "defaultParallelism" else getattr(spark.sparkContext, name)
+
+    rows = c.items_of(spark, range(300), 40)
+
+    def gather(store, works, others):
+        for more in (works, *others):
+            store.extend(more)
+
+    module = Module([], FunctionReducer(gather, list, sorted))
+
+    class Session:
+        sparkContext = Many()
+
+        def __getattr__(self, name):
+            return getattr(spark, name)
+
+    class Rows:
+        sparkSession = Session()
+
+        def __getattr__(self, name):
+            return getattr(rows, name)
+
+    assert c.values(c._reduced(c.Segment(module, True), Rows())) == [list(range(300))]
+
+
+def test_queued_work(spark):
+    ringweave.work[:] = [1, 2]
+    try:
+        assert sorted(run({"jobs": [addOne]}, spark=spark)) == [2, 3]
+    finally:
+        ringweave.work.clear()
+
+
+def test_configured_plans_go_on_from_their_checkpoint(spark, tmp_path):
+    config, folder = {"reducer": "total", "jobs": [addOne]}, f"file://{tmp_path}/state"
+    for step in (1, 2):
+        with pytest.raises(Checkpoint.Stopped):
+            run(config, [1, 2, 3], spark=spark, checkpoint=folder, stop_after=1)
+        assert f"stopped after step {step}" in Checkpoint(folder, "").info(spark)
+    with pytest.raises(Checkpoint.Mismatch):
+        run({"reducer": "total", "jobs": []}, [1], spark=spark, checkpoint=folder)
+    with Checkpoint(folder, "").held(), pytest.raises(Checkpoint.Busy):
+        run(config, [], spark=spark, checkpoint=folder)
+    assert run(config, [], spark=spark, checkpoint=folder) == [9]
+    with pytest.raises(Checkpoint.Finished):
+        run(config, [], spark=spark, checkpoint=folder)
+    with pytest.raises(FileNotFoundError):
+        run(config, [1], spark=spark, checkpoint=f"file://{tmp_path}/none/state")
+
+
+def test_manifests_are_whole_at_any_time(spark, tmp_path):
+    at = Checkpoint(f"file://{tmp_path}/m", "x")
+    at.write(spark, {"step": 1, "done": False})
+    at.write(spark, {"step": 2, "done": False})
+    (tmp_path / "m" / ".writing-x").write_text("half")
+    assert at.read(spark)["step"] == 2 and sorted(p.name for p in (tmp_path / "m").glob("manifest*")) == ["manifest-000000001.json"]
+    # a crash between the new manifest and the removal of the old one
+    (tmp_path / "m" / "manifest-000000000.json").write_text("{}")
+    assert at.read(spark)["step"] == 2
+
+
+def test_staged_tables_are_removed(spark):
+    from ringweave.sources.staging import scratch, shared_dir, staged
+
+    with scratch(spark) as paths:
+        assert staged(spark.range(3), "t").count() == 3
+        assert len(paths) == 1 and os.path.isdir(paths[0].removeprefix("file://"))
+    assert not os.path.exists(paths[0].removeprefix("file://"))
+    before = set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    w = Work([1, 2], spark=spark)
+    w.reduce(total)
+    assert w.run() == [3]
+    with Work([1, 2], spark=spark) as w:
+        w.result(lambda x: None)
+    assert set(os.listdir(shared_dir(spark).removeprefix("file://"))) == before
+
+
+def test_interrupts_cancel_jobs(spark):
+    from ringweave.plans.compile import interruptible
+
+    tracker, errors = spark.sparkContext.statusTracker(), []
+
+    def work():
+        with contextlib.suppress(Exception):
+            errors.append(ringweave.map(time.sleep, [60] * 4, spark=spark))
+
+    with pytest.raises(KeyboardInterrupt), interruptible(spark):
+        thread = InheritableThread(target=work)
+        thread.start()
+        while not tracker.getActiveJobsIds():
+            time.sleep(0.1)
+        raise KeyboardInterrupt
+    thread.join(20)
+    assert not thread.is_alive() and not errors and not tracker.getActiveJobsIds()
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+
+
 def test_dataframes_in_and_out(spark):
     w = Work(spark.range(5), spark=spark)
     w.job(lambda x: {"a": x, "b": str(x)})
@@ -411,6 +599,17 @@ def test_command_line(spark, tmp_path):
     out = io.StringIO()
     main(["checkpoint", str(tmp_path / "none")], out)
     assert "no checkpoint" in out.getvalue()
+    out, command = io.StringIO(), ["run", str(tmp_path / "plan.yaml"), "--type", "int", "--stats", "-c", f"file://{tmp_path}/state"]
+    assert main([*command, "--stop-after", "2", "5"], out) == 0x10 and out.getvalue() == ""
+    assert main([*command, "5"], out) == 0 and out.getvalue() == "7\n"
+    assert main([*command, "5"], out) == 0x11 and out.getvalue() == "7\n"
+    main(["checkpoint", f"file://{tmp_path}/state"], out)
+    assert "finished after step" in out.getvalue() and "ring: 1 tables" in out.getvalue()
+    out = io.StringIO()
+    main(["progress", f"file://{tmp_path}/state"], out)
+    main(["progress", f"file://{tmp_path}/other"], out)
+    changed, none = map(int, out.getvalue().split())
+    assert changed > 1e12 and none == -1
 
 
 def test_external_programs(tmp_path):

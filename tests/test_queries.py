@@ -4,8 +4,11 @@ import os
 
 import pytest
 
-from ringweave import stats, streaming
-from ringweave.operators import Checkpoint
+from pyspark.sql import functions as F
+
+from ringweave import recipes, stats, streaming
+from ringweave.operators import Checkpoint, route, routed, row_loop, tagged
+from ringweave.plans.nodes import run_item
 from ringweave.queries import ORACLES, QUERIES, _to_value
 from ringweave.sources import lines
 
@@ -82,11 +85,49 @@ def test_streams_go_on_where_they_were(spark, tmp_path):
     assert sorted(found) == [0, 1, 10, 11]
 
 
+def _waits(batches):
+    import time
+
+    for batch in batches:
+        time.sleep(0.5)
+        yield batch
+
+
+def test_row_loops(spark):
+    many = spark.range(1_000_000).selectExpr("id", "cast(id % 1000 as int) as v")
+    got = row_loop(many, ["id"], "v", "value < 1000", "value + 7")
+    assert got.agg({"value": "max"}).first()[0] == 1006 and got.where("value < 1000 or first <> id % 1000").count() == 0
+    assert [tuple(r) for r in row_loop(spark.sql("SELECT 1 AS k, CAST(null AS int) AS v"), ["k"], "v", "value < 5", "value + 1").collect()] == [(1, None, None)]
+    with pytest.raises(Exception, match="more than 20 steps"):
+        row_loop(spark.range(3), [], "id", "value < 100", "value + 1", most=20).collect()
+    assert row_loop(spark.range(3), [], "id", "value < 22", "value + 1", most=22).agg({"value": "min"}).first()[0] == 22
+
+
+def test_routes(spark):
+    df = spark.range(6)
+    even = {"even": (F.col("id") % 2 == 0, {"v": F.col("id") * 10}), "large": (F.col("id") > 3, {"v": -F.col("id")})}
+    got = sorted(map(tuple, routed(df, even, keep=["id"]).collect()))
+    assert got == [(0, "even", 0), (2, "even", 20), (4, "even", 40), (4, "large", -4), (5, "large", -5)]
+    assert route(df, {"a": (F.col("id") < 2, lambda x: x), "b": (F.col("id") < 1, lambda x: x)}).count() == 3
+    with pytest.raises(Exception, match="unknown kind: other"):
+        tagged(spark.sql("SELECT 'other' AS k"), F.col("k"), {"one": F.lit(1)}, "v").collect()
+
+
+def test_evolution_is_what_one_process_finds(spark):
+    """The frame in tasks gives what the same plan gives here, item by item."""
+    expected = sorted(tuple(out[k] for k in ("seed", "generations", "error")) for r in range(5) for out in run_item(recipes.evolution(), r))
+    assert sorted(map(tuple, QUERIES["frame_evolve"](spark, SF).collect())) == expected
+    assert all(error < 0.05 or n >= 200 for _, n, error in expected)
+
+
 def test_figures(spark):
     with stats.measured(spark) as run:
         df = run.observe(spark.range(100).where("id % 2 = 0"), "even")
         lines.noop(df)
     assert run.count("even") == 50 and run.jobs >= 1 and run.tasks >= 1 and run.seconds > 0
+    with stats.measured(spark) as run:
+        spark.range(4, numPartitions=4).mapInArrow(_waits, "id long").collect()
+    assert run.run_seconds > 1 and run.cpu_seconds > 0 and run.user_share > 1 and "4 tasks" in str(run)
     assert stats.cpu_count(spark) == spark.sparkContext.defaultParallelism
 
 
