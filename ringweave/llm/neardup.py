@@ -5,9 +5,11 @@ one of `REGISTERS` buckets, and the bucket keeps its smallest hash as a leading-
 `MANTISSA` further bits, 16 bits in all. Empty registers (short documents) borrow from others by a
 fixed chain that is the same for all documents.
 
-1. Documents with equal sets form a class, found by grouping a digest; classes go on, copies don't.
+1. Documents with equal sets form a class, found by grouping a digest; classes go on, under numbers of
+   their own, copies don't. A class is represented by its smallest id and one text of that id.
 2. Bands of `ROWS` registers are hashed. Each bucket's smallest class is its pivot, and every other
-   member pairs with it: pairs grow with the members, not with their square.
+   member pairs with it: pairs grow with the members, not with their square. Members reach their pivot
+   by a key salted with their own number, so a large bucket is dealt to several tasks.
 3. Pairs whose collision-corrected estimate is out of reach of the threshold are dropped, the rest
    are confirmed on the full sets of shingles; confirmed links give components.
 4. A bucket that holds several components may hide links between members other than the pivot. Its
@@ -19,7 +21,9 @@ A truly linked pair shares no band with a probability under 1e-10 at the thresho
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing; a text of
 fewer words than a shingle has one shingle, all its words; equal sets are one class however many rows
-share them; a row with a null id gets no component and is kept; rows with one id are one node.
+share them; a row with a null id gets no component and is kept; repeated rows are in one class; rows of one
+id with different sets are documents of their own, each with its own links; only the id and the text are
+read of a table's columns; an empty table gives an empty one; a long text is held whole by one task.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
 _hashes = WordHashes()
 _CHAIN = np.array([[int(mixed(np.array([(i << 20) + t + 1], np.uint64))[0] % np.uint64(REGISTERS)) for t in range(2048)] for i in range(REGISTERS)])
-SKETCH = "doc_id long, n long, digest binary, registers binary"
+SKETCH = "doc_id long, text_hash long, n long, digest binary, registers binary"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -113,25 +117,25 @@ def reach(agree: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) ->
 
 
 def sketches(docs: DataFrame, *, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("binary")).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
     schema = arrow_schema(SKETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch, out = whole.slice(at, 512), []
-                for text in batch.column(1):
+                for text in batch.column(2):
                     h = shingle_hashes(text.as_py(), shingle)
                     out.append((len(h), xxhash.xxh3_128_digest(h.tobytes()), registers(h).tobytes()) if len(h) else (0, None, None))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[1:], strict=True))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[2:], strict=True))], schema=schema)
 
     return rows.mapInArrow(run, SKETCH)
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of classes that the estimate leaves."""
-    left = classes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a"))
-    right = classes.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("r_b"))
+    left = classes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a"))
+    right = classes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("r_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +150,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Pairs whose full sets have 100 * common >= percent * union."""
-    joined = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("t_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("t_b")), "b").select("a", "b", "t_a", "t_b")
+    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("t_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("t_b")), "b").select("a", "b", "t_a", "t_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, set()
@@ -172,7 +176,7 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
                 batch = whole.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t, shingle).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "hashes"])
 
-    return texts.select("rep", "text").mapInArrow(run, "node long, hashes binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, hashes binary")
 
 
 def _block_links(members: DataFrame, percent: int, block: int, block_bytes: int) -> DataFrame:
@@ -230,40 +234,72 @@ def _block_links(members: DataFrame, percent: int, block: int, block_bytes: int)
     return pairs.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
+#: Parts of a bucket that reach its pivot in tasks of their own.
+SALTS = 4
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = 2048, block_bytes: int = 8_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept, per row of docs."""
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept, per row of docs.
+
+    text_hash (xxhash64 of the text) tells rows of one id apart; chosen holds for the rows of one text in
+    each component, and for rows that are linked with nothing.
+    """
     threshold = percent / 100
     sketch = staged(sketches(docs, shingle=shingle, id_col=id_col, text_col=text_col), "sketch")
-    classes = staged(sketch.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("registers").alias("registers")), "classes")
-    bands = classes.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("registers", b * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("band", "key"))
-    buckets = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    shared = staged(bands.join(buckets, "key").select("key", "band", "rep", "pivot", "size"), "buckets")
-    pairs = shared.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    grouped = sketch.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n").alias("n"), F.max("registers").alias("registers"))
+    classes = staged(grouped.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("first.doc_id").alias("rep"), "first.text_hash", "n", "registers"), "classes")
+    bands = classes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("registers", b * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("band", "key"))
+    buckets = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    salted = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    shared = staged(bands.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).select("key", "band", "node", "pivot", "size"), "buckets")
+    pairs = shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     likely = staged(_estimated(pairs, classes, threshold), "likely")
 
-    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("binary").alias("text"))
-    named = shared.select("rep").distinct()
-    texts = staged(rows.join(named, "rep", "left_semi"), "texts")
+    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.xxhash64(F.col(text_col).cast("binary")).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
+    named = classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "rep", "text_hash")
+    # repeated rows have one text
+    texts = staged(rows.join(named, ["rep", "text_hash"]).dropDuplicates(["rep", "text_hash"]).select("node", "text"), "texts")
     links = staged(_confirmed(likely, texts, percent, shingle).distinct(), "links")
     labels = components(links)
 
     # buckets of more than two in which several components are left
-    known = shared.where("size > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    known = shared.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed_keys = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    left = staged(known.join(mixed_keys, "key", "left_semi").select("key", "band", F.col("rep").alias("node"), "label").join(classes.select(F.col("rep").alias("node"), "n", "registers"), "node"), "unresolved")
+    left = staged(known.join(mixed_keys, "key", "left_semi").select("key", "band", "node", "label").join(classes.select("node", "n", "registers"), "node"), "unresolved")
     sizes = left.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.col("n") * 8).alias("bytes"))
-    sets = _shingle_sets(texts.join(left.select(F.col("node").alias("rep")).distinct(), "rep", "left_semi").dropDuplicates(["rep"]), shingle)
+    sets = _shingle_sets(texts.join(left.select("node").distinct(), "node", "left_semi"), shingle)
     members = left.join(sizes, "key").join(sets, "node")
     further = _block_links(members, percent, block, block_bytes).distinct()
     more = staged(_confirmed(further, texts, percent, shingle), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 
-    of_class = classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
+    in_component = labels.join(classes.select("node", "rep"), "node")
+    firsts = in_component.groupBy("label").agg(F.min(F.struct("rep", "node")).alias("of"))
+    of_class = classes.select("digest", "node", "rep", F.col("text_hash").alias("own")).join(labels.join(firsts, "label").select("node", "of"), "node", "left")
+    of_class = of_class.select("digest", "own", F.coalesce("of.rep", "rep").alias("component"), F.coalesce(F.col("of.node") == F.col("node"), F.lit(True)).alias("leads"))
     found = sketch.join(of_class, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
+    chosen = kept & (F.col("doc_id").isNull() | F.col("own").isNull() | (F.col("leads") & (F.col("own") == F.col("text_hash"))))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), "text_hash", chosen.alias("chosen"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), percent=85)
+    return near_duplicates(documents(spark, sf_dir), percent=85).drop("text_hash", "chosen")
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+-- of equal sets one is compared with others
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS rep FROM (SELECT doc_id, sha256(string_agg(s, chr(10) ORDER BY s)) AS h FROM s GROUP BY doc_id)),
+r AS (SELECT s.doc_id, s.s, n.n FROM s JOIN n USING (doc_id) JOIN c USING (doc_id) WHERE doc_id = rep),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) + any_value(b.n) AS total FROM r a JOIN r b ON a.s = b.s AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * k >= 85 * (total - k)),
+x(a, b) AS (SELECT rep, rep FROM c UNION SELECT x.a, l.b FROM x JOIN l ON x.b = l.a),
+m AS (SELECT a AS rep, min(b) AS component FROM x GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.component, d.doc_id) AS component_id, coalesce(m.component, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN m USING (rep)
+"""

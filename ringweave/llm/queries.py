@@ -22,4 +22,6 @@ ORACLES = {
     "op2_passage_dedup": passages.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
     "op4_line_dedup": lines.ORACLE,
+    "op5_warc": warc.ORACLE,
+    "op8_near_duplicates": neardup.ORACLE,
 }

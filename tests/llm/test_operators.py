@@ -401,6 +401,20 @@ def test_links_between_members_of_a_bucket(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_rows_of_one_id(spark):
+    """Repeated rows are one text however many they are; different texts under one id are linked each for itself."""
+    rng = random.Random(9)
+    base, other = words(rng, 120, 10**6), words(rng, 120, 10**6)
+    near = base.split()
+    near[7] = "changed"
+    data = [(1, base)] * 600 + [(2, " ".join(near))] * 600 + [(5, base), (5, other), (7, other), (8, "alone"), (8, "ALONE"), (9, None), (9, "")]
+    got = neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4), percent=85).collect()
+    kinds = collections.Counter((r.doc_id, r.component_id, r.kept) for r in got)
+    assert kinds == {(1, 1, True): 600, (2, 1, False): 600, (5, 1, False): 1, (5, 5, True): 1, (7, 5, False): 1, (8, 8, True): 2, (9, 9, True): 2}
+    chosen = collections.Counter((r.doc_id, r.text_hash) for r in got if r.chosen)
+    assert sorted(d for d, _ in chosen) == [1, 5, 8, 9, 9]
+
+
 def test_estimates_are_corrected():
     rng = np.random.default_rng(1)
     for share in (0.5, 0.85, 0.95):
@@ -414,6 +428,19 @@ def test_estimates_are_corrected():
         assert abs(np.mean(errors)) < 0.02
 
 
+@pytest.mark.parametrize("name", ["op5_warc", "op8_near_duplicates"])
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    from ringweave.llm.queries import ORACLES, QUERIES
+
+    sf, tables = "/root/testdata/sf0.001", duckdb.connect()
+    for table_ in ("documents", "pages"):
+        tables.sql(f"CREATE VIEW {table_} AS SELECT * FROM '{sf}/{table_}.parquet'")
+    expected = tables.sql(ORACLES[name])
+    assert multiset(QUERIES[name](spark, sf), *expected.columns) == collections.Counter(expected.fetchall())
+
+
 # --- classifiers
 
 
