@@ -26,11 +26,13 @@ MIN_ITEM_WORDS = 4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labelled rows of docs; what is null, without a letter or of an unsure language goes."""
     found = language.identify(docs, language.fit(docs))
     return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on many sites go, but for their first occurrence; a text of which nothing is left goes, an unchanged one stays as it is."""
     found = lines.without_boilerplate(docs)
     left = (F.col("n_lines_removed") == 0) | (F.trim(F.translate("text", "\n", " ")) != "")
     length = F.when(F.col("n_lines_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
@@ -38,12 +40,15 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(kept, docs.doc_id == kept._kept, "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
+    """Of each group of near duplicates one text under one id stays; rows with a null id stay all."""
+    kept = neardup.near_duplicates(docs).where("chosen and doc_id is not null").select(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_hash")).distinct()
+    keyed = docs.withColumn("_h", F.xxhash64(F.col("text").cast("binary")))
+    one = keyed.join(kept, (keyed.doc_id == kept._kept) & (keyed._h == kept._hash), "left_semi").dropDuplicates(["doc_id", "_h"])
     return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold test items go, by the rules at the top of this module; without items all stay."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     n = F.size(F.expr(r"regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 0)"))
     short = items.where((n > 0) & (n < MIN_ITEM_WORDS))
@@ -54,6 +59,7 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their token ids; a null or empty text, which an earlier stage removes, would be its end id."""
     return packing.pack(docs)
 
 
