@@ -4,14 +4,18 @@ Every word of the test items is one symbol of the automaton's alphabet (a code p
 word is a symbol of its own, so one pass over a document's words finds every window of every item.
 Matches are counted in words and mapped back to character offsets of the original text.
 
-Items are read in blocks of at most `block_bytes` of text, one automaton each: its size is bounded
-however large the benchmark is. With one block (the usual case) a document is scanned once and no
-row is shuffled; with more, the documents pass by each automaton in turn, carrying what was hit so
-far, with the rows written to the shared folder between passes.
+An automaton holds at most about `block_bytes` of items, some 150 bytes of memory for each of theirs, so
+what is broadcast and built is bounded however large the benchmark is. With one automaton (the usual case)
+a document is scanned once and no row is shuffled. A larger benchmark takes several: each scans the texts
+and gives rows only for documents that it hits, and those are joined with the documents at the end, so no
+text is written in between.
 
 Defined cases: a null or wordless text has no words and no hits; a null or wordless item never
-matches; repeated item rows are one item; a null id is carried through; repeated documents are
-judged one by one.
+matches, nor does one whose id is null, as it can't be named; repeated item rows are one item, and an item
+id with several texts is one item with the windows of all; a null document id is carried through; repeated
+documents are judged one by one; contamination() reads the id and the text only, flagged() keeps all
+columns and replaces those of its own names; an empty table gives an empty one, an empty benchmark no hits;
+a long text is scanned whole.
 """
 
 from __future__ import annotations
@@ -23,12 +27,13 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._common import documents, staged
+from ._common import documents, merged_runs, staged
 
 FOUND_COLUMNS = ("n_words", "n_hit", "items", "spans")
 FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
@@ -64,32 +69,26 @@ def build(items: list[tuple[str, bytes | None]], window: int) -> tuple[dict[byte
     return alphabet, automaton
 
 
-def scan(words: list[bytes], alphabet: dict[bytes, str], automaton: ahocorasick.Automaton, hits: bytes | None = None, items: list[str] | None = None) -> tuple[bytes | None, list[str]]:
-    """Which words are hit, a byte each (None: none), and the items found; both take in those of earlier scans."""
-    found = set(items or ())
-    delta = None
-    if words and len(automaton):
-        get = alphabet.get
-        for end, (size, owners) in automaton.iter("".join([get(w, _OTHER) for w in words])):
-            if delta is None:
-                delta = np.zeros(len(words) + 1, np.int32)
-            delta[end + 1 - size] += 1
-            delta[end + 1] -= 1
-            found.update(owners)
-    if delta is not None:
-        mask = np.cumsum(delta)[:-1] > 0
-        hits = (mask if hits is None else mask | np.frombuffer(hits, bool)).tobytes()
-    return hits, sorted(found)
-
-
-def _finding(text: bytes | None, words: list[bytes], hits: bytes | None, items: list[str]) -> tuple[int, int, list[str], list[dict]]:
-    if hits is None:
+def scan(words: list[bytes], alphabet: dict[bytes, str], automaton: ahocorasick.Automaton) -> tuple[list[int], list[str]]:
+    """Runs of hit words as starts and ends by turns, and the items found."""
+    if not words or not len(automaton):
+        return [], []
+    get, found, starts, ends = alphabet.get, set(), [], []
+    for end, (size, owners) in automaton.iter("".join([get(w, _OTHER) for w in words])):
+        starts.append(end + 1 - size)
+        ends.append(end + 1)
+        found.update(owners)
+    if not found:
+        return [], []
+    return np.stack(merged_runs(np.array(starts), np.array(ends)), 1).ravel().tolist(), sorted(found)
+
+
+def _finding(text: bytes | None, words: list[bytes], runs: list[int], items: list[str]) -> tuple[int, int, list[str], list[dict]]:
+    if not runs:
         return len(words), 0, items, []
-    mask = np.frombuffer(hits, np.int8)
-    edge = np.diff(np.concatenate(([0], mask, [0])))
     at = [m.span() for m in _WORD.finditer(text.decode("utf-8", "replace"))]
-    spans = [{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
-    return len(words), int(mask.sum()), items, spans
+    pairs = list(zip(runs[::2], runs[1::2], strict=True))
+    return len(words), sum(b - a for a, b in pairs), items, [{"start": at[a][0], "end": at[b - 1][1]} for a, b in pairs]
 
 
 def _blocks(rows: DataFrame, block_bytes: int) -> list[DataFrame]:
@@ -98,51 +97,85 @@ def _blocks(rows: DataFrame, block_bytes: int) -> list[DataFrame]:
     return [rows if parts == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == k) for k in range(parts)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per document: its words, the words hit by any item's window, those items and the hit spans in characters."""
-    return _searched(docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c) for c in [options.get("text_col", "text")]]), benchmark, **options).select("carried.doc_id", *FOUND_COLUMNS)
+    rows = docs.select(F.struct(F.col(f"`{id_col}`").cast("long").alias("doc_id")).alias("carried"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    return _searched(rows, benchmark, **options).select("carried.doc_id", *FOUND_COLUMNS)
 
 
-def flagged(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def flagged(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """docs with n_words, n_hit, items and spans (columns of these names are replaced)."""
-    kept = [c for c in docs.columns if c not in FOUND_COLUMNS]
-    return _searched(docs.select(*[F.col(f"`{c}`") for c in kept]), benchmark, **options).select("carried.*", *FOUND_COLUMNS)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in FOUND_COLUMNS]
+    return _searched(docs.select(F.struct(*kept).alias("carried")), benchmark, text_col=text_col, **options).select("carried.*", *FOUND_COLUMNS)
 
 
-def _searched(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 2_000_000) -> DataFrame:
-    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(carried.alias("carried"), F.col(f"`{text_col}`").cast("binary").alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))
-    held = rows.schema["carried"].dataType
+def _searched(rows: DataFrame, benchmark: DataFrame, *, window: int = 8, text_col: str | None = None, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 2_000_000) -> DataFrame:
+    """carried and what is found, for rows of a struct `carried` and their `text`, which with text_col is a field of it."""
+    text = F.col("text") if text_col is None else F.col("carried").getField(text_col).cast("binary")
     tests = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("binary").alias("t")).where("i is not null and t is not null")
+    context, held = rows.sparkSession.sparkContext, rows.schema["carried"].dataType
+    share = lambda block: context.broadcast((uuid.uuid4().hex, [(r.i, bytes(r.t)) for r in block.collect()], window))
     blocks = _blocks(tests, block_bytes)
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        fields = T._parse_datatype_string(FOUND if last else "text binary, hits binary, items array<string>")
-        kinds = T.StructType([T.StructField("carried", held), *fields.fields])
-        shared = rows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r.i, bytes(r.t)) for r in block.collect()], window))
-        rows = rows.mapInArrow(_scanner(shared, last, [f.type for f in to_arrow_schema(fields)]), kinds)
-        if not last:
-            rows = staged(rows, "decontaminate")
-    return rows
-
-
-def _scanner(shared, last: bool, types: list[pa.DataType]):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = T.StructType([T.StructField("carried", held), *T._parse_datatype_string(FOUND).fields])
+    if len(blocks) == 1:
+        return rows.mapInArrow(_finder(text_col, _scanner(share(blocks[0]))), kinds)
+    key = [F.xxhash64("carried").alias("_a"), F.xxhash64(text, F.lit(1)).alias("_b"), F.crc32(F.coalesce(text, F.lit(b""))).alias("_c")]
+    keyed, hits = rows.select(*key, "*"), None
+    for block in blocks:
+        found = keyed.select("_a", "_b", "_c", text.alias("text")).mapInArrow(_hits(_scanner(share(block))), "_a long, _b long, _c long, runs array<int>, items array<string>")
+        hits = found if hits is None else hits.unionByName(found)
+    # a document's hits are no more than its words and the benchmark's items
+    hits = staged(hits, "hits").groupBy("_a", "_b", "_c").agg(F.flatten(F.collect_set("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("found"))
+    return keyed.join(hits, ["_a", "_b", "_c"], "left").select(*rows.columns, "runs", "found").mapInArrow(_finder(text_col, None), kinds)
+
+
+def _scanner(shared):
+    """The search in a task: words to runs and items, by the automaton of the broadcast items."""
+
+    def find(words: list[bytes]) -> tuple[list[int], list[str]]:
         name, *given = shared.value
         if name not in _built:
             _built.clear()
             _built[name] = build(*given)
-        alphabet, automaton = _built[name]
+        return scan(words, *_built[name])
+
+    return find
+
+
+def _hits(search):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                out = []
-                for text, hits, items in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                got = [search(words_of(t)) for t in batch.column(3).to_pylist()]
+                hit = [i for i, (_, items) in enumerate(got) if items]
+                columns = [batch.column(i).take(pa.array(hit, pa.int64())) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([got[i][0] for i in hit], pa.list_(pa.int32())), pa.array([got[i][1] for i in hit], pa.list_(pa.string()))], ["_a", "_b", "_c", "runs", "items"])
+
+    return find
+
+
+def _finder(text_col: str | None, search):
+    """Rows with what is found: by a search, or as the columns `runs` and `found` have it."""
+    types = [f.type for f in to_arrow_schema(T._parse_datatype_string(FOUND))]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch, out = whole.slice(at, 256), []
+                carried = batch.column("carried")
+                texts = batch.column("text") if text_col is None else pc.cast(pc.struct_field(carried, text_col), pa.binary())
+                known = zip(batch.column("runs").to_pylist(), batch.column("found").to_pylist(), strict=True) if search is None else None
+                for text in texts.to_pylist():
                     words = words_of(text)
-                    got = scan(words, alphabet, automaton, hits, items)
-                    out.append(_finding(text, words, *got) if last else (text, *got))
-                names = ["carried", *(FOUND_COLUMNS if last else ("text", "hits", "items"))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names)
+                    if known is None:
+                        runs, items = search(words)
+                    else:
+                        runs, items = next(known)
+                        pairs = np.array(runs or [], np.int64).reshape(-1, 2)
+                        runs, items = np.stack(merged_runs(pairs[:, 0], pairs[:, 1]), 1).ravel().tolist(), sorted(items or [])
+                    out.append(_finding(text, words, runs, items))
+                yield pa.RecordBatch.from_arrays([carried, *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], ["carried", *FOUND_COLUMNS])
 
     return find
 

@@ -5,15 +5,19 @@ block of queries and a block of candidates, computed on the int8 values (whole n
 float32 up to 1040 components, in float64 beyond). With e the quantised vector's error, a pair's cosine
 lies within |eq| + |ec| + |eq||ec| of the tile's figure, so a candidate whose upper bound is under the
 k-th best lower bound of its query can be dropped without loss. Survivors are recomputed in double
-from the original vectors and kept in a heap per query; heaps of all tasks are merged by query.
-
-Queries are taken in super-blocks of at most `block_bytes`, each read by all candidates in one pass:
-no more than one super-block is broadcast in a pass, whatever their number. A task hands on k rows
-per query at most. The result is exact.
-
-Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part;
-only vectors of equal length are compared; ties go to the smaller vec_id; a query is never its own
-candidate (rows with the query's id are left out); rows repeated under other ids are candidates.
+from the original vectors and kept in a heap per query. A task hands on k rows per query at most, and a
+ranking per query, which drops rows in each task before they are shuffled, merges them. The result is exact.
+
+Queries of at most `block_bytes` are broadcast and read by all candidates in one pass, without a shuffle.
+More are dealt to a grid: blocks of queries of that size against blocks of candidates of `row_bytes`, a task
+for each pair of blocks, so no task and no broadcast grows with the table. Rows are dealt by their place, so
+repeated ids are dealt like others.
+
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do
+rows with a null id; only vectors of equal length are compared; ties go to the smaller vec_id; a query is
+never its own candidate (rows with the query's id are left out); rows repeated under other ids are
+candidates, and repeated rows are found as often as they occur; without queries or candidates there are no
+rows; only the id and the vector are read of a table's columns.
 """
 
 from __future__ import annotations
@@ -90,39 +94,47 @@ def tile(queries: Block, rows: Block, k: int, heaps: list[list]) -> None:
                 (heapq.heappush if len(heaps[i]) < k else heapq.heappushpop)(heaps[i], (s, -r))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = 16_000_000, tile_rows: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = 16_000_000, row_bytes: int = 64_000_000, tile_rows: int = 1024) -> DataFrame:
     """The k nearest rows of `vectors` by cosine for each row of `queries`, ranked from 1."""
     own = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
     rows, asked = own(vectors), own(queries)
-    bytes_asked = asked.agg(F.sum(F.size("v") * 10 + 16)).first()[0] or 0
-    parts = 1 if bytes_asked <= block_bytes else -(-2 * bytes_asked // block_bytes)
-    found = None
-    for part in range(parts):
-        block = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
-        got = block.toArrow()
+    size = lambda df: df.agg(F.sum(F.size("v") * 10 + 16)).first()[0] or 0
+    bytes_asked = size(asked)
+    if bytes_asked <= block_bytes:
+        got = asked.toArrow()
         built = blocks(got.column(0).to_pylist(), [v.values.to_numpy(zero_copy_only=False) if v.is_valid else None for v in got.column(1)])
-        one = rows.mapInArrow(_searcher(rows.sparkSession.sparkContext.broadcast(built), k, tile_rows), _FOUND)
-        found = one if found is None else found.union(one)
+        found = rows.mapInArrow(_searcher(rows.sparkSession.sparkContext.broadcast(built), k, tile_rows), _FOUND)
+    else:
+        parts, deals = -(-bytes_asked // block_bytes), max(1, -(-size(rows) // row_bytes))
+        dealt = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+        of_queries = dealt(asked, "q", parts, "c", deals).groupBy("q", "c")
+        found = of_queries.cogroup(dealt(rows, "c", deals, "q", parts).groupBy("q", "c")).applyInArrow(lambda a, b: _paired(a, b, k, tile_rows), _FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _searched(asked: dict[int, Block], parts: Iterator[pa.Table | pa.RecordBatch], k: int, tile_rows: int) -> list[pa.Array]:
+    """The k best of the parts' rows for each query: query_id, vec_id and score."""
+    heaps = {n: [[] for _ in b.ids] for n, b in asked.items()}
+    for whole in parts:
+        for lo in range(0, whole.num_rows, tile_rows):
+            part = whole.slice(lo, tile_rows)
+            for n, block in blocks(part.column("id").to_pylist(), [v.values.to_numpy(zero_copy_only=False) for v in part.column("v")]).items():
+                if n in asked:
+                    for q in range(0, len(asked[n].ids), tile_rows):
+                        tile(_part(asked[n], q, q + tile_rows), block, k, heaps[n][q : q + tile_rows])
+    out = [(int(q), -r, s) for n, b in asked.items() for q, h in zip(b.ids, heaps[n], strict=True) for s, r in h]
+    return [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+
+
 def _searcher(shared, k: int, tile_rows: int):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: dict[int, Block] = shared.value
-        heaps = {n: [[] for _ in b.ids] for n, b in asked.items()}
-        for batch in batches:
-            for lo in range(0, batch.num_rows, tile_rows):
-                part = batch.slice(lo, tile_rows)
-                for n, block in blocks(part.column(0).to_pylist(), [v.values.to_numpy(zero_copy_only=False) for v in part.column(1)]).items():
-                    if n in asked:
-                        for q in range(0, len(asked[n].ids), tile_rows):
-                            tile(_part(asked[n], q, q + tile_rows), block, k, heaps[n][q : q + tile_rows])
-        out = [(int(q), -r, s) for n, b in asked.items() for q, h in zip(b.ids, heaps[n], strict=True) for s, r in h]
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
-
-    return search
+    return lambda batches: iter([pa.RecordBatch.from_arrays(_searched(shared.value, batches, k, tile_rows), ["query_id", "vec_id", "score"])])
+
+
+def _paired(queries: pa.Table, rows: pa.Table, k: int, tile_rows: int) -> pa.Table:
+    asked = blocks(queries.column("id").to_pylist(), [v.values.to_numpy(zero_copy_only=False) for v in queries.column("v")])
+    return pa.Table.from_arrays(_searched(asked, iter([rows]), k, tile_rows), ["query_id", "vec_id", "score"])
 
 
 def _part(block: Block, a: int, b: int) -> Block:

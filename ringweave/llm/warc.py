@@ -13,8 +13,9 @@ if the manifest lists it, so a lost executor or a repeated attempt leaves no wro
 
 Defined cases: a null html is an empty payload, a null url an empty target; rows with a null page id
 are archived as records without one, never as an original; repeated rows with the smallest page id of
-their payload are responses each; payloads below `revisit_bytes` are always responses; an empty table
-gives no archives.
+their payload are responses each, of which one in an archive has the id that revisits name
+(WARC-Refers-To) and the others ids of their own; a payload is held whole by one task; other columns are
+not read; payloads below `revisit_bytes` are always responses; an empty table gives no archives.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from ._common import arrow_schema, shared_dir, staged
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DICTIONARY_MAGIC = 0x184D2A5D
-_RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
+_RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string, url string, payload binary"
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -44,22 +45,24 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, url: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'{page_id} {url}')}>"
+def record_id(page_id: int | None, digest: str, own: str = "") -> str:
+    """The id of the record of a page with that payload; own tells repeated rows apart."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'{page_id} {digest} {own}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str, own: str = "") -> bytes:
     """One WARC record: a response, or a revisit if refers_to is given."""
+    digest = digest_of(payload)
     url = (url or "").replace("\r", " ").replace("\n", " ")
     revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", record_id(page_id, url)),
+        ("WARC-Record-ID", record_id(page_id, digest, own)),
         ("WARC-Target-URI", url),
         ("WARC-Date", date),
-        ("WARC-Payload-Digest", f"sha1:{digest_of(payload)}"),
+        ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Block-Digest", f"sha1:{digest_of(block)}"),
         ("Content-Type", "application/http;msgtype=response"),
         ("Content-Length", str(len(block))),
@@ -67,7 +70,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     if page_id is not None:
         head.append(("X-Page-Id", str(page_id)))
     if revisit:
-        head += [("WARC-Profile", PROFILE), ("X-Refers-To-Page-Id", str(refers_to))]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page-Id", str(refers_to))]
     return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -94,6 +97,8 @@ def parse(data: bytes) -> dict:
         "payload_digest": digest,
         "record_type": named["WARC-Type"],
         "refers_to": None if refers is None else int(refers),
+        "record_id": named["WARC-Record-ID"],
+        "refers_to_record": named.get("WARC-Refers-To"),
         "url": named.get("WARC-Target-URI", ""),
         "payload": None if revisit else payload,
     }
@@ -172,7 +177,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     joined = keyed.join(later.hint("shuffle_hash"), (keyed.page_id == later.page_id) & (keyed.sha1 == later.later_sha1), "left").select(keyed.page_id, "url", "payload", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, n = None, 0
+        writer, n, seen = None, 0, set()
         for batch in batches:
             for page, url, payload, first in zip(*(batch.column(i) for i in range(4)), strict=True):
                 if writer is None:
@@ -180,7 +185,11 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
                     system, at = _file_system(path)
                     system.create_dir(at.rpartition("/")[0], recursive=True)
                     writer = Writer(system.open_output_stream(at, compression=None))
-                writer.write(record(page.as_py(), url.as_py(), payload.as_py(), first.as_py(), date))
+                page_id, data = page.as_py(), payload.as_py()
+                # one of repeated rows has the id that revisits name, the others and rows without an id have their own
+                one = (page_id, hashlib.sha1(data).digest())
+                writer.write(record(page_id, url.as_py(), data, first.as_py(), date, f"{path} {n}" if page_id is None or one in seen else ""))
+                seen.add(one)
                 n += 1
         if writer is not None:
             writer.close()
@@ -220,7 +229,7 @@ def read_archives(manifest: DataFrame, *, payloads: bool = True, batch_bytes: in
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/ringweave-warc-{uuid.uuid4().hex}"
     manifest = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    return read_archives(manifest, payloads=False).drop("url", "payload")
+    return read_archives(manifest, payloads=False).drop("record_id", "refers_to_record", "url", "payload")
 
 
 ORACLE = """

@@ -34,8 +34,8 @@ def vectors(spark, seed=3, n=300):
     return out, spark.createDataFrame(out, "vec_id long, embedding array<double>, id string, score double").repartition(4)
 
 
-@pytest.mark.parametrize("block_bytes", [16_000_000, 400])
-def test_neighbours_are_exact(spark, block_bytes):
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 400, "row_bytes": 9000}])
+def test_neighbours_are_exact(spark, sizes):
     data, df = vectors(spark)
     good = [(i, np.array(v)) for i, v, *_ in data if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     expected = {}
@@ -44,7 +44,7 @@ def test_neighbours_are_exact(spark, block_bytes):
             found = sorted((-float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))), i) for i, b in good if i != q and len(a) == len(b))
             expected[q] = found[:5]
     got = collections.defaultdict(list)
-    for r in sorted(neighbours.nearest(df, df.where("vec_id % 50 = 0"), 5, block_bytes=block_bytes, tile_rows=16).collect(), key=lambda r: (r.query_id, r.rank)):
+    for r in sorted(neighbours.nearest(df, df.where("vec_id % 50 = 0"), 5, tile_rows=16, **sizes).collect(), key=lambda r: (r.query_id, r.rank)):
         assert r.rank == len(got[r.query_id]) + 1
         got[r.query_id].append((r.vec_id, r.score))
     assert {q for q, f in expected.items() if f} == set(got)
@@ -116,7 +116,7 @@ def hits_by_hand(data, items, k=8):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     wins = {}
     for item, t in items:
-        w = split(t)
+        w = split(t) if item is not None else []
         n = min(k, len(w))
         for i in range(len(w) - n + 1 if n else 0):
             wins.setdefault(tuple(w[i : i + n]), set()).add(str(item))
@@ -137,10 +137,14 @@ def hits_by_hand(data, items, k=8):
 def test_decontamination(spark, block_bytes):
     data, rng = rows(), random.Random(5)
     long = [t for _, t, *_ in data if t and len(t.split()) > 40]
-    items = [(i, " ".join(rng.choice(long).split()[3 : 3 + n]).upper()) for i, n in enumerate((20, 12, 8, 9, 30))] + [(10, None), (11, ""), (12, "one Two, three"), (13, "x"), (14, "never seen anywhere"), (12, "one Two, three"), (15, "ñ" * 400)]
+    items = [(i, " ".join(rng.choice(long).split()[3 : 3 + n]).upper()) for i, n in enumerate((20, 12, 8, 9, 30))] + [(10, None), (11, ""), (12, "one Two, three"), (13, "x"), (14, "never seen anywhere"), (12, "one Two, three"), (15, "ñ" * 400), (None, " ".join(long[0].split()[:20])), (1, "never seen either")]
     got = decontaminate.contamination(table(spark), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes)
     assert collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got.collect()) == hits_by_hand(data, items)
     assert decontaminate.contamination(empty(spark), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    whole = decontaminate.flagged(table(spark), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes)
+    assert whole.columns == [c for c in table(spark).columns if c != "spans"] + ["n_words", "n_hit", "items", "spans"]
+    assert multiset(whole, *table(spark).drop("spans").columns) == multiset(table(spark), *table(spark).drop("spans").columns)
+    assert collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in whole.collect()) == hits_by_hand(data, items)
     none = decontaminate.contamination(table(spark), spark.createDataFrame([], "item_id long, text string"))
     assert none.where("n_hit > 0").count() == 0 and none.count() == len(data)
 
@@ -202,6 +206,9 @@ def test_archives_round_trip(spark, tmp_path):
         payload = (h or "").encode()
         expected[p, len(payload), warc.digest_of(payload), "response" if original else "revisit", None if original else first[h or ""], payload if original else None] += 1
     assert collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in got) == expected
+    assert len({r.record_id for r in got}) == len(got)
+    named = {r.record_id: r for r in got}
+    assert all(named[r.refers_to_record].page_id == r.refers_to and named[r.refers_to_record].payload_digest == r.payload_digest for r in got if r.record_type == "revisit")
     assert warc.read_archives(warc.write_archives(df.limit(0), f"file://{tmp_path}/none")).count() == 0
     path = manifest.first().path.removeprefix("file://")
     with open(path, "rb") as f:
