@@ -18,10 +18,8 @@ found meet the texts, packed likewise, in parts of about 4 MB of text.
 
 from __future__ import annotations
 
-import math
 import pickle
-
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,24 +93,27 @@ class Sender:
 
     def clear(self) -> None:
         self.columns: list[tuple[np.ndarray, ...]] = []
-        self.segments: list[bytes] = []
         self.known: dict[bytes, int] = {}
         self.lead: list[int] = []
         self.held = 0
 
-    def add(self, columns: tuple[np.ndarray, ...], segments: list[bytes]) -> None:
-        at, first = len(self.segments), self.known.setdefault
+    def add(self, columns: tuple[np.ndarray, ...], segments: Iterable[bytes]) -> None:
+        """Takes in segments; of equal ones the bytes are held once."""
+        at, first = len(self.lead), self.known.setdefault
         self.lead += [first(x, i) for i, x in enumerate(segments, at)]
-        self.segments += segments
         self.columns.append(columns)
-        self.held += int(columns[-1].sum())
+        self.held += int(columns[-1][np.array(self.lead[at:]) == np.arange(at, len(self.lead))].sum())
+
+    def full(self, most: float) -> bool:
+        return self.held >= most or len(self.lead) >= most / 16
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.segments:
+        if not self.lead:
             return
         mh, *columns = (np.concatenate(c) for c in zip(*self.columns, strict=True))
         doc, crc, start, windows = columns[:4]
         gone, alive = self.settle(np.array(self.lead), doc)
+        texts = {i: x for x, i in self.known.items()}
         out: list[tuple] = [(int((c ^ d) % self.buckets), d, c, s, None) for d, c, s in grouped(doc[gone], crc[gone], start[gone], start[gone].astype(np.int64) + windows[gone] - 1 + self.k)]
         kept = np.flatnonzero(alive)
         bucket = (mh[kept] % np.uint64(self.buckets)).astype(np.int64)
@@ -123,7 +124,7 @@ class Sender:
         squeeze = zstd.ZstdCompressor(level=_LEVEL)
         for a, b in zip(edges, [*edges[1:], len(kept)], strict=True):
             own = kept[a:b]
-            data = np.uint32(len(own)).tobytes() + b"".join(c[own].astype(t).tobytes() for c, (_, t) in zip(columns, _COLUMNS, strict=True)) + b"".join([self.segments[i] for i in own.tolist()])
+            data = np.uint32(len(own)).tobytes() + b"".join(c[own].astype(t).tobytes() for c, (_, t) in zip(columns, _COLUMNS, strict=True)) + b"".join([texts[self.lead[i]] for i in own.tolist()])
             out.append((int(bucket[a]), None, None, None, squeeze.compress(data)))
         self.clear()
         yield from _rows(out, ("bucket", "doc_id", "crc", "spans", "blob"), (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()))
@@ -185,12 +186,16 @@ def radix_groups(load: Callable[[np.ndarray, int], np.ndarray], at: np.ndarray,
     return index, group
 
 
-def hot_grams(rows: DataFrame, units: Callable[[bytes], np.ndarray], m: int, *, sample_docs: int = 4000, least: int = 8, most: int = 1_000_000) -> np.ndarray:
-    """Grams in at least `least` of a sample of documents, most of all `most`: the sample grows with the partitions."""
+def figures(rows: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes of text."""
+    n, total = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    return n, total or 0
+
+
+def hot_grams(rows: DataFrame, n: int, units: Callable[[bytes], np.ndarray], m: int, *, sample_docs: int = 4000, least: int = 8, most: int = 1_000_000) -> np.ndarray:
+    """Grams in at least `least` of a sample of n documents, most of all `most`: the sample grows with the partitions."""
     spark = rows.sparkSession
-    n = rows.count()
     wanted = max(sample_docs, 10 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    share = math.ceil(min(1.0, wanted / max(n, 1)) * 1_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -211,18 +216,17 @@ def hot_grams(rows: DataFrame, units: Callable[[bytes], np.ndarray], m: int, *,
                         held, size = [], 0
         yield counted()
 
-    sample = rows.where(F.pmod(F.xxhash64("_id", "_crc"), F.lit(1_000_000)) < share).select("text")
+    sample = (rows if n <= wanted else rows.where(F.rand(7) < wanted / n)).select("text")
     found = sample.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return np.sort(found.orderBy(F.desc("n"), "gram").limit(most).toArrow().column("gram").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def without(rows: DataFrame, cut: Callable[[bytes], tuple[np.ndarray, np.ndarray | None, bytes]], gap: int, found: Callable[[dict, list[bytes]], list[tuple[int, int, int, int]]], settle: Callable, finish: Callable[[bytes, np.ndarray, np.ndarray], tuple], ddl: str, *, k: int, m: int, hot: np.ndarray, bucket_bytes: int, flush_bytes: int) -> DataFrame:
+def without(rows: DataFrame, cut: Callable[[bytes], tuple[np.ndarray, np.ndarray | None, bytes]], gap: int, found: Callable[[dict, list[bytes]], list[tuple[int, int, int, int]]], settle: Callable, finish: Callable[[bytes, np.ndarray, np.ndarray], tuple], ddl: str, *, k: int, m: int, total: int, hot: np.ndarray, bucket_bytes: int, flush_bytes: int) -> DataFrame:
     """doc_id and what finish(text, starts, ends) gives for each row and its repeated spans.
 
     cut(text) gives the hashed units, where each ends in the packed string (None: a byte each) and that
     string, in which `gap` bytes end each unit; found(columns, segments) gives a bucket's repeated spans.
     """
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, min(-(-int(total * 3.2) // bucket_bytes), (1 << 31) - 1))
     parts = max(1, min(-(-total // 4_000_000), (1 << 31) - 1))
     shared = rows.sparkSession.sparkContext.broadcast(hot)
@@ -249,7 +253,7 @@ def without(rows: DataFrame, cut: Callable[[bytes], tuple[np.ndarray, np.ndarray
             piece = np.searchsorted(bounds, first, side="right")
             doc, crc, start = (np.array([w[i] for w in waiting], np.int64)[piece] for i in range(3))
             start = start + first - (bounds - sizes)[piece]
-            sender.add((mh, doc, crc, start, last - first, place - first, to - at), [data[x:y] for x, y in zip(at.tolist(), to.tolist(), strict=True)])
+            sender.add((mh, doc, crc, start, last - first, place - first, to - at), (data[x:y] for x, y in zip(at.tolist(), to.tolist(), strict=True)))
 
         for batch in batches:
             for doc, crc, text in zip(*(batch.column(i) for i in range(3)), strict=True):
@@ -264,7 +268,7 @@ def without(rows: DataFrame, cut: Callable[[bytes], tuple[np.ndarray, np.ndarray
                     if size >= CHUNK:
                         work()
                         waiting, size = [], 0
-                        if sender.held >= 3.2 * flush_bytes:
+                        if sender.full(3.2 * flush_bytes):
                             yield from sender.flush()
         if waiting:
             work()

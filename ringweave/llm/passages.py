@@ -8,7 +8,9 @@ Words are runs of bytes other than ASCII white space. Windows are judged on the
 left. Removed is a word covered by a window that also starts in a document with a smaller id.
 
 Defined cases: a null text has no words; texts below `window` words lose nothing; rows with one id are
-one document, and remove nothing from each other; a null id counts as larger than every other.
+one document, and remove nothing from each other; a null id counts as larger than every other; repeated
+rows give a row each; only the id and the text are read of a table's columns; an empty table gives an empty
+one; long texts are cut for sending, with windows over the cuts, and put together at the end.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import WordHashes, documents
-from ._segments import hot_grams, keyed, radix_groups, smaller, without
+from ._segments import figures, hot_grams, keyed, radix_groups, smaller, without
 
 GRAM = 2
-OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _hashes = WordHashes()
 
 
@@ -72,12 +74,15 @@ def repeated(columns: dict[str, np.ndarray], segments: list[bytes], window: int)
     return spans
 
 
-def without_passages(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, bucket_bytes: int = 4_000_000, flush_bytes: int = 12_000_000) -> DataFrame:
-    """Per document: words, words removed, and the kept words joined by one space with their digest."""
+def without_passages(docs: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, bucket_bytes: int = 4_000_000, flush_bytes: int = 12_000_000, with_kept: bool = True) -> DataFrame:
+    """Per document: words, words removed, the digest of the kept words joined by one space and, with_kept, those as `kept`."""
     if window < gram:
         raise ValueError("the window must be no less than the gram")
     rows = keyed(docs, id_col, text_col)
-    return without(rows, _cut, 1, lambda c, s: repeated(c, s, window), smaller, _finish, OUT, k=window, m=gram, hot=hot_grams(rows, units, gram), bucket_bytes=bucket_bytes, flush_bytes=flush_bytes)
+    n, total = figures(rows)
+    finish = _finish if with_kept else lambda *given: _finish(*given)[:-1]
+    out = OUT + (", kept string" if with_kept else "")
+    return without(rows, _cut, 1, lambda c, s: repeated(c, s, window), smaller, finish, out, k=window, m=gram, total=total, hot=hot_grams(rows, n, units, gram), bucket_bytes=bucket_bytes, flush_bytes=flush_bytes)
 
 
 def _finish(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple:
@@ -88,7 +93,7 @@ def _finish(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_passages(documents(spark, sf_dir)).drop("kept")
+    return without_passages(documents(spark, sf_dir), with_kept=False)
 
 
 ORACLE = r"""

@@ -12,7 +12,9 @@ copy as in the last.
 
 Defined cases: null and empty texts have no bytes; texts below `depth` bytes lose nothing; matches
 never cross rows; repeated rows (same id, same text) are copies of each other; overlapping
-occurrences within a text count; a null id is carried through.
+occurrences within a text count; a null id is carried through; only the id and the text are read of a
+table's columns; an empty table gives an empty one; long texts are cut for sending, with strings over the
+cuts, and put together at the end.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import documents, mixed
-from ._segments import equal, hot_grams, keyed, radix_groups, without
+from ._segments import equal, figures, hot_grams, keyed, radix_groups, without
 
 GRAM = 16
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def units(text: bytes) -> np.ndarray:
@@ -75,12 +77,15 @@ def repeated(columns: dict[str, np.ndarray], segments: list[bytes], depth: int)
     return spans
 
 
-def without_repeats(docs: DataFrame, *, depth: int = 200, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, bucket_bytes: int = 4_000_000, flush_bytes: int = 16_000_000) -> DataFrame:
-    """Per document: bytes, bytes and maximal runs removed, and what is kept with its digest."""
+def without_repeats(docs: DataFrame, *, depth: int = 200, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, bucket_bytes: int = 4_000_000, flush_bytes: int = 16_000_000, with_kept: bool = True) -> DataFrame:
+    """Per document: bytes, bytes and maximal runs removed, the digest of what is kept and, with_kept, that as `kept`."""
     if depth < max(8, gram):
         raise ValueError("depth must be at least 8 bytes and no less than the gram")
     rows = keyed(docs, id_col, text_col)
-    return without(rows, _cut, 0, lambda c, s: repeated(c, s, depth), equal, _finish, OUT, k=depth, m=gram, hot=hot_grams(rows, units, gram), bucket_bytes=bucket_bytes, flush_bytes=flush_bytes)
+    n, total = figures(rows)
+    finish = _finish if with_kept else lambda *given: _finish(*given)[:-1]
+    out = OUT + (", kept binary" if with_kept else "")
+    return without(rows, _cut, 0, lambda c, s: repeated(c, s, depth), equal, finish, out, k=depth, m=gram, total=total, hot=hot_grams(rows, n, units, gram), bucket_bytes=bucket_bytes, flush_bytes=flush_bytes)
 
 
 def _finish(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple:
@@ -89,4 +94,4 @@ def _finish(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(documents(spark, sf_dir)).drop("kept")
+    return without_repeats(documents(spark, sf_dir), with_kept=False)

@@ -109,6 +109,26 @@ def test_repeats(spark, sizes):
     assert repeats.without_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [400, 1500])
+def test_long_texts_are_cut_without_loss(spark, monkeypatch, chunk):
+    """Texts of many chunks, with repeats over their cuts, and runs of one symbol."""
+    from ringweave.llm import _segments
+
+    monkeypatch.setattr(_segments, "CHUNK", chunk)
+    rng = random.Random(12)
+    passage = words(rng, 700, 10**6)
+    data = [(1, f"{words(rng, 900, 10**6)} {passage} {words(rng, 300, 10**6)}"), (2, f"{words(rng, 37, 10**6)} {passage}"), (3, "ab " * 3000), (4, "z" * 5000), (5, "cd " * 20 + "ab " * 50)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert multiset(repeats.without_repeats(docs, with_kept=False), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == repeats_by_hand(data)
+    assert multiset(passages.without_passages(docs, with_kept=False), "doc_id", "n_words", "n_removed", "kept_sha256") == passages_by_hand(data)
+
+
+def test_kept_texts_are_those_of_the_digest(spark):
+    for got in (passages.without_passages(table(spark)), repeats.without_repeats(table(spark))):
+        for r in got.collect():
+            assert SHA(r.kept.encode() if isinstance(r.kept, str) else bytes(r.kept)) == r.kept_sha256
+
+
 # --- decontamination
 
 
