@@ -10,6 +10,7 @@ with the store and the items written to the shared folder between steps.
 from __future__ import annotations
 
 import hashlib
+import logging
 import math
 import pickle
 import uuid
@@ -29,6 +30,7 @@ from ringweave.sources.staging import scratch, staged
 
 from .nodes import Frame, Module, flow, run_item
 
+log = logging.getLogger(__name__)
 ITEM = "item binary"
 #: Kinds: i an item for a frame, o an output of the body, b a ring that began, s a store, r recurred, e emitted, z nothing.
 KINDS = "kind string, item binary"
@@ -282,6 +284,7 @@ def _reduced(segment: Segment, rows: DataFrame, past: Iterable[DataFrame] = (),
             made = made.unionByName(spark.range(1).select(F.lit("z").alias("kind"), F.lit(_NOTHING).alias("item"))).withColumn("at", F.monotonically_increasing_id()).repartition(1).sortWithinPartitions("at").drop("at")
             made = made.mapInArrow(close(kept), KINDS)
             step = keep(made) if keep else staged(made, "ring")
+        log.info("%s: step %d of the ring over all rows is done", module.path, len(emitted) + 1)
         emitted.append(_of_kind(step, "e"))
         recurred = _of_kind(step, "r")
         if not recurred.limit(1).count():

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import dis
 from collections.abc import Callable, Iterable, Iterator, Mapping
+from itertools import pairwise
 from typing import Any
 
 
@@ -73,12 +74,22 @@ def applied(fn: Callable, work: Any, *before: Any) -> Any:
     return work.call(fn, *before) if isinstance(work, Args) else fn(*before, work)
 
 
+def _named(kinds: type | tuple[type, ...]) -> str:
+    return " or ".join(k.__name__ for k in (kinds if isinstance(kinds, tuple) else (kinds,)))
+
+
 class Job:
-    """One item in, any number of items out. Override handleWork and emit, or post_setup for preparation."""
+    """One item in, any number of items out. Override handleWork and emit, or postSetup for preparation.
+
+    takes, gives: types of its items, if declared. In a sequence a job that can't take what the one before
+    gives is an error when the plan is made; an item of another type is an error when it comes.
+    """
 
     config: Mapping[str, Any] = {}
     global_config: Mapping[str, Any] = {}
     to: Any = None
+    takes: type | tuple[type, ...] | None = None
+    gives: type | None = None
 
     def __init__(self, config: Mapping[str, Any] | None = None, global_config: Mapping[str, Any] | None = None):
         self.config, self.global_config = config or {}, global_config or {}
@@ -91,9 +102,13 @@ class Job:
         raise NotImplementedError(f"{type(self).__name__}.handleWork")
 
     def emit(self, work: Any, target: str | None = None) -> None:
+        if self.gives is not None and not isinstance(work, self.gives):
+            raise PlanError(f"{type(self).__name__} gives {_named(self.gives)}, not {type(work).__name__}")
         self._out.append((work, target))
 
     def process(self, work: Any) -> list[tuple[Any, str | None]]:
+        if self.takes is not None and not isinstance(work, self.takes):
+            raise PlanError(f"{type(self).__name__} takes {_named(self.takes)}, not {type(work).__name__}")
         self.__dict__.setdefault("_out", [])
         if not self.__dict__.get("_ready"):
             self._ready = True
@@ -287,6 +302,10 @@ class Module:
             if input is not None:
                 raise PlanError(f"{path}: a sequence of jobs takes no input")
             self.jobs, self.input, self.sequence = dict(enumerate(jobs)), 0 if jobs else "output", True
+            for one, then in pairwise(jobs):
+                gives, takes = getattr(one, "gives", None), getattr(then, "takes", None)
+                if gives is not None and takes is not None and not issubclass(gives, takes):
+                    raise PlanError(f"{path}: {type(one).__name__} gives {_named(gives)}, but {type(then).__name__} takes {_named(takes)}")
         for t in targets(recur_to).values():
             if t not in self.jobs and t not in ("output", "input"):
                 raise PlanError(f"{path}: unknown job {t!r}")

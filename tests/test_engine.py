@@ -446,6 +446,46 @@ def test_stores_merge_in_between(spark):
     assert c.values(c._reduced(c.Segment(module, True), Rows())) == [list(range(300))]
 
 
+def test_types_of_edges(spark):
+    class Number(Job):
+        takes, gives = str, int
+
+        def handleWork(self, work):
+            self.emit(int(work) if work != "odd" else work)
+
+    class Text(Job):
+        takes, gives = (int, float), str
+
+        def handleWork(self, work):
+            self.emit(str(work))
+
+    assert list(run_item(Module([Number(), Text(), Number()]), "7")) == [7]
+    with pytest.raises(PlanError, match="Number gives int, but Number takes str"):
+        Module([Number(), Number()])
+    with pytest.raises(PlanError, match="takes str, not int"):
+        list(run_item(Module([Number()]), 7))
+    with pytest.raises(PlanError, match="gives int, not str"):
+        list(run_item(Module([Number()]), "odd"))
+
+
+def test_pieces_of_pipelines(spark):
+    class Greeter:
+        def __init__(self, word):
+            self.word = word
+
+        @classmethod
+        def jobs_greet(cls, w):
+            @w.job
+            def greet(greeter, name):
+                return f"{greeter.word} {name}"
+
+    w = Work([("hello", "a"), ("bye", "b")], spark=spark)
+    w.job(lambda given: Args(Greeter(given[0]), given[1]))
+    Greeter.jobs_greet(w)
+    w.include(lambda w: w.job(str.upper))
+    assert sorted(w.run()) == ["BYE B", "HELLO A"]
+
+
 def test_queued_work(spark):
     ringweave.work[:] = [1, 2]
     try:
