@@ -19,7 +19,6 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from .builder import Work, active
 from .plans.nodes import Args, Module, PlanError, run_item
@@ -28,6 +27,7 @@ from .sources.staging import staged
 log = logging.getLogger(__name__)
 #: Two-sided 95 % points by degrees of freedom, each from that number on.
 POINTS = ((16, 1.96), (10, 2.23), (5, 2.57), (4, 2.78), (3, 3.18), (2, 4.30), (1, 12.71))
+#: Relative and absolute error, and the least and most trials, unless others are given.
 DEFAULTS = {"E": 0.1, "eps": 1e-2, "min": 3, "max": 10000}
 
 
@@ -47,13 +47,14 @@ def needed(n: Column, mean: Column, dev: Column, relative: float, absolute: floa
 
 
 def grid(spark: SparkSession, variables: Mapping[str, DataFrame]) -> DataFrame:
-    """All combinations of one-column tables with ids from 0, the first fastest; each table's values are numbered in its order."""
+    """All combinations of one-column tables with ids from 0, the first fastest; each table's values are numbered in its order.
+
+    The tables are parameters' values: each is numbered in one task.
+    """
     out, size = None, 1
     for name, values in variables.items():
         n = values.count()
-        kind = StructType([StructField(name, values.schema[0].dataType), StructField("_i", LongType())])
-        numbered = spark.createDataFrame(values.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])), kind)
-        numbered = numbered.select(name, (F.col("_i") * size).alias(f"_i_{name}"))
+        numbered = values.coalesce(1).select(F.col(values.columns[0]).alias(name), (F.monotonically_increasing_id() * size).alias(f"_i_{name}"))
         out = numbered if out is None else out.crossJoin(numbered)
         size *= max(n, 1)
     total = sum((F.col(f"_i_{name}") for name in variables), F.lit(0).cast("long"))
