@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ringweave.sources.staging import shared_dir, staged
+from ringweave.sources.staging import new_path, removed, shared_dir, staged
 
-__all__ = ["NULL_ID", "WordHashes", "arrow_schema", "bound", "documents", "fold_of", "gram_hashes", "merged_runs", "mixed", "sampled", "shared_dir", "sliding_min", "staged"]
+__all__ = ["NULL_ID", "Tables", "WordHashes", "arrow_schema", "bound", "documents", "fold_of", "gram_hashes", "merged_runs", "mixed", "sampled", "shared_dir", "sliding_min", "staged"]
 
 #: Order of a row whose id is null: after every other row.
 NULL_ID = (1 << 63) - 1
@@ -35,6 +35,29 @@ def fold_of(column: str, modulus: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+class Tables:
+    """Staged tables of one operator by label, so that those that nothing reads any more can be removed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        path = new_path(self.spark, label)
+        made = staged(df, label, path)
+        self.paths.setdefault(label, []).append(path)
+        return made
+
+    def drop(self, *labels: str) -> None:
+        for label in labels:
+            removed(self.spark, *self.paths.pop(label, ()))
+
+    def drop_all_but(self, label: str, last: int = 1) -> None:
+        """Removes the earlier tables of a label."""
+        paths = self.paths.get(label, [])
+        removed(self.spark, *paths[:-last])
+        self.paths[label] = paths[-last:]
+
+
 def bound(most: int) -> int:
     """Six standard deviations above the number of rows expected in a sample."""
     return most + 6 * math.isqrt(most) + 6

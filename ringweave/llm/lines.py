@@ -9,7 +9,8 @@ position) stays, so no text leaves the corpus altogether; all other occurrences
 
 Defined cases: a null text has no lines and stays null; blank lines are never removed; a null site is
 no site; rows with a null id come last in the order; repeated rows (same id and text) are treated
-alike; an empty table gives an empty one.
+alike; columns of any name are kept, but n_lines and n_lines_removed are replaced; a text is split and put
+together whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -36,18 +37,21 @@ def boilerplate(lines: DataFrame, *, min_sites: int = MIN_SITES, precision: int
 
 def without_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, precision: int = 12, near: float = 0.25) -> DataFrame:
     """docs with the text cleaned, and n_lines and n_lines_removed (columns of these names are replaced)."""
-    text, key = F.col(f"`{text_col}`").cast("string"), F.struct(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("h"))
-    rows = docs.drop("n_lines", "n_lines_removed")
-    narrow = rows.select(key.alias("row"), F.col(f"`{site_col}`").cast("string").alias("site"), F.posexplode(F.transform(F.split(text, "\n"), lambda x: F.trim(x))).alias("pos", "line")).where("line <> ''")
-    lines = narrow.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "site", F.struct("row.id", "row.h", "pos").alias("at"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_lines_removed")]
+    # one column that holds them all: no name of docs can clash with those used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    own = lambda name: F.col("row").getField(name)
+    text, key = own(text_col).cast("string"), [F.coalesce(own(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(own(text_col).cast("string")).alias("h")]
+    split = rows.select(*key, own(site_col).cast("string").alias("site"), F.posexplode(F.transform(F.split(text, "\n"), lambda x: F.trim(x))).alias("pos", "line")).where("line <> ''")
+    lines = split.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "site", F.struct("id", "h", "pos").alias("at"))
     found = boilerplate(lines, min_sites=min_sites, precision=precision, near=near)
-    gone = lines.join(found, ["h1", "h2"]).where(F.col("at") != F.col("first")).groupBy(F.col("at.id").alias("_gone_id"), F.col("at.h").alias("_gone_h")).agg(F.collect_set("at.pos").alias("_gone"))
-    keyed = rows.withColumns({"_row_id": key["id"], "_row_h": key["h"]})
-    joined = keyed.join(gone.hint("shuffle_hash"), (F.col("_row_id") == F.col("_gone_id")) & (F.col("_row_h") == F.col("_gone_h")), "left")
+    gone = lines.join(found, ["h1", "h2"]).where(F.col("at") != F.col("first")).groupBy("at.id", "at.h").agg(F.collect_set("at.pos").alias("gone"))
+    joined = rows.select("row", *key).join(gone.hint("shuffle_hash"), ["id", "h"], "left")
     all_lines = F.split(text, "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), "_gone"), lambda i: F.get(all_lines, i))
-    cleaned = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumns({"n_lines": F.coalesce(F.size(all_lines).cast("long"), F.lit(0).cast("long")), "n_lines_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), text_col: cleaned}).select(*[F.col(f"`{c}`") for c in [*rows.columns, "n_lines", "n_lines_removed"]])
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), "gone"), lambda i: F.get(all_lines, i))
+    cleaned = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    n_lines, removed = F.coalesce(F.size(all_lines).cast("long"), F.lit(0).cast("long")), F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    return joined.select(*[cleaned.alias(c) if c == text_col else own(c).alias(c) for c in names], n_lines.alias("n_lines"), removed.alias("n_lines_removed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, arrow_schema, documents, gram_hashes, mixed, staged
+from ._common import Tables, WordHashes, arrow_schema, documents, gram_hashes, mixed, staged
 from ._components import components
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
@@ -244,35 +244,36 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = 5, id_
     text_hash (xxhash64 of the text) tells rows of one id apart; chosen holds for the rows of one text in
     each component, and for rows that are linked with nothing.
     """
-    threshold = percent / 100
+    threshold, tables = percent / 100, Tables(docs.sparkSession)
     sketch = staged(sketches(docs, shingle=shingle, id_col=id_col, text_col=text_col), "sketch")
     grouped = sketch.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n").alias("n"), F.max("registers").alias("registers"))
     classes = staged(grouped.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("first.doc_id").alias("rep"), "first.text_hash", "n", "registers"), "classes")
     bands = classes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("registers", b * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     salted = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    shared = staged(bands.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).select("key", "band", "node", "pivot", "size"), "buckets")
+    shared = tables.keep(bands.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).select("key", "band", "node", "pivot", "size"), "buckets")
     pairs = shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    likely = staged(_estimated(pairs, classes, threshold), "likely")
+    likely = tables.keep(_estimated(pairs, classes, threshold), "likely")
 
     rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.xxhash64(F.col(text_col).cast("binary")).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
     named = classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "rep", "text_hash")
     # repeated rows have one text
-    texts = staged(rows.join(named, ["rep", "text_hash"]).dropDuplicates(["rep", "text_hash"]).select("node", "text"), "texts")
-    links = staged(_confirmed(likely, texts, percent, shingle).distinct(), "links")
+    texts = tables.keep(rows.join(named, ["rep", "text_hash"]).dropDuplicates(["rep", "text_hash"]).select("node", "text"), "texts")
+    links = tables.keep(_confirmed(likely, texts, percent, shingle).distinct(), "links")
     labels = components(links)
 
     # buckets of more than two in which several components are left
     known = shared.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed_keys = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    left = staged(known.join(mixed_keys, "key", "left_semi").select("key", "band", "node", "label").join(classes.select("node", "n", "registers"), "node"), "unresolved")
+    left = tables.keep(known.join(mixed_keys, "key", "left_semi").select("key", "band", "node", "label").join(classes.select("node", "n", "registers"), "node"), "unresolved")
     sizes = left.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.col("n") * 8).alias("bytes"))
     sets = _shingle_sets(texts.join(left.select("node").distinct(), "node", "left_semi"), shingle)
     members = left.join(sizes, "key").join(sets, "node")
     further = _block_links(members, percent, block, block_bytes).distinct()
-    more = staged(_confirmed(further, texts, percent, shingle), "links")
+    more = tables.keep(_confirmed(further, texts, percent, shingle), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
+    tables.drop("buckets", "likely", "texts", "links", "unresolved")
 
     in_component = labels.join(classes.select("node", "rep"), "node")
     firsts = in_component.groupBy("label").agg(F.min(F.struct("rep", "node")).alias("of"))

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ringweave.llm import decontaminate, language, lines, neardup, neighbours, packing, passages, quality, repeats, warc
@@ -204,6 +205,8 @@ def test_lines(spark):
     got = lines.without_boilerplate(df)
     assert multiset(got, "doc_id", "text", "n_lines", "n_lines_removed") == expected
     assert lines.without_boilerplate(df.limit(0)).count() == 0
+    clashing = df.selectExpr("*", *[f"doc_id AS `{c}`" for c in ("_gone", "row", "id", "h", "pos", "gone", "site", "at", "first", "h1", "n_lines_removed", "a b", "x.y")])
+    assert multiset(lines.without_boilerplate(clashing), "doc_id", "text", "n_lines", "n_lines_removed") == expected
     assert multiset(lines.without_boilerplate(table(spark)), "doc_id").total() == len(rows())
 
 
@@ -603,6 +606,76 @@ def test_quality(spark):
     assert quality.scored(empty(spark), weights).count() == 0
 
 
+def features_by_hand(text):
+    """The features of a text, one by one."""
+    place = lambda kind, x, start, size: start + xxhash.xxh64_intdigest(f"{kind}\0{x}") % size
+    kind = lambda c: c if ord(c) < 128 and not c.isalnum() else "A" if c.isupper() else "a" if c.isalpha() else "0" if c in "0123456789" else "~"
+    words_, out = text.split(), collections.Counter()
+    counts, n, chars = collections.Counter(words_), len(words_), max(len(text), 1)
+    figures = {
+        "variety": len(counts) / max(n, 1) ** 0.8,
+        "commonest": max(counts.values(), default=0) / max(n, 1),
+        "upper": sum(w.isupper() and len(w) > 1 for w in counts) / max(len(counts), 1),
+        "plain": sum(w.strip(".,;:!?\"'()").isalpha() for w in words_) / max(n, 1),
+        "word": min(sum(map(len, words_)) / max(n, 1), 20) / 20,
+        "line": min(n / len(text.split("\n")), 100) / 100,
+        "length": min(math.log1p(n) / 12, 1),
+        "digits": sum(c in "0123456789" for c in text) / chars,
+    }
+    for name, value in figures.items():
+        out[place("f", f"{name}:{int(min(value, 2) * 16)}", 0, 512)] += 1.0
+    pieces = [w[i : i + 64] for w in words_ for i in range(0, len(w), 64)]
+    for scale, of in ((2.0, lambda w: place("s", "".join(k for k, _ in itertools.groupby(map(kind, w))), 512, 1024)), (0.5, lambda w: place("w", w.lower(), 1536, 2560))):
+        found = collections.Counter(map(of, pieces))
+        size = math.sqrt(sum(v * v for v in found.values()))
+        for k, v in found.items():
+            out[k] += scale * v / size
+    return out
+
+
+def test_quality_scores_by_hand(spark):
+    w = np.random.default_rng(2).normal(size=quality.DIMENSIONS + 1)
+    data = [(i, t) for i, (_, t, *_) in enumerate(rows())] + [(900, "x" * 1000 + " " + "Ab9-" * 60), (901, "ABC def12 ÉÈ ½ " * 50)]
+    got = {r.doc_id: r.quality_score for r in quality.scored(spark.createDataFrame(data, "doc_id long, text string"), w).collect()}
+    for i, t in data:
+        z = sum(w[k] * v for k, v in features_by_hand(t or "").items()) + w[-1]
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-5, t
+    tail = [(1, "y" * 100 + "a" * 64), (2, "y" * 100 + "$" * 64)]
+    a, b = (r.quality_score for r in quality.scored(spark.createDataFrame(tail, "doc_id long, text string"), w).collect())
+    assert a != b  # what lies far into a run counts
+
+
+def test_quality_samples_are_bounded_by_rows(spark):
+    docs = spark.range(20_000).selectExpr("id % 2 AS doc_id", "'one text' AS text")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    seen = []
+    real = quality.estimate_prior
+    quality.estimate_prior = lambda p, u, **k: (seen.append((len(p), len(u))), real(p, u, **k))[1]
+    try:
+        quality.fit(docs, labels, max_positive=300, max_unlabelled=500)
+    finally:
+        quality.estimate_prior = real
+    ((p, u),) = seen
+    assert 200 < p < 400 and 380 < u < 620
+
+
+def test_risk_is_non_negative_and_unbiased():
+    """The gradient steps follow prior * R+ + max(0, Ru- - prior * Rp-): its value falls, and clamping changes the course."""
+    rng = np.random.default_rng(5)
+    row = lambda at: (np.array(at, np.int32).tobytes(), np.ones(len(at), np.float32).tobytes())
+    positive = [row([1, 10 + int(rng.integers(5))]) for _ in range(200)]
+    unlabelled = [row([1 if rng.random() < 0.4 else 2, 10 + int(rng.integers(5))]) for _ in range(400)]
+    prior = 0.4
+
+    def risk(w):
+        score = lambda found: np.array([sum(w[k] for k in np.frombuffer(a, np.int32)) + w[-1] for a, _ in found])
+        p, u = score(positive), score(unlabelled)
+        return prior * np.logaddexp(0, -p).mean() + max(0.0, np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean())
+
+    w = quality.train(positive, unlabelled, prior, steps=300)
+    assert risk(w) < 0.25 < risk(np.zeros(quality.DIMENSIONS + 1)) and w[1] > 0 > w[2]
+
+
 def test_awkward_rows_pass_the_classifiers(spark):
     df = table(spark)
     model = language.fit(df)
