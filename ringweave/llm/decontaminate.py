@@ -4,7 +4,7 @@ Every word of the test items is one symbol of the automaton's alphabet (a code p
 word is a symbol of its own, so one pass over a document's words finds every window of every item.
 Matches are counted in words and mapped back to character offsets of the original text.
 
-An automaton holds at most about `block_bytes` of items, some 150 bytes of memory for each of theirs, so
+An automaton holds at most about `block_bytes` of items, some 65 bytes of memory for each of theirs, so
 what is broadcast and built is bounded however large the benchmark is. With one automaton (the usual case)
 a document is scanned once and no row is shuffled. A larger benchmark takes several: each scans the texts
 and gives rows only for documents that it hits, and those are joined with the documents at the end, so no
@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -41,7 +42,7 @@ FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _OTHER = "\x01"
-_built: dict[str, tuple] = {}
+_built: dict[str, Tests] = {}
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -52,35 +53,48 @@ def _symbol(n: int) -> str:
     return chr(n + 2 if n + 2 < 0xD800 else n + 2 + 0x800)
 
 
-def build(items: list[tuple[str, bytes | None]], window: int) -> tuple[dict[bytes, str], ahocorasick.Automaton]:
-    """The alphabet and the automaton; a pattern's value is (its length in words, its item ids)."""
+@dataclass
+class Tests:
+    """The alphabet, the automaton, whose values are set * base + length in words, and the sets of item ids."""
+
+    alphabet: dict[bytes, str]
+    automaton: ahocorasick.Automaton
+    base: int
+    sets: list[tuple[str, ...]]
+
+
+def build(items: list[tuple[str, bytes | None]], window: int) -> Tests:
     alphabet: dict[bytes, str] = {}
-    owners: dict[str, set[str]] = {}
+    owners: dict[str, tuple[str, ...] | set[str]] = {}
     for item, text in items:
-        symbols = "".join(alphabet.setdefault(w, _symbol(len(alphabet))) for w in words_of(text))
+        symbols, own = "".join([alphabet.setdefault(w, _symbol(len(alphabet))) for w in words_of(text)]), (item,)
         size = min(window, len(symbols))
         for i in range(len(symbols) - size + 1 if size else 0):
-            owners.setdefault(symbols[i : i + size], set()).add(item)
-    automaton = ahocorasick.Automaton()
+            pattern = symbols[i : i + size]
+            have = owners.setdefault(pattern, own)  # most windows are of one item and share its tuple
+            if isinstance(have, set):
+                have.add(item)
+            elif have[0] != item:
+                owners[pattern] = {*have, item}
+    automaton, sets = ahocorasick.Automaton(ahocorasick.STORE_INTS), {}
     for pattern, found in owners.items():
-        automaton.add_word(pattern, (len(pattern), tuple(sorted(found))))
+        automaton.add_word(pattern, sets.setdefault(tuple(sorted(found)), len(sets)) * (window + 1) + len(pattern))
     if owners:
         automaton.make_automaton()
-    return alphabet, automaton
+    return Tests(alphabet, automaton, window + 1, list(sets))
 
 
-def scan(words: list[bytes], alphabet: dict[bytes, str], automaton: ahocorasick.Automaton) -> tuple[list[int], list[str]]:
+def scan(words: list[bytes], tests: Tests) -> tuple[list[int], list[str]]:
     """Runs of hit words as starts and ends by turns, and the items found."""
-    if not words or not len(automaton):
+    if not words or not len(tests.automaton):
         return [], []
-    get, found, starts, ends = alphabet.get, set(), [], []
-    for end, (size, owners) in automaton.iter("".join([get(w, _OTHER) for w in words])):
-        starts.append(end + 1 - size)
-        ends.append(end + 1)
-        found.update(owners)
+    get = tests.alphabet.get
+    found = list(tests.automaton.iter("".join([get(w, _OTHER) for w in words])))
     if not found:
         return [], []
-    return np.stack(merged_runs(np.array(starts), np.array(ends)), 1).ravel().tolist(), sorted(found)
+    ends, values = np.array(found, np.int64).T
+    items = {i for k in np.unique(values // tests.base).tolist() for i in tests.sets[k]}
+    return np.stack(merged_runs(ends + 1 - values % tests.base, ends + 1), 1).ravel().tolist(), sorted(items)
 
 
 def _finding(text: bytes | None, words: list[bytes], runs: list[int], items: list[str]) -> tuple[int, int, list[str], list[dict]]:
@@ -109,7 +123,7 @@ def flagged(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **
     return _searched(docs.select(F.struct(*kept).alias("carried")), benchmark, text_col=text_col, **options).select("carried.*", *FOUND_COLUMNS)
 
 
-def _searched(rows: DataFrame, benchmark: DataFrame, *, window: int = 8, text_col: str | None = None, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 2_000_000) -> DataFrame:
+def _searched(rows: DataFrame, benchmark: DataFrame, *, window: int = 8, text_col: str | None = None, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4_000_000) -> DataFrame:
     """carried and what is found, for rows of a struct `carried` and their `text`, which with text_col is a field of it."""
     text = F.col("text") if text_col is None else F.col("carried").getField(text_col).cast("binary")
     tests = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("binary").alias("t")).where("i is not null and t is not null")
@@ -137,7 +151,7 @@ def _scanner(shared):
         if name not in _built:
             _built.clear()
             _built[name] = build(*given)
-        return scan(words, *_built[name])
+        return scan(words, _built[name])
 
     return find
 
