@@ -6,6 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+import ringweave.feature_queries  # registers its queries  # noqa: F401
 from ringweave import recipes, stats, streaming
 from ringweave.operators import Checkpoint, route, routed, row_loop, tagged
 from ringweave.plans.nodes import run_item
@@ -95,8 +96,8 @@ def _waits(batches):
 
 def test_row_loops(spark):
     many = spark.range(1_000_000).selectExpr("id", "cast(id % 1000 as int) as v")
-    got = row_loop(many, ["id"], "v", "value < 1000", "value + 7")
-    assert got.agg({"value": "max"}).first()[0] == 1006 and got.where("value < 1000 or first <> id % 1000").count() == 0
+    got = row_loop(many, ["id"], "v", "value < 1000", "value + 70")
+    assert got.agg({"value": "max"}).first()[0] == 1069 and got.where("value < 1000 or first <> id % 1000").count() == 0
     assert [tuple(r) for r in row_loop(spark.sql("SELECT 1 AS k, CAST(null AS int) AS v"), ["k"], "v", "value < 5", "value + 1").collect()] == [(1, None, None)]
     with pytest.raises(Exception, match="more than 20 steps"):
         row_loop(spark.range(3), [], "id", "value < 100", "value + 1", most=20).collect()
