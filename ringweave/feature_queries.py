@@ -23,7 +23,7 @@ from .sources.staging import new_path, shared_dir
 from .sweep import sweep
 
 config.register(recipes.Add, "add")
-config.register(recipes.Total, "total")
+config.register(recipes.Total, "sum")
 
 
 def column(spark: SparkSession, values: list, ddl: str) -> DataFrame:
@@ -143,7 +143,7 @@ def csv_sink(spark, sf):
 @query("SELECT n_nationkey + 6 AS value FROM nation")
 def yaml_plan(spark, sf):
     """A plan of YAML text, with a job that is named once and a ring for each item."""
-    plan = "jobs:\n- &two {type: add, by: 2}\n- reducer: total\n  jobs: [*two, *two]\n"
+    plan = "jobs:\n- &two {type: add, by: 2}\n- reducer: sum\n  jobs: [*two, *two]\n"
     return column(spark, config.run(plan, [k for k, _ in nations(spark, sf)], spark=spark), "value int")
 
 
@@ -434,7 +434,7 @@ def invoke_retry(spark, sf):
 @query("SELECT 'result' AS name, CAST(sum(n_nationkey + 1) AS VARCHAR) AS found FROM nation UNION ALL SELECT * FROM (VALUES ('stops', '2'), ('another plan', 'Mismatch'), ('once more', 'Finished'), ('no folder', 'FileNotFoundError'), ('info', 'finished'), ('changed', 'true')) t(name, found)")
 def checkpoint_plan(spark, sf):
     """A plan that stops after each step and goes on, its marker, and the errors of wrong uses."""
-    folder, keys, plan = f"{shared_dir(spark)}/ringweave-plan-{uuid.uuid4().hex}", [k for k, _ in nations(spark, sf)], {"reducer": "total", "jobs": ["add"]}
+    folder, keys, plan = f"{shared_dir(spark)}/ringweave-plan-{uuid.uuid4().hex}", [k for k, _ in nations(spark, sf)], {"reducer": "sum", "jobs": ["add"]}
     run = lambda plan=plan, at=folder, given=(), **more: config.run(plan, given, spark=spark, checkpoint=at, **more)
     named = lambda kind, fn: kind.__name__ if raises(kind, fn) else "none"
     out, stops, result = [], 0, None
@@ -444,7 +444,7 @@ def checkpoint_plan(spark, sf):
             continue
         stops += 1
     out.append(("stops", str(stops)))
-    out.append(("another plan", named(Checkpoint.Mismatch, lambda: run({"reducer": "total", "jobs": []}))))
+    out.append(("another plan", named(Checkpoint.Mismatch, lambda: run({"reducer": "sum", "jobs": []}))))
     (result,) = run()
     state = Checkpoint(folder, "")
     out += [("result", str(result)), ("once more", named(Checkpoint.Finished, run)), ("no folder", named(FileNotFoundError, lambda: run(at=f"{folder}/none/state")))]
@@ -510,7 +510,7 @@ def guard_rails(spark, sf):
         "unknown target": (PlanError, plan({"input": "a", "jobs": {"a": {"type": "add", "to": "b"}}})),
         "unknown job": (PlanError, plan({"input": "b", "jobs": {"a": {"type": "add", "to": "output"}}})),
         "unknown type": (PlanError, plan({"jobs": ["no such job"]})),
-        "frame and reducer": (PlanError, plan({"frame": recipes.Kept, "reducer": "total", "jobs": []})),
+        "frame and reducer": (PlanError, plan({"frame": recipes.Kept, "reducer": "sum", "jobs": []})),
         "unknown argument": (TypeError, plan({"jobs": []}, other=1)),
         "a job of another type": (PlanError, lambda: config.run({"jobs": [Prepared]}, ["text"], spark=spark)),
     }
