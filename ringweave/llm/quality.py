@@ -104,48 +104,70 @@ def features(text: str | None, places: _Places) -> tuple[np.ndarray, np.ndarray]
     return np.array(at, np.int32), np.array(values, np.float32)
 
 
-def _dense(rows: list[tuple[bytes, bytes]]) -> np.ndarray:
-    out = np.zeros((len(rows), DIMENSIONS), np.float32)
-    for i, (at, values) in enumerate(rows):
-        np.add.at(out[i], np.frombuffer(at, np.int32), np.frombuffer(values, np.float32))
-    return out
+class Rows:
+    """Feature vectors, one after another; each has some features."""
+
+    def __init__(self, at: np.ndarray, value: np.ndarray, counts: np.ndarray):
+        self.at, self.value, self.counts = at, value, counts
+        self.start = np.cumsum(counts) - counts
+
+    @staticmethod
+    def of(found: list[tuple[bytes, bytes]]) -> Rows:
+        at, value = ([np.frombuffer(x[i], t) for x in found] for i, t in ((0, np.int32), (1, np.float32)))
+        return Rows(np.concatenate(at), np.concatenate(value).astype(float), np.array([len(x) for x in at]))
+
+    def __len__(self) -> int:
+        return len(self.counts)
+
+    def take(self, rows: np.ndarray) -> Rows:
+        counts = self.counts[rows]
+        place = np.repeat(self.start[rows] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        return Rows(self.at[place], self.value[place], counts)
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(w[self.at] * self.value, self.start)
+
+    def sums(self, of_row: np.ndarray) -> np.ndarray:
+        """Sum of the vectors, each times its number."""
+        return np.bincount(self.at, np.repeat(of_row, self.counts) * self.value, DIMENSIONS)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(positive: list, unlabelled: list, prior: float, *, non_negative: bool = True, steps: int = 500, batch: int = 256, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> np.ndarray:
-    """Weights (the last is the intercept) by Adam on the non-negative risk with the logistic loss."""
+def train(positive: Rows, unlabelled: Rows, prior: float, *, non_negative: bool = True, steps: int = 300, batch: int = 1024, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> np.ndarray:
+    """Weights (the last is the intercept) by Adam on the non-negative risk with the logistic loss, the mean over the last half of the steps."""
     rng = np.random.default_rng(seed)
-    w, m, v = (np.zeros(DIMENSIONS + 1, np.float64) for _ in range(3))
+    w, m, v, mean = (np.zeros(DIMENSIONS + 1) for _ in range(4))
     for step in range(1, steps + 1):
-        p = _dense([positive[i] for i in rng.integers(0, len(positive), min(batch, len(positive)))])
-        u = _dense([unlabelled[i] for i in rng.integers(0, len(unlabelled), min(batch, len(unlabelled)))])
-        fp, fu = p @ w[:-1].astype(np.float32) + w[-1], u @ w[:-1].astype(np.float32) + w[-1]
+        p, u = (rows.take(rng.integers(0, len(rows), min(batch, len(rows)))) for rows in (positive, unlabelled))
+        fp, fu = p.scores(w[:-1]) + w[-1], u.scores(w[:-1]) + w[-1]
         sp, su = _sigmoid(fp), _sigmoid(fu)
         loss_neg = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
         # gradients of the mean logistic losses with respect to the outputs
         neg_u, neg_p, pos_p = su / len(fu), sp / len(fp), (sp - 1) / len(fp)
-        if non_negative and loss_neg < 0:
+        if not non_negative:
+            gp, gu = pos_p, neg_u
+        elif loss_neg < 0:
             gp, gu = prior * neg_p, -neg_u  # only undo what made the negative part fall below nought
         else:
             gp, gu = prior * pos_p - prior * neg_p, neg_u
-        if not non_negative:
-            gp, gu = pos_p, neg_u
-        g = np.append(gp.astype(np.float32) @ p + gu.astype(np.float32) @ u, gp.sum() + gu.sum()) + decay * w
+        g = np.append(p.sums(gp) + u.sums(gu), gp.sum() + gu.sum()) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return w
+        if step > steps // 2:
+            mean += w / (steps - steps // 2)
+    return mean
 
 
-def estimate_prior(positive: list, unlabelled: list, *, margin: float = 1.0) -> float:
+def estimate_prior(positive: Rows, unlabelled: Rows, *, margin: float = 1.0) -> float:
     """Share of positives among the unlabelled, by the best bin of a positive-against-unlabelled model."""
     if len(positive) < 20 or len(unlabelled) < 20:
         return 0.5
-    w = train(positive[::2], unlabelled[::2], 1.0, non_negative=False, steps=200)
-    score = lambda rows: np.concatenate([_dense(rows[i : i + 512]) @ w[:-1] + w[-1] for i in range(0, len(rows), 512)])
-    p, u = np.sort(score(positive[1::2])), np.sort(score(unlabelled[1::2]))
+    half = lambda rows, k: rows.take(np.arange(k, len(rows), 2))
+    w = train(half(positive, 0), half(unlabelled, 0), 1.0, non_negative=False, steps=200)
+    p, u = (np.sort(half(rows, 1).scores(w[:-1]) + w[-1]) for rows in (positive, unlabelled))
     cuts = np.quantile(p, np.linspace(0.0, 0.9, 91))
     above_p, above_u = 1 - np.searchsorted(p, cuts) / len(p), 1 - np.searchsorted(u, cuts) / len(u)
     slack = margin * (np.sqrt(1 / (2 * len(p))) + np.sqrt(1 / (2 * len(u))))
@@ -153,10 +175,9 @@ def estimate_prior(positive: list, unlabelled: list, *, margin: float = 1.0) ->
     return float(np.clip(above_u[best] / max(above_p[best], 1e-9), 0.02, 0.98))
 
 
-def placed(w: np.ndarray, unlabelled: list, prior: float, threshold: float) -> np.ndarray:
+def placed(w: np.ndarray, unlabelled: Rows, prior: float, threshold: float) -> np.ndarray:
     """Weights with the intercept at which the prior's share of the unlabelled reaches the threshold."""
-    score = np.concatenate([_dense(unlabelled[i : i + 512]) @ w[:-1] for i in range(0, len(unlabelled), 512)])
-    cut = np.quantile(score, max(0.0, 1 - prior - 1 / math.sqrt(len(unlabelled))))
+    cut = np.quantile(unlabelled.scores(w[:-1]), max(0.0, 1 - prior - 1 / math.sqrt(len(unlabelled))))
     return np.append(w[:-1], math.log(threshold / (1 - threshold)) - cut)
 
 
@@ -189,6 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     positive, unlabelled = _vectors(drawn.where("(positive or unlabelled) and text is not null"), bound(max_positive) + bound(max_unlabelled))
     if not positive or not unlabelled:
         return np.zeros(DIMENSIONS + 1), 0.5
+    positive, unlabelled = Rows.of(positive), Rows.of(unlabelled)
     prior = estimate_prior(positive, unlabelled)
     return placed(train(positive, unlabelled, prior), unlabelled, prior, threshold), prior
 

@@ -672,7 +672,7 @@ def test_risk_is_non_negative_and_unbiased():
         p, u = score(positive), score(unlabelled)
         return prior * np.logaddexp(0, -p).mean() + max(0.0, np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean())
 
-    w = quality.train(positive, unlabelled, prior, steps=300)
+    w = quality.train(quality.Rows.of(positive), quality.Rows.of(unlabelled), prior, steps=300)
     assert risk(w) < 0.25 < risk(np.zeros(quality.DIMENSIONS + 1)) and w[1] > 0 > w[2]
 
 
