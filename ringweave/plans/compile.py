@@ -325,7 +325,8 @@ def interruptible(spark: SparkSession) -> Iterator[None]:
     else:
         group = f"ringweave-{uuid.uuid4().hex}"
         context.setJobGroup(group, "ringweave", interruptOnCancel=True)
-        stop, over = lambda: context.cancelJobGroup(group), lambda: context.setLocalProperty("spark.jobGroup.id", None)
+        stop = lambda: context.cancelJobGroup(group)
+        over = lambda: [context.setLocalProperty(f"spark.{name}", None) for name in ("jobGroup.id", "job.description", "job.interruptOnCancel")]
     try:
         yield
     except BaseException:
