@@ -169,6 +169,8 @@ class Work:
             raise PlanError("a frame has no frameEnd")
         spark = self.spark or active()
         segments = self._segments()
+        if self.checkpoint is None and isinstance(self.initial, DataFrame) and not self.inits:
+            return planned(segments, self.initial, table=True)
         if self.checkpoint is None:
             return planned(segments, self._source(spark))
         return resumed(segments, lambda: self._source(spark), spark, self._state(spark))

@@ -105,7 +105,8 @@ def run(config: str | Mapping[str, Any], given: Iterable[Any] | DataFrame | None
     source = lambda: items_of(spark, list(work) if given is None else given)
     with interruptible(spark), scratch(spark):
         if checkpoint is None:
-            return _handed(planned(segments, source()), handle)
+            table = isinstance(given, DataFrame)
+            return _handed(planned(segments, given if table else source(), table), handle)
         state = checkpoint_of(spark, checkpoint, segments, stop_after=stop_after)
         with state.held():
             found = _handed(resumed(segments, source, spark, state), handle)

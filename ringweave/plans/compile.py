@@ -49,14 +49,7 @@ class Segment:
 def items_of(spark: SparkSession, work: Iterable[Any] | DataFrame, partitions: int | None = None) -> DataFrame:
     """A table of pickled items. A DataFrame's rows become dictionaries, or plain values if it has one column."""
     if isinstance(work, DataFrame):
-        one = len(work.columns) == 1
-
-        def pickled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = batch.column(0).to_pylist() if one else batch.to_pylist()
-                yield _batch([pickle.dumps(r) for r in rows if not (one and r is None)])
-
-        return work.mapInArrow(pickled, ITEM)
+        return work.mapInArrow(lambda batches: _batches(_of_rows(batches)), ITEM)
     rows = [(bytearray(cloudpickle.dumps(w)),) for w in work]
     # more slices than cores, so that items of unlike length keep all cores busy
     n = partitions or max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))
@@ -68,10 +61,28 @@ def _batch(items: list[bytes], kinds: list[str] | None = None) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays(columns, ["item"]) if kinds is None else pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), *columns], ["kind", "item"])
 
 
+def _of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Any]:
+    """A table's rows as items: dictionaries, or the plain values, but for nulls, if it has one column."""
+    for batch in batches:
+        names, columns = batch.schema.names, [c.to_pylist() for c in batch.columns]
+        if len(names) == 1:
+            yield from (x for x in columns[0] if x is not None)
+        else:
+            yield from (dict(zip(names, row, strict=True)) for row in zip(*columns, strict=True))
+
+
+def _dumps(item: Any) -> bytes:
+    """An item pickled in a task; plain pickling is several times faster, and fails for what is defined in place."""
+    try:
+        return pickle.dumps(item, 5)
+    except Exception:
+        return cloudpickle.dumps(item)
+
+
 def _batches(items: Iterable[Any]) -> Iterator[pa.RecordBatch]:
     held: list[bytes] = []
     for item in items:
-        held.append(cloudpickle.dumps(item))
+        held.append(_dumps(item))
         if len(held) >= _BATCH:
             yield _batch(held)
             held = []
@@ -83,7 +94,7 @@ def _kinds(items: Iterable[tuple[str, Any]]) -> Iterator[pa.RecordBatch]:
     held: list[bytes] = []
     for kind, item in items:
         kinds.append(kind)
-        held.append(cloudpickle.dumps(item))
+        held.append(_dumps(item))
         if len(held) >= _BATCH:
             yield _batch(held, kinds)
             kinds, held = [], []
@@ -102,20 +113,23 @@ def _loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[Any]:
             yield pickle.loads(item)
 
 
-def planned(segments: list[Segment], source: DataFrame) -> DataFrame:
-    """The rows that the last segment emits."""
-    rows = source
+def planned(segments: list[Segment], source: DataFrame, table: bool = False) -> DataFrame:
+    """The rows that the last segment emits. table: source is a table whose rows are the items, not one of items."""
+    if not segments:
+        return items_of(source.sparkSession, source) if table else source
+    rows, load = source, _of_rows if table else _loaded
     for segment in segments:
-        rows = _reduced(segment, rows) if segment.module.reducer is not None else _flowed(segment.module, rows)
+        rows = _reduced(segment, rows, load=load) if segment.module.reducer is not None else _flowed(segment.module, rows, load)
+        load = _loaded
     return rows
 
 
-def _flowed(module: Module, rows: DataFrame) -> DataFrame:
+def _flowed(module: Module, rows: DataFrame, load: Callable = _loaded) -> DataFrame:
     code = cloudpickle.dumps(module)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(code)
-        yield from _batches(out for item in _loaded(batches) for out in run_item(own, item))
+        yield from _batches(out for item in load(batches) for out in run_item(own, item))
 
     return rows.mapInArrow(run, ITEM)
 
@@ -197,7 +211,7 @@ def delivered(spark: SparkSession, checkpoint: Checkpoint) -> None:
     checkpoint.write(spark, checkpoint.read(spark) | {"done": True})
 
 
-def _reduced(segment: Segment, rows: DataFrame, past: Iterable[DataFrame] = (), keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _reduced(segment: Segment, rows: DataFrame, past: Iterable[DataFrame] = (), keep: Callable[[DataFrame], DataFrame] | None = None, load: Callable = _loaded) -> DataFrame:
     """A ring over all rows, in steps until nothing recurs; past: the steps that an earlier run has made."""
     spark, module = rows.sparkSession, segment.module
     code, mergeable, framed = cloudpickle.dumps(module), module.reducer.mergeable, isinstance(module.reducer, Frame)
@@ -225,7 +239,7 @@ def _reduced(segment: Segment, rows: DataFrame, past: Iterable[DataFrame] = (),
             if any_:
                 yield ("s", store) if mergeable else ("b", None)
 
-        return lambda batches: _kinds(out(_loaded(batches)))
+        return lambda batches: _kinds(out((load if begun else _loaded)(batches)))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One of several partial stores, and what merging recurs."""
@@ -275,7 +289,8 @@ def _reduced(segment: Segment, rows: DataFrame, past: Iterable[DataFrame] = (),
             step = left.pop(0)
         else:
             if first and framed:
-                made = pending.select(F.lit("i").alias("kind"), "item")
+                items = pending if load is _loaded else items_of(spark, pending)
+                made = items.select(F.lit("i").alias("kind"), "item")
             else:
                 made = pending.mapInArrow(fold(first), KINDS)
                 if mergeable and tasks > 64:

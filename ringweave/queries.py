@@ -13,7 +13,7 @@ from .builder import Work
 from .builder import map as map_items
 from .config import module_of
 from .operators import Checkpoint, flat_map, fold, global_reduce, map_ordered, ring_reduce, routed, row_loop, supersteps, tagged
-from .plans.compile import Segment, items_of, planned, typed
+from .plans.compile import Segment, planned, typed
 from .plans.nodes import Args, Module, Multiple
 from .sources.lines import lines, seed_line
 from .sources.staging import new_path, shared_dir
@@ -40,7 +40,7 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 def configured(df: DataFrame, config: dict | Module, ddl: str) -> DataFrame:
     """df's rows through a configured plan of Python jobs, as columns."""
     module = config if isinstance(config, Module) else module_of(config)
-    return typed(planned([Segment(module)], items_of(df.sparkSession, df)), ddl)
+    return typed(planned([Segment(module)], df, table=True), ddl)
 
 
 # --- jobs
