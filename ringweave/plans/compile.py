@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringweave.operators.loops import Checkpoint
-from ringweave.sources.staging import scratch, staged
+from ringweave.sources.staging import removed, shared_dir, staged
 
 from .nodes import Frame, Module, flow, run_item
 
@@ -323,10 +323,13 @@ def values(rows: DataFrame) -> list[Any]:
 
 def each(rows: DataFrame) -> Iterator[Any]:
     """Items on the driver in order, one partition at a time; all are made at once and staged before."""
-    with scratch(rows.sparkSession):
-        stored = staged(rows.withColumn("at", F.monotonically_increasing_id()), "results")
-        for row in stored.orderBy("at").toLocalIterator():
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/ringweave-results-{uuid.uuid4().hex}"
+    try:
+        for row in staged(rows.withColumn("at", F.monotonically_increasing_id()), "results", path).orderBy("at").toLocalIterator():
             yield pickle.loads(bytes(row.item))
+    finally:
+        removed(spark, path)
 
 
 @contextmanager

@@ -61,8 +61,10 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
             near_duplicates(docs).write.parquet(out)
     """
     scopes = _open.__dict__.setdefault("scopes", [])
-    scopes.append([])
+    own: list[str] = []
+    scopes.append(own)
     try:
-        yield scopes[-1]
+        yield own
     finally:
-        removed(spark, *scopes.pop())
+        scopes[:] = [s for s in scopes if s is not own]
+        removed(spark, *own)
