@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +17,7 @@ from pyspark.sql import types as T
 
 from ringweave.sources.staging import new_path, removed, shared_dir, staged
 
-__all__ = ["NULL_ID", "Tables", "WordHashes", "arrow_schema", "bound", "documents", "fold_of", "gram_hashes", "merged_runs", "mixed", "sampled", "shared_dir", "sliding_min", "staged"]
+__all__ = ["NULL_ID", "Tables", "WordHashes", "arrow_schema", "bound", "documents", "fold_of", "gram_hashes", "merged_runs", "mixed", "sampled", "shared_dir", "slices", "sliding_min", "staged", "tidy"]
 
 #: Order of a row whose id is null: after every other row.
 NULL_ID = (1 << 63) - 1
@@ -58,6 +61,33 @@ class Tables:
         self.paths[label] = paths[-last:]
 
 
+def _released() -> None:
+    """Hands memory that a task has freed back to the system: workers live on, and others run beside them."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a system without this function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, with the memory of its task released at its end."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _released()
+
+    return inner
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows: what is made of a batch of texts as Python objects stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def bound(most: int) -> int:
     """Six standard deviations above the number of rows expected in a sample."""
     return most + 6 * math.isqrt(most) + 6
@@ -75,7 +105,7 @@ def sampled(rows: DataFrame, n: int, most: int, make: Callable[[DataFrame], Data
 class WordHashes(dict):
     """word -> 64-bit hash, kept between calls and emptied when it has grown past its limit."""
 
-    limit = 400_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)

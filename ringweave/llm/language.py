@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from ._common import documents, fold_of, staged
+from ._common import documents, fold_of, slices, staged, tidy
 
 UNDETERMINED = "und"
 GRAMS = (5, 4, 3, 2, 1)
@@ -151,7 +151,7 @@ def _counted(rows: DataFrame, of: Callable[[list, str, list], None], most: int =
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["lang", "word", "n"])
             found.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             for lang, *given in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 counts = found.setdefault(lang, Counter())
                 before = len(counts)
@@ -162,7 +162,7 @@ def _counted(rows: DataFrame, of: Callable[[list, str, list], None], most: int =
                     size = 0
         yield from flush()
 
-    return rows.mapInArrow(run, _COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tidy(run), _COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def _words(counts: Counter, text: str) -> None:
@@ -219,11 +219,11 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             got = [detect(t, memo) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*kept, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Tables, WordHashes, arrow_schema, documents, gram_hashes, mixed, staged
+from ._common import Tables, WordHashes, arrow_schema, documents, gram_hashes, mixed, slices, staged, tidy
 from ._components import components
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
@@ -121,15 +121,14 @@ def sketches(docs: DataFrame, *, shingle: int = 5, id_col: str = "doc_id", text_
     schema = arrow_schema(SKETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch, out = whole.slice(at, 512), []
-                for text in batch.column(2):
-                    h = shingle_hashes(text.as_py(), shingle)
-                    out.append((len(h), xxhash.xxh3_128_digest(h.tobytes()), registers(h).tobytes()) if len(h) else (0, None, None))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[2:], strict=True))], schema=schema)
+        for batch in slices(batches):
+            out = []
+            for text in batch.column(2):
+                h = shingle_hashes(text.as_py(), shingle)
+                out.append((len(h), xxhash.xxh3_128_digest(h.tobytes()), registers(h).tobytes()) if len(h) else (0, None, None))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[2:], strict=True))], schema=schema)
 
-    return rows.mapInArrow(run, SKETCH)
+    return rows.mapInArrow(tidy(run), SKETCH)
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -154,7 +153,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, set()
-        for batch in batches:
+        for batch in slices(batches, 256):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if y != last:
@@ -164,19 +163,17 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -
                 keep.append(100 * common >= percent * (len(own) + len(kept) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(tidy(run), "a long, b long")
 
 
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     """node and its set as sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t, shingle).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "hashes"])
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t, shingle).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "hashes"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, hashes binary")
+    return texts.select("node", "text").mapInArrow(tidy(run), "node long, hashes binary")
 
 
 def _block_links(members: DataFrame, percent: int, block: int, block_bytes: int) -> DataFrame:

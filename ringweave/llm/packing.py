@@ -39,11 +39,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_schema, documents, gram_hashes, mixed, sampled, staged
+from ._common import arrow_schema, documents, gram_hashes, mixed, sampled, staged, tidy
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -326,6 +327,16 @@ def least_runs(docs: list[np.ndarray], gram: int) -> np.ndarray:
     return (out >> np.uint64(1)).astype(np.int64)
 
 
+def _cuts(texts: pa.Array, rows: int = 512, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Places and numbers of rows that come to at most `rows` and `most` bytes of text, or are one."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, min(lo + rows, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most, "right"))))
+        yield lo, hi - lo
+        lo = hi
+
+
 def _encoded(code: Encoder, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
     for lo in range(0, len(texts), 128):
         for ids in code.encode(texts.slice(lo, 128).to_pylist()):
@@ -367,8 +378,8 @@ def pack(docs: DataFrame, *, window: int = 2048, end_id: int = 1, tokenizer: str
         """Rows with their tokens and place; a last row without a number holds the task's figures."""
         code, where, own = encoder(tokenizer, ranks), placement.value, Corpus(np.zeros(1, np.int64), 0, 0)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
+            for lo, n in _cuts(whole.column(2)):
+                batch = whole.slice(lo, n)
                 ids = list(_encoded(code, batch.column(2), end_id))
                 made = [np.unique(d, return_counts=True) for d in ids]
                 own.add(made)
@@ -378,7 +389,7 @@ def pack(docs: DataFrame, *, window: int = 2048, end_id: int = 1, tokenizer: str
 
     token_names = ["row", "doc_id", "cluster", "least", "ids", "figures"]
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    tokens = staged(numbered.mapInArrow(place, "row long, doc_id long, cluster int, least long, ids binary, figures binary"), "tokens")
+    tokens = staged(numbered.mapInArrow(tidy(place), "row long, doc_id long, cluster int, least long, ids binary, figures binary"), "tokens")
     shared = context.broadcast(_corpus(tokens.select("figures")))
     names = [*(f.strip().split()[0] for f in PIECES.split(",")), *(["ids"] if with_ids else [])]
     ddl = PIECES + (", ids binary" if with_ids else "")
@@ -412,7 +423,7 @@ def pack(docs: DataFrame, *, window: int = 2048, end_id: int = 1, tokenizer: str
 
     tasks = max(1, min(-(-shards // 2), most_tasks))
     order = ["cluster", "least", "row"]
-    return tokens.where("row is not null").repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(laid, ddl)
+    return tokens.where("row is not null").repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(tidy(laid), ddl)
 
 
 def _table(out: list[tuple], schema: pa.Schema, names: list[str]) -> pa.RecordBatch:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from ._common import bound, documents, fold_of
+from ._common import bound, documents, fold_of, slices, tidy
 
 DIMENSIONS = 4096
 #: Characters of a run that count as one word.
@@ -186,7 +186,7 @@ def _vectors(rows: DataFrame, most: int) -> list[list[tuple[bytes, bytes]]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = _Places()
-        for batch in batches:
+        for batch in slices(batches):
             got = [features(t, places) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.tobytes() for a, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], ["positive", "unlabelled", "at", "value"])
 
@@ -225,11 +225,11 @@ def scored(docs: DataFrame, weights: np.ndarray, *, text_col: str = "text", keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, places = shared.value, _Places()
-        for batch in batches:
+        for batch in slices(batches):
             out = [float(w[a] @ v + w[-1]) for a, v in (features(t, places) for t in batch.column(at).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(_sigmoid(np.array(out, float)), pa.float64())], [*kept, "quality_score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
