@@ -11,6 +11,9 @@ documents is spread over many buckets. (2) Equal segments within a task's flush
 one of them travels, so the passage itself reaches its bucket once per flush, not once per document.
 The sample steers only the load; results don't depend on it.
 
+The sample grows with the partitions, so a gram below its sight is in fewer documents than a few partitions
+hold, which bounds its bucket where partitions are in proportion to the input.
+
 A task gathers segments for about `flush_bytes` of text and sends each bucket one compressed blob.
 A bucket receives about `bucket_bytes` of segments, so a reducer holds one bucket at a time. The spans
 found meet the texts, packed likewise, in parts of about 4 MB of text.
@@ -27,7 +30,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, arrow_schema, gram_hashes, merged_runs, sliding_min
+from ._common import NULL_ID, arrow_schema, gram_hashes, merged_runs, sliding_min, tidy
 
 _BITS = np.uint64(22)
 _PLACE = np.uint64((1 << 22) - 1)
@@ -299,8 +302,8 @@ def without(rows: DataFrame, cut: Callable[[bytes], tuple[np.ndarray, np.ndarray
         yield from _rows(out, names, types, 5000)
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows packed by part: ids, checksums and texts as one compressed blob."""
-        held: dict[int, list[tuple]] = {}
+        """Rows packed by part: ids, checksums and texts as one compressed blob, repeated rows once with their number."""
+        held: dict[int, dict[tuple, int]] = {}
         size, squeeze = 0, zstd.ZstdCompressor(level=_LEVEL)
 
         def packed() -> Iterator[pa.RecordBatch]:
@@ -310,8 +313,9 @@ def without(rows: DataFrame, cut: Callable[[bytes], tuple[np.ndarray, np.ndarray
         for batch in batches:
             for doc, crc, text, own in zip(*(batch.column(i) for i in range(4)), strict=True):
                 data = text.as_py()
-                held.setdefault(part_of(doc.as_py(), crc.as_py()), []).append((own.as_py(), doc.as_py(), crc.as_py(), data))
-                size += len(data or b"")
+                same, row = held.setdefault(part_of(doc.as_py(), crc.as_py()), {}), (own.as_py(), doc.as_py(), crc.as_py(), data)
+                size += 0 if row in same else len(data or b"")
+                same[row] = same.get(row, 0) + 1
             if size >= flush_bytes:
                 yield from packed()
                 held, size = {}, 0
@@ -326,17 +330,19 @@ def without(rows: DataFrame, cut: Callable[[bytes], tuple[np.ndarray, np.ndarray
                 if kind.as_py() == 0:
                     spans.setdefault((doc.as_py(), crc.as_py()), []).append(runs_.values.to_numpy())
                     continue
-                for own, i, c, text in pickle.loads(zstd.ZstdDecompressor().decompress(blob.as_py())):
+                for (own, i, c, text), times in pickle.loads(zstd.ZstdDecompressor().decompress(blob.as_py())).items():
                     a = np.concatenate(spans[i, c]).astype(np.int64).reshape(-1, 2) if (i, c) in spans else np.empty((0, 2), np.int64)
-                    out.append((own, *finish(text or b"", *merged_runs(a[:, 0], a[:, 1]))))
-                    held += len(text or b"")
-                    if held > 2_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                        out, held = [], 0
+                    row = (own, *finish(text or b"", *merged_runs(a[:, 0], a[:, 1])))
+                    for _ in range(times):
+                        out.append(row)
+                        held += len(text or b"")
+                        if held > 2_000_000 or len(out) >= 20_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                            out, held = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    sent = rows.select("_id", "_crc", "text").mapInArrow(send, _SENT)
-    got = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(receive, _LAID)
-    laid = rows.select("_id", "_crc", "text", "doc_id").mapInArrow(lay, _LAID)
-    return got.unionByName(laid).repartition("part").sortWithinPartitions("part", "kind").mapInArrow(gather, ddl)
+    sent = rows.select("_id", "_crc", "text").mapInArrow(tidy(send), _SENT)
+    got = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(receive), _LAID)
+    laid = rows.select("_id", "_crc", "text", "doc_id").mapInArrow(tidy(lay), _LAID)
+    return got.unionByName(laid).repartition("part").sortWithinPartitions("part", "kind").mapInArrow(tidy(gather), ddl)

@@ -124,6 +124,13 @@ def test_long_texts_are_cut_without_loss(spark, monkeypatch, chunk):
     assert multiset(passages.without_passages(docs, with_kept=False), "doc_id", "n_words", "n_removed", "kept_sha256") == passages_by_hand(data)
 
 
+def test_many_repeated_rows_travel_once(spark):
+    data = [(1, words(random.Random(3), 100))] * 3000 + [(None, "x " * 40)] * 500 + [(2, words(random.Random(4), 90))]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    assert multiset(repeats.without_repeats(docs, with_kept=False), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == repeats_by_hand(data)
+    assert multiset(passages.without_passages(docs, with_kept=False), "doc_id", "n_words", "n_removed", "kept_sha256") == passages_by_hand(data)
+
+
 def test_kept_texts_are_those_of_the_digest(spark):
     for got in (passages.without_passages(table(spark)), repeats.without_repeats(table(spark))):
         for r in got.collect():
@@ -384,6 +391,14 @@ def test_alike_documents_lie_in_one_shard(spark):
         assert sum(a == b for a, b in pairs) > 0.85 * len(pairs)
 
 
+def test_cuts_of_texts():
+    import pyarrow as pa
+
+    texts = pa.array(["a" * 10, None, "", "b" * 95, "c" * 300, "d", "e" * 50, "f" * 49])
+    assert list(packing._cuts(texts, 3, 100)) == [(0, 3), (3, 1), (4, 1), (5, 3)]
+    assert list(packing._cuts(texts.slice(5, 0), 3, 100)) == []
+
+
 def test_repeated_rows_are_dealt_to_many_shards(spark):
     docs = spark.range(20_000).selectExpr("5L as doc_id", "'one text that is repeated' as text")
     got = packing.pack(docs, shard_docs=500, with_ids=False)
@@ -392,6 +407,33 @@ def test_repeated_rows_are_dealt_to_many_shards(spark):
     assert len(tasks) >= 8 and max(r.n for r in tasks) < 3 * min(r.n for r in tasks)
 
 
+def test_packing_and_repeats_queries(spark, tmp_path):
+    """The queries over a folder of tables: their columns, and their rows by hand."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    data = [(d, t, lang, s, n) for d, t, lang, s, n, *_ in rows() if d is not None]
+    data = list({d: (d, *rest) for d, *rest in data}.values())
+    folder = sf_of(spark, tmp_path, "sf", data)
+    tok, texts = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), {d: t for d, t, *_ in data}
+    got = packing.query(spark, folder)
+    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    pieces, ends = collections.defaultdict(list), collections.Counter()
+    for r in got.collect():
+        ids = np.array([*tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 1], "<u4")
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+        pieces[r.doc_id].append((r.start, r.length))
+        ends[r.sequence_id] += r.length
+        assert 0 <= r.offset and r.offset + r.length <= 2048
+    for d in texts:
+        assert [s for s, _ in sorted(pieces[d])] == [0, *itertools.accumulate(n for _, n in sorted(pieces[d]))][:-1]
+    assert all(n == 2048 or n & (n - 1) == 0 for n in ends.values())
+    found = repeats.query(spark, folder)
+    assert multiset(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == repeats_by_hand(data)
+    assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
 # --- near duplicates
 
 
