@@ -16,7 +16,11 @@ hold, which bounds its bucket where partitions are in proportion to the input.
 
 A task gathers segments for about `flush_bytes` of text and sends each bucket one compressed blob.
 A bucket receives about `bucket_bytes` of segments, so a reducer holds one bucket at a time. The spans
-found meet the texts, packed likewise, in parts of about 4 MB of text.
+found meet the texts, packed likewise, in parts of about 4 MB of text. Each flush makes a blob for each
+bucket, so blobs shrink as a table grows; beyond 1000 buckets and 500 parts these are up to four times as large.
+
+In a bucket only segments that may share a window (`akin`) are looked at window by window, family by family:
+in a large table most minimisers stand in many texts that have nothing else in common.
 """
 
 from __future__ import annotations
@@ -189,6 +193,56 @@ def radix_groups(load: Callable[[np.ndarray, int], np.ndarray], at: np.ndarray,
     return index, group
 
 
+def settled(columns: dict[str, np.ndarray], segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments whose minimiser others have too, which of these is the first that equals each, and their family."""
+    _, family, size = np.unique(columns["mh"], return_inverse=True, return_counts=True)
+    index = np.flatnonzero(size[family] > 1)
+    known: dict[bytes, int] = {}
+    lead = np.array([known.setdefault(segments[i], n) for n, i in enumerate(index.tolist())], np.int64)
+    return index, lead, family[index]
+
+
+def akin(data: bytes, ends: np.ndarray | None, base: np.ndarray, off: np.ndarray, size: np.ndarray, k: int, m: int) -> np.ndarray:
+    """Which of different segments may share a window: all others are settled without a look at their windows.
+
+    data holds the segments, base is each one's first unit there, off its minimiser's place, size its units;
+    ends: where each unit starts, if units are not bytes. A window reaches `half` units before its minimiser or
+    k - half + 1 from its minimiser on, so a segment that equals no other in either stretch shares none.
+    """
+    half = (k - m + 1) // 2
+    out = np.zeros(len(base), bool)
+    for lo, hi in ((off - half, off + m), (off, off + k - half + 1)):
+        own = np.flatnonzero((lo >= 0) & (hi <= size))
+        a, b = base[own] + lo[own], base[own] + hi[own]
+        if ends is not None:
+            a, b = ends[a], ends[b]
+        known: dict[bytes, int] = {}
+        lead = np.array([known.setdefault(data[x:y], n) for n, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True))], np.int64)
+        out[own] = out[own] | (np.bincount(lead, minlength=len(own))[lead] > 1)
+    return out
+
+
+def families(odd: np.ndarray, family: np.ndarray, windows: np.ndarray, most: int = 2_000_000) -> Iterator[np.ndarray]:
+    """Parts of whole families, of about `most` windows, or one family's: what the passes hold at once."""
+    odd = odd[np.argsort(family[odd], kind="stable")]
+    last = np.append(np.flatnonzero(np.diff(family[odd])) + 1, len(odd))
+    ends, lo = np.cumsum(windows[odd]), 0
+    while lo < len(odd):
+        at = int(np.searchsorted(ends[last - 1], (ends[lo - 1] if lo else 0) + most, "right")) - 1
+        hi = int(max(last[max(at, 0)], last[np.searchsorted(last, lo, "right")]))
+        yield np.sort(odd[lo:hi])
+        lo = hi
+
+
+def members(lead: np.ndarray, odd: np.ndarray) -> dict[int, list[int]]:
+    """For each of some leaders the places that it leads."""
+    out: dict[int, list[int]] = {i: [] for i in odd.tolist()}
+    own = np.flatnonzero(np.isin(lead, odd))
+    for i, x in zip(own.tolist(), lead[own].tolist(), strict=True):
+        out[x].append(i)
+    return out
+
+
 def figures(rows: DataFrame) -> tuple[int, int]:
     """Rows, and bytes of text."""
     n, total = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
@@ -224,14 +278,19 @@ def hot_grams(rows: DataFrame, n: int, units: Callable[[bytes], np.ndarray], m:
     return np.sort(found.orderBy(F.desc("n"), "gram").limit(most).toArrow().column("gram").to_numpy().astype(np.int64).view(np.uint64))
 
 
+def dealt(total: int, size: int, many: int) -> int:
+    """Into how many shares bytes are dealt: of `size`, beyond `many` of them of up to four times that, for fewer and larger blobs."""
+    return max(1, min(-(-total // min(4 * size, max(size, total // many))), (1 << 31) - 1))
+
+
 def without(rows: DataFrame, cut: Callable[[bytes], tuple[np.ndarray, np.ndarray | None, bytes]], gap: int, found: Callable[[dict, list[bytes]], list[tuple[int, int, int, int]]], settle: Callable, finish: Callable[[bytes, np.ndarray, np.ndarray], tuple], ddl: str, *, k: int, m: int, total: int, hot: np.ndarray, bucket_bytes: int, flush_bytes: int) -> DataFrame:
     """doc_id and what finish(text, starts, ends) gives for each row and its repeated spans.
 
     cut(text) gives the hashed units, where each ends in the packed string (None: a byte each) and that
     string, in which `gap` bytes end each unit; found(columns, segments) gives a bucket's repeated spans.
     """
-    buckets = max(1, min(-(-int(total * 3.2) // bucket_bytes), (1 << 31) - 1))
-    parts = max(1, min(-(-total // 4_000_000), (1 << 31) - 1))
+    buckets = dealt(int(total * 3.2), bucket_bytes, 1000)
+    parts = dealt(total, 4_000_000, 500)
     shared = rows.sparkSession.sparkContext.broadcast(hot)
     part_of = lambda doc, crc: ((doc & ((1 << 63) - 1)) ^ crc) % parts
 

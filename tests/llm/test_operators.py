@@ -131,6 +131,65 @@ def test_many_repeated_rows_travel_once(spark):
     assert multiset(passages.without_passages(docs, with_kept=False), "doc_id", "n_words", "n_removed", "kept_sha256") == passages_by_hand(data)
 
 
+def bucket(make, k, m, gap, n=400):
+    """One family: the same gram in n segments of else random units, and some that share k or only k - 1 units with the first, at each place."""
+    rng, reach = random.Random(21), k - m
+    middle = make(rng, m)
+    units = [[make(rng, reach), middle, make(rng, reach)] for _ in range(n)]
+    for o in range(reach + 1):
+        units.append([make(rng, reach - o) + units[0][0][reach - o :], middle, units[0][2][: reach - o] + make(rng, o)])
+        units.append([make(rng, reach - max(o - 1, 0)) + units[1][0][reach - max(o - 1, 0) :], middle, units[1][2][: reach - max(o, 1)] + make(rng, max(o, 1))])
+    units.append(units[0])
+    flat = [sum(u, []) for u in units]
+    segments = [gap.join(u) for u in flat]
+    column = lambda x, t: np.full(len(flat), x, t)
+    doc = np.random.default_rng(5).permutation(len(flat)).astype(np.int64)
+    columns = {"mh": column(7, np.uint32), "doc": doc, "crc": column(0, np.uint32), "start": column(3, np.int32), "windows": column(reach + 1, np.uint16), "off": column(reach, np.uint16), "size": np.array([len(s) for s in segments], np.int32)}
+    return columns, segments, flat
+
+
+def looked_at(monkeypatch, module):
+    """Gets the number of windows that are sorted."""
+    out, sort = [], module.radix_groups
+    monkeypatch.setattr(module, "radix_groups", lambda load, at, *more: out.append(len(at)) or sort(load, at, *more))
+    return out
+
+
+def units_in(spans):
+    return {(d, p) for d, _, a, b in spans for p in range(a, b)}
+
+
+def test_texts_that_share_a_gram_alone_are_not_sorted_by_windows(monkeypatch):
+    columns, segments, flat = bucket(lambda rng, n: [str(rng.randrange(10**9)).encode() for _ in range(n)], 13, 2, b" ")
+    first, seen = {}, looked_at(monkeypatch, passages)
+    windows = [(int(d), i, tuple(u[i : i + 13])) for d, u in zip(columns["doc"], flat, strict=True) for i in range(12)]
+    for d, _, w in windows:
+        first[w] = min(first.get(w, d), d)
+    assert units_in(passages.repeated(columns, segments, 13)) == {(d, 3 + p) for d, i, w in windows if d > first[w] for p in range(i, i + 13)} != set()
+    assert 0 < sum(seen) < len(windows) / 5
+
+
+def test_families_are_whole_and_bounded():
+    from ringweave.llm import _segments
+
+    rng = np.random.default_rng(2)
+    family, windows = rng.integers(0, 40, 500), rng.integers(1, 20, 500)
+    odd = np.sort(rng.choice(500, 300, replace=False))
+    for most in (1, 50, 300, 10**6):
+        parts = list(_segments.families(odd, family, windows, most))
+        assert np.array_equal(np.sort(np.concatenate(parts)), odd)
+        assert sum(len(np.unique(family[p])) for p in parts) == len(np.unique(family[odd]))
+        assert all(windows[p].sum() <= most or len(np.unique(family[p])) == 1 for p in parts)
+    assert not list(_segments.families(odd[:0], family, windows))
+
+
+def test_blobs_do_not_shrink_with_the_table():
+    """Ten times the bytes are not ten times the buckets, once these are many; small tables are dealt as before."""
+    from ringweave.llm import _segments
+
+    assert [_segments.dealt(n * 10**6, 4_000_000, 1000) for n in (0, 1, 400, 4000, 32_000)] == [1, 1, 100, 1000, 2000]
+
+
 def test_kept_texts_are_those_of_the_digest(spark):
     for got in (passages.without_passages(table(spark)), repeats.without_repeats(table(spark))):
         for r in got.collect():
