@@ -5,7 +5,8 @@ minimiser of a suffix's first `depth` bytes and its place there (see _segments):
 through the threshold agree in it, whole runs of suffixes travel as one packed string, and a suffix
 alone in its group is settled at once. Further passes sort by 8 bytes at a time, most significant
 first, and drop groups of one. After the last pass equal groups are exactly the repeated strings.
-Segments that are equal as a whole are settled without passes.
+Segments that are equal as a whole, and those that can share no string by the stretches beside their
+minimiser, are settled without passes.
 
 Every byte covered by a string of `depth` bytes that also starts elsewhere is removed, in the first
 copy as in the last.
@@ -25,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import documents, mixed
-from ._segments import equal, figures, hot_grams, keyed, radix_groups, without
+from ._segments import akin, equal, families, figures, hot_grams, keyed, members, radix_groups, settled, without
 
 GRAM = 16
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -40,40 +41,32 @@ def _cut(text: bytes) -> tuple[np.ndarray, None, bytes]:
     return units(text), None, text
 
 
-def repeated(columns: dict[str, np.ndarray], segments: list[bytes], depth: int) -> list[tuple[int, int, int, int]]:
+def repeated(columns: dict[str, np.ndarray], segments: list[bytes], depth: int, gram: int = GRAM) -> list[tuple[int, int, int, int]]:
     """Repeated spans of a bucket."""
-    doc, crc, start, windows = (columns[c].tolist() for c in ("doc", "crc", "start", "windows"))
-    _, family, size = np.unique(columns["mh"], return_inverse=True, return_counts=True)
-    members: dict[tuple[int, bytes], list[int]] = {}
-    for i in np.flatnonzero(size[family] > 1).tolist():
-        members.setdefault((int(family[i]), segments[i]), []).append(i)
-    spans = [(doc[i], crc[i], start[i], start[i] + windows[i] - 1 + depth) for own in members.values() if len(own) > 1 for i in own]
-    kinds: dict[int, int] = {}
-    for f, _ in members:
-        kinds[f] = kinds.get(f, 0) + 1
-    odd = [(f, own) for (f, _), own in members.items() if kinds[f] > 1]
-    if not odd:
-        return spans
-    leaders = np.array([own[0] for _, own in odd])
-    n = columns["windows"][leaders].astype(np.int64)
-    base = np.concatenate(([0], np.cumsum(columns["size"][leaders], dtype=np.int64)))
-    of = np.repeat(np.arange(len(leaders)), n)
-    j = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    offset = columns["off"][leaders].astype(np.int64)[of] - j
-    group = np.repeat(np.array([f for f, _ in odd], np.int64), n) * (2 * depth) + offset
-    data = np.frombuffer(b"".join([segments[i] for i in leaders]) + bytes(8), np.uint8)
-    words = np.lib.stride_tricks.as_strided(data[:-7].view(), (len(data) - 7, 8), (1, 1))
-
-    def load(at: np.ndarray, d: int) -> np.ndarray:
-        return words[at + min(8 * d, depth - 8)].copy().view(">u8").ravel().astype(np.uint64)
-
-    index, _ = radix_groups(load, base[of] + j, group, -(-depth // 8))
-    if len(index):
-        index.sort()
-        run = np.flatnonzero(np.concatenate(([True], (np.diff(index) != 1) | (np.diff(of[index]) != 0))))
-        for a, b in zip(run, [*run[1:], len(index)], strict=True):
-            first, last = int(j[index[a]]), int(j[index[b - 1]])
-            spans += [(doc[i], crc[i], start[i] + first, start[i] + last + depth) for i in odd[of[index[a]]][1]]
+    index, lead, family = settled(columns, segments)
+    doc, crc, start, n, off, size = (columns[c][index].astype(np.int64) for c in ("doc", "crc", "start", "windows", "off", "size"))
+    copies = np.flatnonzero(np.bincount(lead, minlength=len(lead))[lead] > 1)
+    spans = list(zip(*(x[copies].tolist() for x in (doc, crc, start, start + n - 1 + depth)), strict=True))
+    leaders = np.flatnonzero(lead == np.arange(len(lead)))
+    data = b"".join([segments[i] for i in index[leaders].tolist()])
+    odd = leaders[akin(data, None, np.cumsum(size[leaders]) - size[leaders], off[leaders], size[leaders], depth, gram)]
+    equals = members(lead, odd)
+    for own in families(odd, family, n):
+        of = np.repeat(np.arange(len(own)), n[own])
+        j = np.arange(len(of)) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
+        flat = np.frombuffer(b"".join([segments[i] for i in index[own].tolist()]) + bytes(8), np.uint8)
+        words = np.lib.stride_tricks.as_strided(flat[:-7].view(), (len(flat) - 7, 8), (1, 1))
+
+        def load(at: np.ndarray, d: int, words: np.ndarray = words) -> np.ndarray:
+            return words[at + min(8 * d, depth - 8)].copy().view(">u8").ravel().astype(np.uint64)
+
+        found, _ = radix_groups(load, (np.cumsum(size[own]) - size[own])[of] + j, family[own][of] * (2 * depth) + off[own][of] - j, -(-depth // 8))
+        if len(found):
+            found.sort()
+            run = np.flatnonzero(np.concatenate(([True], (np.diff(found) != 1) | (np.diff(of[found]) != 0))))
+            for a, b in zip(run, [*run[1:], len(found)], strict=True):
+                first, last = int(j[found[a]]), int(j[found[b - 1]])
+                spans += [(int(doc[i]), int(crc[i]), int(start[i]) + first, int(start[i]) + last + depth) for i in equals[int(own[of[found[a]]])]]
     return spans
 
 
@@ -85,7 +78,7 @@ def without_repeats(docs: DataFrame, *, depth: int = 200, id_col: str = "doc_id"
     n, total = figures(rows)
     finish = _finish if with_kept else lambda *given: _finish(*given)[:-1]
     out = OUT + (", kept binary" if with_kept else "")
-    return without(rows, _cut, 0, lambda c, s: repeated(c, s, depth), equal, finish, out, k=depth, m=gram, total=total, hot=hot_grams(rows, n, units, gram), bucket_bytes=bucket_bytes, flush_bytes=flush_bytes)
+    return without(rows, _cut, 0, lambda c, s: repeated(c, s, depth, gram), equal, finish, out, k=depth, m=gram, total=total, hot=hot_grams(rows, n, units, gram), bucket_bytes=bucket_bytes, flush_bytes=flush_bytes)
 
 
 def _finish(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple:

@@ -169,6 +169,15 @@ def test_texts_that_share_a_gram_alone_are_not_sorted_by_windows(monkeypatch):
     assert 0 < sum(seen) < len(windows) / 5
 
 
+def test_texts_that_share_a_gram_alone_are_not_sorted_by_bytes(monkeypatch):
+    columns, segments, flat = bucket(lambda rng, n: [bytes([rng.randrange(256)]) for _ in range(n)], 200, 16, b"", 4000)
+    count, seen = collections.Counter(), looked_at(monkeypatch, repeats)
+    windows = [(int(d), i, s[i : i + 200]) for d, s in zip(columns["doc"], segments, strict=True) for i in range(185)]
+    count.update(w for *_, w in windows)
+    assert units_in(repeats.repeated(columns, segments, 200)) == {(d, 3 + p) for d, i, w in windows if count[w] > 1 for p in range(i, i + 200)} != set()
+    assert 0 < sum(seen) < len(windows) / 5
+
+
 def test_families_are_whole_and_bounded():
     from ringweave.llm import _segments
 
