@@ -1,7 +1,8 @@
 """Benchmark decontamination with an Aho-Corasick automaton.
 
 Every word of the test items is one symbol of the automaton's alphabet (a code point), any other
-word is a symbol of its own, so one pass over a document's words finds every window of every item.
+word is a symbol of its own, so one pass over a document's words finds every window of every item. The
+automaton is run over the stretches whose neighbouring words are neighbours in an item, as no window lies elsewhere.
 Matches are counted in words and mapped back to character offsets of the original text.
 
 An automaton holds at most about `block_bytes` of items, some 65 bytes of memory for each of theirs, so
@@ -55,20 +56,25 @@ def _symbol(n: int) -> str:
 
 @dataclass
 class Tests:
-    """The alphabet, the automaton, whose values are set * base + length in words, and the sets of item ids."""
+    """The alphabet, the automaton, whose values are set * base + length in words, the sets of item ids, the pairs of neighbouring symbols and the words of the shortest window."""
 
     alphabet: dict[bytes, str]
     automaton: ahocorasick.Automaton
     base: int
     sets: list[tuple[str, ...]]
+    pairs: np.ndarray
+    least: int
 
 
 def build(items: list[tuple[str, bytes | None]], window: int) -> Tests:
     alphabet: dict[bytes, str] = {}
     owners: dict[str, tuple[str, ...] | set[str]] = {}
+    pairs: list[np.ndarray] = []
     for item, text in items:
         symbols, own = "".join([alphabet.setdefault(w, _symbol(len(alphabet))) for w in words_of(text)]), (item,)
         size = min(window, len(symbols))
+        if size:
+            pairs.append(_pairs(symbols))
         for i in range(len(symbols) - size + 1 if size else 0):
             pattern = symbols[i : i + size]
             have = owners.setdefault(pattern, own)  # most windows are of one item and share its tuple
@@ -81,7 +87,27 @@ def build(items: list[tuple[str, bytes | None]], window: int) -> Tests:
         automaton.add_word(pattern, sets.setdefault(tuple(sorted(found)), len(sets)) * (window + 1) + len(pattern))
     if owners:
         automaton.make_automaton()
-    return Tests(alphabet, automaton, window + 1, list(sets))
+    return Tests(alphabet, automaton, window + 1, list(sets), np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64), min(map(len, owners), default=1))
+
+
+def _pairs(symbols: str) -> np.ndarray:
+    code = np.frombuffer(symbols.encode("utf-32-le"), "<u4").astype(np.int64)
+    return code[:-1] << 32 | code[1:]
+
+
+def stretches(symbols: str, tests: Tests) -> list[tuple[int, int]]:
+    """Where a window can lie: as many words as the shortest has, all neighbours of which are neighbours in an item.
+
+    A step of the automaton goes through a state's successors one by one, which at its root are all words of the items.
+    """
+    if tests.least < 2:
+        return [(0, len(symbols))]
+    pairs = _pairs(symbols)
+    at = np.minimum(np.searchsorted(tests.pairs, pairs), len(tests.pairs) - 1)
+    edge = np.diff(np.concatenate(([False], tests.pairs[at] == pairs, [False])).astype(np.int8))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1
+    long = last - first >= tests.least
+    return list(zip(first[long].tolist(), last[long].tolist(), strict=True))
 
 
 def scan(words: list[bytes], tests: Tests) -> tuple[list[int], list[str]]:
@@ -89,7 +115,8 @@ def scan(words: list[bytes], tests: Tests) -> tuple[list[int], list[str]]:
     if not words or not len(tests.automaton):
         return [], []
     get = tests.alphabet.get
-    found = list(tests.automaton.iter("".join([get(w, _OTHER) for w in words])))
+    symbols = "".join([get(w, _OTHER) for w in words])
+    found = [(a + end, value) for a, b in stretches(symbols, tests) for end, value in tests.automaton.iter(symbols[a:b])]
     if not found:
         return [], []
     ends, values = np.array(found, np.int64).T

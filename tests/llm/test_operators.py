@@ -208,6 +208,35 @@ def test_kept_texts_are_those_of_the_digest(spark):
 # --- decontamination
 
 
+
+@pytest.mark.parametrize("least", [1, 2, 5, 8])
+def test_automaton_runs_where_windows_can_lie(least):
+    """All windows are found, of items of few words as well; unlike texts don't go through the automaton."""
+    rng = random.Random(least)
+    items = [(str(i), words(rng, rng.randrange(least, 30), 5).encode()) for i in range(60)] + [("none", b"!")]
+    tests, seen = decontaminate.build(items, 8), []
+
+    class Automaton:
+        __len__ = lambda self: len(tests.automaton)
+        iter = lambda self, text: seen.append(len(text)) or tests.automaton.iter(text)
+
+    watched = decontaminate.Tests(tests.alphabet, Automaton(), *(getattr(tests, f) for f in ("base", "sets", "pairs", "least")))
+    own = [decontaminate.words_of(t) for _, t in items]
+    windows = {(tuple(w[i : i + 8]), k) for k, w in enumerate(own) if w for i in range(max(len(w) - 7, 1))}
+    for n in (0, 1, 7, 300):
+        text = decontaminate.words_of(" ".join([words(rng, n, 5), *(t.decode() for _, t in rng.sample(items, min(n, 3)))]).encode())
+        hit, found = set(), set()
+        for w, k in windows:
+            for i in range(len(text) - len(w) + 1):
+                if tuple(text[i : i + len(w)]) == w:
+                    hit, found = hit | set(range(i, i + len(w))), found | {items[k][0]}
+        runs, got = decontaminate.scan(text, watched)
+        assert {p for a, b in zip(runs[::2], runs[1::2], strict=True) for p in range(a, b)} == hit and got == sorted(found)
+    if least > 1:
+        seen.clear()
+        assert decontaminate.scan(sum(([own[i % 60][0], b"other"] for i in range(900)), []), watched) == ([], []) and not seen
+
+
 def hits_by_hand(data, items, k=8):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     wins = {}
